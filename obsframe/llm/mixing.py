@@ -60,10 +60,9 @@ def repetition_rates(sizes: DataFrame, weights: dict | None = None, alpha: float
         spark = sizes.sparkSession
         given = spark.createDataFrame([("null" if k is None else f"s:{k}", float(v)) for k, v in weights.items()], "source_key string, w double")
         w = sizes.join(given, "source_key", "left").fillna(0.0, ["w"])
-    sums = w.agg(F.sum("size").alias("all_size"), F.sum("w").alias("all_w"))
-    goal = F.col("all_size").cast("double") if total is None else F.lit(float(total))
-    rate = F.col("w") / F.col("all_w") * goal / F.col("size")
-    return w.crossJoin(F.broadcast(sums)).select("source_key", F.coalesce(rate, F.lit(0.0)).alias("rate"))  # sums is one row
+    sums = w.agg(F.sum("size").cast("double").alias("size"), F.sum("w").alias("w")).first()  # two numbers
+    goal = F.lit(sums["size"] if total is None else float(total))
+    return w.select("source_key", F.coalesce(F.try_divide("w", F.lit(sums["w"])) * goal / F.col("size"), F.lit(0.0)).alias("rate"))
 
 
 def mix_sources(

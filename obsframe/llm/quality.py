@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(known), "i").select("t", "y")
     got = texts.mapInArrow(run, "y int, x array<double>").toArrow()
     y = np.array(got.column(0).to_pylist(), float)
-    x = np.array(got.column(1).to_pylist(), float).reshape(len(y), -1)
+    x = np.array(got.column(1).to_pylist(), float).reshape(len(y), len(statistics(None)))
     if len(y):  # the order of rows decides nothing but the last digits of sums
         order = np.lexsort((*x.T, y))
         x, y = x[order], y[order]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neighbours, quality, simhash, simple8b, token_counts, toxicity, urls
+from . import decontaminate, mixing, neighbours, quality, simhash, simple8b, substrings, token_counts, toxicity, urls
 from .work import held_out, table
 
 #: Host, path and verdict of the URL rules.
@@ -44,6 +44,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -59,7 +63,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts, "op2_mixing": op2_mixing, "op3_token_ids": op3_token_ids,
         "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity, "op6_neighbours": op6_neighbours,
-        "op7_simhash": op7_simhash, "op9_urls": op9_urls, "op10_quality": op10_quality,
+        "op7_simhash": op7_simhash, "op8_substrings": op8_substrings, "op9_urls": op9_urls, "op10_quality": op10_quality,
     }
 
 

@@ -83,7 +83,6 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 def quantiles(sums: DataFrame, probabilities: list[float]) -> DataFrame:
     """probability, n_tokens: the smallest length that at least this share of documents does not exceed."""
-    all_docs = sums.agg(F.sum("n_docs").alias("n"))
-    low = [F.min(F.when(F.col("docs_le") >= F.col("n") * F.lit(p), F.col("n_tokens"))).alias(f"a{i}") for i, p in enumerate(probabilities)]
-    one = sums.crossJoin(F.broadcast(all_docs)).agg(*low)  # a single row beside the histogram
+    n = sums.agg(F.sum("n_docs")).first()[0] or 0
+    one = sums.agg(*[F.min(F.when(F.col("docs_le") >= p * n, F.col("n_tokens"))).alias(f"a{i}") for i, p in enumerate(probabilities)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(float(p)).alias("probability"), F.col(f"a{i}").alias("n_tokens")) for i, p in enumerate(probabilities)])))
