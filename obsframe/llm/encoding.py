@@ -1,13 +1,14 @@
 """Byte-level BPE encoding with the tokenizers library, one call per distinct word.
 
 A byte-level BPE never merges across the pieces of its splitting pattern, so the ids of a text are those of its
-pieces in a row. Pieces repeat far more often than texts do; each worker therefore encodes a piece once and gathers
-ids from a table. The splitting pattern is spelt out for Latin characters, whose classes are fixed; a text with any
+pieces in a row. Pieces repeat far more often than texts do; each worker therefore gives a piece to the library's model
+once and gathers ids from a table. The splitting pattern is spelt out for Latin characters, whose classes are fixed; a text with any
 other character goes to the library whole, so results never depend on a Unicode version.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 
@@ -53,14 +54,20 @@ class PieceEncoder:
     """encode(texts) gives all ids as uint32 and the number of ids of each text; null is the empty text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        # Workers are many already, and threads of their own cost more than they bring for single words.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: How the byte-level alphabet spells each Latin character.
+        self._spelling = {c: spell(chr(c))[0][0] for c in range(0x250)}
         self._reset()
 
     def _reset(self) -> None:
-        self._codes, self._ids, self._start = _Codes(), array("I"), array("q", [0])
+        self._codes, self._ids, self._start = _Codes(), array("I"), array("i", [0])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         if self._codes.rows > CACHE_WORDS:
@@ -71,31 +78,27 @@ class PieceEncoder:
             if not text:
                 continue
             if _OTHER.search(text):
-                parts.append(np.array([codes.add(text)], np.int64))
+                parts.append(np.array([codes.add(text)], np.int32))
             else:
                 pieces = _PIECES.findall(text)
-                parts.append(np.fromiter(map(look_up, pieces), np.int64, len(pieces)))
+                parts.append(np.fromiter(map(look_up, pieces), np.int32, len(pieces)))
             sizes[i] = len(parts[-1])
-        groups = [codes.pending[at : at + 500] for at in range(0, len(codes.pending), 500)]
-        # A group of pieces is one pretokenised input: the library's cost for an input is paid once for 500 pieces.
-        for group, one in zip(groups, self._tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-            words = one.word_ids
-            if None in words:
-                for single in self._tokenizer.encode_batch_fast(group, add_special_tokens=False):
-                    self._ids.extend(single.ids)
-                    self._start.append(len(self._ids))
-                continue
-            each = np.bincount(np.array(words, np.int64), minlength=len(group))
-            self._start.extend((len(self._ids) + np.cumsum(each)).tolist())
-            self._ids.extend(one.ids)
+        tokenize, spelling, ids, start = self._model.tokenize, self._spelling, self._ids, self._start
+        for piece in codes.pending:
+            if _OTHER.search(piece):
+                ids.extend(self._tokenizer.encode(piece, add_special_tokens=False).ids)
+            else:
+                ids.extend([t.id for t in tokenize(piece.translate(spelling))])
+            start.append(len(ids))
         codes.pending = []
-        rows = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        start, flat = np.array(self._start, np.int64), np.array(self._ids, np.uint32)
-        length = (start[1:] - start[:-1])[rows] if len(rows) else rows
-        before = np.concatenate(([0], np.cumsum(length)))
-        ids = flat[np.repeat(start[rows] - before[:-1], length) + np.arange(before[-1])]
-        ends = before[np.cumsum(sizes)]
-        return ids, np.diff(ends, prepend=0)
+        rows = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        first, flat = np.array(start, np.int32), np.array(ids, np.uint32)
+        length = (first[1:] - first[:-1])[rows] if len(rows) else rows
+        before = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(length, out=before[1:])
+        place = np.repeat((first[rows] - before[:-1]).astype(np.int32), length)
+        place += np.arange(before[-1], dtype=np.int32)
+        return flat[place], np.diff(before[np.cumsum(sizes)], prepend=0)
 
 
 _encoders: dict[str, PieceEncoder] = {}

@@ -54,7 +54,7 @@ def _selectors(values: np.ndarray) -> np.ndarray:
         top[n] = m
     out = np.full(len(values), ESCAPE, np.uint8)
     for k in range(ESCAPE - 1, -1, -1):
-        out[top[int(COUNTS[k])] <= k] = k
+        np.copyto(out, np.uint8(k), where=top[int(COUNTS[k])] <= k)
     return out
 
 
