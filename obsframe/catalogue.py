@@ -57,9 +57,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", P.convert("embedding").alias("v"))
 
 
-def packed(name: str, sql: str, **columns: Column) -> None:
-    """A query of expressions over v, and DuckDB's expressions for the same names."""
-    QUERIES[name] = lambda spark, sf_dir: embeddings(spark, sf_dir).select("vec_id", *[c.alias(k) for k, c in columns.items()])
+def packed(name: str, sql: str, columns: Callable[[], dict[str, Column]]) -> None:
+    """A query of expressions over v, made once a session exists, and DuckDB's expressions for the same names."""
+    QUERIES[name] = lambda spark, sf_dir: embeddings(spark, sf_dir).select("vec_id", *[c.alias(k) for k, c in columns().items()])
     ORACLE[name] = f"SELECT vec_id, {sql} FROM {EMB}"
 
 
@@ -67,59 +67,63 @@ def vround(e: str, digits: int = 6) -> str:
     return f"list_transform({e}, lambda x: round(x, {digits}) + 0.0)"
 
 
-packed("S12_zeros", "list_transform(range(vec_id % 5), lambda x: 0.0::DOUBLE) AS z", z=P.zeros(F.col("vec_id") % 5))
-packed("S13_constant", "list_transform(range(vec_id % 4), lambda x: 2.5::DOUBLE) AS z", z=P.full(F.col("vec_id") % 4, 2.5))
-packed("S14_fill", "list_transform(v, lambda x: vec_id::DOUBLE) AS z", z=P.fill("v", F.col("vec_id").cast("double")))
-packed("S15_literal", "[1.0::DOUBLE, 2.0::DOUBLE, 4.0::DOUBLE] AS a, list_transform(v, lambda x: (x * 100)::BIGINT // 1) AS b", a=P.literal([1, 2, 4]), b=F.transform(F.col("v"), lambda x: F.rint(x * 100).cast("long")))
-packed("S16_generate", "list_transform(range(vec_id % 6), lambda i: i * i + vec_id) AS z", z=P.generate(F.col("vec_id") % 6, lambda i: i.cast("long") * i + F.col("vec_id")))
-packed("S17_zero_matrix", "list_transform(range(2), lambda i: list_transform(range(vec_id % 3), lambda j: 0.0::DOUBLE)) AS z", z=P.zero_matrix(2, F.col("vec_id") % 3))
-packed("X01_size", "len(v)::INTEGER AS n", n=P.size("v"))
-packed("X02_shape", "[(len(v) // 8)::INTEGER, 8] AS s", s=P.shape(P.blockify("v", 8), 2))
-packed("X04_resize", f"{vround('list_concat(v[1:60], [])')} AS a, {vround('list_concat(v, [0.0::DOUBLE, 0.0::DOUBLE])')} AS b", a=rv(P.resize("v", 60, keep=True)), b=rv(P.resize("v", P.size("v") + 2, keep=True)))
-packed("X05_element", "round(v[4], 6) + 0.0 AS a, v[1000] AS b", a=r(P.at("v", 3)), b=P.at("v", 999))
-packed("X06_X07_multi_index", "round(v[8 * 2 + 5 + 1], 6) + 0.0 AS a", a=r(P.at(P.blockify("v", 8), 2, 5)))
-packed("X08_sub_array", f"{vround('list_transform(range(len(v) // 8), lambda b: v[b * 8 + 4])')} AS a, {vround('v[17:24]')} AS b", a=rv(P.sub_array(P.blockify("v", 8), 1, 3)), b=rv(P.sub_array(P.blockify("v", 8), 0, 2)))
-packed("X09_interval", f"{vround('v[6:10]')} AS a, {vround('v[63:64]')} AS b", a=rv(P.interval("v", 5, 9)), b=rv(P.interval("v", 62, 99)))
-packed("X10_shift", f"{vround('list_concat(v[11:64], v[1:10])')} AS a, {vround('list_concat([0.0::DOUBLE, 0.0::DOUBLE], v)')} AS b, {vround('v[4:64]')} AS c, {vround('list_concat(v[62:64], v[1:61])')} AS d", a=rv(P.rotate("v", 10)), b=rv(P.shift("v", 2)), c=rv(P.shift("v", -3)), d=rv(P.rotate("v", -3)))
-packed("X11_blockify", f"list_transform(range(4), lambda b: {vround('v[b * 16 + 1:b * 16 + 16]')}) AS b", b=F.transform(P.blockify("v", 16), lambda x: rv(x)))
-packed("X12_deblockify", f"{vround('v')} AS a, {vround('v')} AS b", a=rv(P.deblockify(P.blockify("v", 12))), b=rv(P.flatten(P.deblockify_matrix(P.blockify_matrix(P.blockify("v", 8), 4, 2)))))
-packed("X13_flatten", f"{vround('v')} AS a", a=rv(P.flatten(P.blockify("v", 7))))
-packed("X14_transpose_packed", f"list_transform(range(8), lambda j: {vround('list_transform(range(8), lambda b: v[b * 8 + j + 1])')}) AS t", t=F.transform(P.transpose(P.blockify("v", 8)), lambda x: rv(x)))
-packed("X15_row_vector", f"[{vround('v')}] AS m", m=P.row_vector(rv(F.col("v"))))
-packed("X16_diagonal", f"{vround('list_transform(range(8), lambda i: v[i * 9 + 1])')} AS d", d=rv(P.diagonal(P.blockify("v", 8))))
-packed("X19_cyclic", "round(v[(vec_id % 64) + 1], 6) + 0.0 AS a, round(v[((vec_id * 7 + 500) % 64) + 1], 6) + 0.0 AS b", a=r(P.cyclic("v", F.col("vec_id"))), b=r(P.cyclic("v", F.col("vec_id") * 7 + 500)))
-packed("M01_map_index", f"{vround('list_transform(v, lambda x, i: x * (i - 1))')} AS a, list_transform(range(8), lambda b: {vround('list_transform(v[b * 8 + 1:b * 8 + 8], lambda x, j: x + b * 10 + j - 1)')}) AS m", a=rv(P.map_elements("v", lambda x, i: x * i, with_index=True)), m=F.transform(P.map_elements(P.blockify("v", 8), lambda x, i, j: x + i * 10 + j, depth=2, with_index=True), lambda x: rv(x)))
-packed("M02_U01_map", f"{vround('list_transform(v, lambda x: x * x + 1)')} AS a, {vround('list_transform(range(8), lambda b: list_sum(v[b * 8 + 1:b * 8 + 8]))')} AS rows", a=rv(P.map_elements("v", lambda x: x * x + 1)), rows=rv(P.map_elements(P.blockify("v", 8), lambda row: P.total(row))))
-packed("M03_M05_with_scalar", ", ".join(f"{vround(f'list_transform(v, lambda x: {e})')} AS {n}" for n, e in (("a", "x + 2"), ("b", "x - 2"), ("c", "x * 2"), ("d", "x / 2"), ("e", "2 - x"), ("f", "1 / (x + 10)"))), a=rv(P.with_scalar("v", "+", 2)), b=rv(P.with_scalar("v", "-", 2)), c=rv(P.with_scalar("v", "*", 2)), d=rv(P.with_scalar("v", "/", 2)), e=rv(P.scalar_with(2, "-", "v")), f=rv(P.scalar_with(1, "/", P.with_scalar("v", "+", 10))))
+packed("S12_zeros", "list_transform(range(vec_id % 5), lambda x: 0.0::DOUBLE) AS z", lambda: {"z": P.zeros(F.col("vec_id") % 5)})
+packed("S13_constant", "list_transform(range(vec_id % 4), lambda x: 2.5::DOUBLE) AS z", lambda: {"z": P.full(F.col("vec_id") % 4, 2.5)})
+packed("S14_fill", "list_transform(v, lambda x: vec_id::DOUBLE) AS z", lambda: {"z": P.fill("v", F.col("vec_id").cast("double"))})
+packed("S15_literal", "[1.0::DOUBLE, 2.0::DOUBLE, 4.0::DOUBLE] AS a, list_transform(v, lambda x: (x * 100)::BIGINT // 1) AS b", lambda: {"a": P.literal([1, 2, 4]), "b": F.transform(F.col("v"), lambda x: F.rint(x * 100).cast("long"))})
+packed("S16_generate", "list_transform(range(vec_id % 6), lambda i: i * i + vec_id) AS z", lambda: {"z": P.generate(F.col("vec_id") % 6, lambda i: i.cast("long") * i + F.col("vec_id"))})
+packed("S17_zero_matrix", "list_transform(range(2), lambda i: list_transform(range(vec_id % 3), lambda j: 0.0::DOUBLE)) AS z", lambda: {"z": P.zero_matrix(2, F.col("vec_id") % 3)})
+packed("X01_size", "len(v)::INTEGER AS n", lambda: {"n": P.size("v")})
+packed("X02_shape", "[(len(v) // 8)::INTEGER, 8] AS s", lambda: {"s": P.shape(P.blockify("v", 8), 2)})
+packed("X04_resize", f"{vround('list_concat(v[1:60], [])')} AS a, {vround('list_concat(v, [0.0::DOUBLE, 0.0::DOUBLE])')} AS b", lambda: {"a": rv(P.resize("v", 60, keep=True)), "b": rv(P.resize("v", P.size("v") + 2, keep=True))})
+packed("X05_element", "round(v[4], 6) + 0.0 AS a, v[1000] AS b", lambda: {"a": r(P.at("v", 3)), "b": P.at("v", 999)})
+packed("X06_X07_multi_index", "round(v[8 * 2 + 5 + 1], 6) + 0.0 AS a", lambda: {"a": r(P.at(P.blockify("v", 8), 2, 5))})
+packed("X08_sub_array", f"{vround('list_transform(range(len(v) // 8), lambda b: v[b * 8 + 4])')} AS a, {vround('v[17:24]')} AS b", lambda: {"a": rv(P.sub_array(P.blockify("v", 8), 1, 3)), "b": rv(P.sub_array(P.blockify("v", 8), 0, 2))})
+packed("X09_interval", f"{vround('v[6:10]')} AS a, {vround('v[63:64]')} AS b", lambda: {"a": rv(P.interval("v", 5, 9)), "b": rv(P.interval("v", 62, 99))})
+packed("X10_shift", f"{vround('list_concat(v[11:64], v[1:10])')} AS a, {vround('list_concat([0.0::DOUBLE, 0.0::DOUBLE], v)')} AS b, {vround('v[4:64]')} AS c, {vround('list_concat(v[62:64], v[1:61])')} AS d", lambda: {"a": rv(P.rotate("v", 10)), "b": rv(P.shift("v", 2)), "c": rv(P.shift("v", -3)), "d": rv(P.rotate("v", -3))})
+packed("X11_blockify", f"list_transform(range(4), lambda b: {vround('v[b * 16 + 1:b * 16 + 16]')}) AS b", lambda: {"b": F.transform(P.blockify("v", 16), lambda x: rv(x))})
+packed("X12_deblockify", f"{vround('v')} AS a, {vround('v')} AS b", lambda: {"a": rv(P.deblockify(P.blockify("v", 12))), "b": rv(P.flatten(P.deblockify_matrix(P.blockify_matrix(P.blockify("v", 8), 4, 2))))})
+packed("X13_flatten", f"{vround('v')} AS a", lambda: {"a": rv(P.flatten(P.blockify("v", 7)))})
+packed("X14_transpose_packed", f"list_transform(range(8), lambda j: {vround('list_transform(range(8), lambda b: v[b * 8 + j + 1])')}) AS t", lambda: {"t": F.transform(P.transpose(P.blockify("v", 8)), lambda x: rv(x))})
+packed("X15_row_vector", f"[{vround('v')}] AS m", lambda: {"m": P.row_vector(rv(F.col("v")))})
+packed("X16_diagonal", f"{vround('list_transform(range(8), lambda i: v[i * 9 + 1])')} AS d", lambda: {"d": rv(P.diagonal(P.blockify("v", 8)))})
+packed("X19_cyclic", "round(v[(vec_id % 64) + 1], 6) + 0.0 AS a, round(v[((vec_id * 7 + 500) % 64) + 1], 6) + 0.0 AS b", lambda: {"a": r(P.cyclic("v", F.col("vec_id"))), "b": r(P.cyclic("v", F.col("vec_id") * 7 + 500))})
+packed("M01_map_index", f"{vround('list_transform(v, lambda x, i: x * (i - 1))')} AS a, list_transform(range(8), lambda b: {vround('list_transform(v[b * 8 + 1:b * 8 + 8], lambda x, j: x + b * 10 + j - 1)')}) AS m", lambda: {"a": rv(P.map_elements("v", lambda x, i: x * i, with_index=True)), "m": F.transform(P.map_elements(P.blockify("v", 8), lambda x, i, j: x + i * 10 + j, depth=2, with_index=True), lambda x: rv(x))})
+packed("M02_U01_map", f"{vround('list_transform(v, lambda x: x * x + 1)')} AS a, {vround('list_transform(range(8), lambda b: list_sum(v[b * 8 + 1:b * 8 + 8]))')} AS rows", lambda: {"a": rv(P.map_elements("v", lambda x: x * x + 1)), "rows": rv(P.map_elements(P.blockify("v", 8), lambda row: P.total(row)))})
+packed("M03_M05_with_scalar", ", ".join(f"{vround(f'list_transform(v, lambda x: {e})')} AS {n}" for n, e in (("a", "x + 2"), ("b", "x - 2"), ("c", "x * 2"), ("d", "x / 2"), ("e", "2 - x"), ("f", "1 / (x + 10)"))), lambda: {"a": rv(P.with_scalar("v", "+", 2)), "b": rv(P.with_scalar("v", "-", 2)), "c": rv(P.with_scalar("v", "*", 2)), "d": rv(P.with_scalar("v", "/", 2)), "e": rv(P.scalar_with(2, "-", "v")), "f": rv(P.scalar_with(1, "/", P.with_scalar("v", "+", 10)))})
 _PAIR = "list_transform(range(1, 65), lambda i: v[i] {op} (v[65 - i] + 3))"
-packed("M04_M06_elementwise", ", ".join(f"{vround(_PAIR.format(op=op))} AS {n}" for n, op in (("a", "+"), ("b", "-"), ("c", "*"), ("d", "/"))), **{n: rv(P.elementwise("v", op, P.with_scalar(F.reverse("v"), "+", 3))) for n, op in (("a", "+"), ("b", "-"), ("c", "*"), ("d", "/"))})
-packed("M07_equal", "TRUE AS a, list_reverse(v) = v AS b", a=P.equal("v", "v"), b=P.equal("v", F.reverse("v")))
-packed("M08_M09_M10_M12_M13_unary", ", ".join(f"{vround(f'list_transform(v, lambda x: {e})')} AS {n}" for n, e in (("a", "sqrt(abs(x))"), ("b", "pow(x, 3)"), ("c", "abs(x)"), ("d", "sign(x)::DOUBLE"))), a=rv(P.sqrt(P.absolute("v"))), b=rv(P.power("v", 3)), c=rv(P.absolute("v")), d=rv(P.sign("v")))
-packed("M14_U03_visit", f"{vround('list_transform(range(1, 65), lambda i: v[i] + 2 * v[65 - i] + v[i] * v[i])')} AS a", a=rv(P.visit(lambda x, y, z: x + 2 * y + z, "v", F.reverse("v"), P.power("v", 2))))
-packed("M15_first", "round(v[1], 6) + 0.0 AS a", a=r(P.first("v")))
-packed("G01_G02_G03_G04_sum_mean", "round(list_sum(v), 6) + 0.0 AS a, round(list_sum(v[4:11]), 6) + 0.0 AS b, round(list_avg(v), 6) + 0.0 AS c, round(list_avg(v[61:64]), 6) + 0.0 AS d, round(list_sum(list_transform(range(8), lambda b: v[b * 8 + 3])), 6) + 0.0 AS k, " + vround("list_transform(range(8), lambda j: list_sum(list_transform(range(8), lambda b: v[b * 8 + j + 1])))") + " AS rows", a=r(P.total("v")), b=r(P.total("v", 3, 10)), c=r(P.mean("v")), d=r(P.mean("v", 60, 90)), k=r(P.total(P.blockify("v", 8), key=2)), rows=rv(P.total_rows(P.blockify("v", 8))))
-packed("G05_sd_packed", "round(list_stddev_pop(v), 6) + 0.0 AS a", a=r(P.deviation("v")))
-packed("G07_mean_product_packed", "round(list_avg(list_transform(range(1, 65), lambda i: v[i] * v[65 - i])), 6) + 0.0 AS a", a=r(P.mean_product("v", F.reverse("v"))))
-packed("G10_weighted_median_packed", "(SELECT coalesce(max(i - 1), 0)::INTEGER FROM (SELECT i, list_sum(list_transform(v[1:i], lambda x: round(abs(x) * 1000)::BIGINT)) AS c FROM (SELECT unnest(range(1, 65)) AS i)) WHERE c * 2 <= list_sum(list_transform(v, lambda x: round(abs(x) * 1000)::BIGINT))) AS m", m=P.weighted_median(F.transform(F.col("v"), lambda x: F.round(F.abs(x) * 1000).cast("long"))))
-packed("G11_G12_G13_extremes", "round(list_max(v), 6) + 0.0 AS a, round(list_min(v), 6) + 0.0 AS b, (list_position(v, list_max(v)) - 1)::INTEGER AS i, (list_position(v, list_min(v)) - 1)::INTEGER AS j, round(list_max(v), 6) + 0.0 AS deep", a=r(P.maximum("v")), b=r(P.minimum("v")), i=P.maximum_index("v"), j=P.minimum_index("v"), deep=r(P.maximum(P.blockify("v", 8), 2)))
+packed("M04_M06_elementwise", ", ".join(f"{vround(_PAIR.format(op=op))} AS {n}" for n, op in (("a", "+"), ("b", "-"), ("c", "*"), ("d", "/"))), lambda: {n: rv(P.elementwise("v", op, P.with_scalar(F.reverse("v"), "+", 3))) for n, op in (("a", "+"), ("b", "-"), ("c", "*"), ("d", "/"))})
+packed("M07_equal", "TRUE AS a, list_reverse(v) = v AS b", lambda: {"a": P.equal("v", "v"), "b": P.equal("v", F.reverse("v"))})
+packed("M08_M09_M10_M12_M13_unary", ", ".join(f"{vround(f'list_transform(v, lambda x: {e})')} AS {n}" for n, e in (("a", "sqrt(abs(x))"), ("b", "pow(x, 3)"), ("c", "abs(x)"), ("d", "sign(x)::DOUBLE"))), lambda: {"a": rv(P.sqrt(P.absolute("v"))), "b": rv(P.power("v", 3)), "c": rv(P.absolute("v")), "d": rv(P.sign("v"))})
+packed("M14_U03_visit", f"{vround('list_transform(range(1, 65), lambda i: v[i] + 2 * v[65 - i] + v[i] * v[i])')} AS a", lambda: {"a": rv(P.visit(lambda x, y, z: x + 2 * y + z, "v", F.reverse("v"), P.power("v", 2)))})
+packed("M15_first", "round(v[1], 6) + 0.0 AS a", lambda: {"a": r(P.first("v"))})
+packed("G01_G02_G03_G04_sum_mean", "round(list_sum(v), 6) + 0.0 AS a, round(list_sum(v[4:11]), 6) + 0.0 AS b, round(list_avg(v), 6) + 0.0 AS c, round(list_avg(v[61:64]), 6) + 0.0 AS d, round(list_sum(list_transform(range(8), lambda b: v[b * 8 + 3])), 6) + 0.0 AS k, " + vround("list_transform(range(8), lambda j: list_sum(list_transform(range(8), lambda b: v[b * 8 + j + 1])))") + " AS rows", lambda: {"a": r(P.total("v")), "b": r(P.total("v", 3, 10)), "c": r(P.mean("v")), "d": r(P.mean("v", 60, 90)), "k": r(P.total(P.blockify("v", 8), key=2)), "rows": rv(P.total_rows(P.blockify("v", 8)))})
+packed("G05_sd_packed", "round(list_stddev_pop(v), 6) + 0.0 AS a", lambda: {"a": r(P.deviation("v"))})
+packed("G07_mean_product_packed", "round(list_avg(list_transform(range(1, 65), lambda i: v[i] * v[65 - i])), 6) + 0.0 AS a", lambda: {"a": r(P.mean_product("v", F.reverse("v")))})
+packed("G10_weighted_median_packed", "(SELECT coalesce(max(i - 1), 0)::INTEGER FROM (SELECT i, list_sum(list_transform(v[1:i], lambda x: round(abs(x) * 1000)::BIGINT)) AS c FROM (SELECT unnest(range(1, 65)) AS i)) WHERE c * 2 <= list_sum(list_transform(v, lambda x: round(abs(x) * 1000)::BIGINT))) AS m", lambda: {"m": P.weighted_median(F.transform(F.col("v"), lambda x: F.round(F.abs(x) * 1000).cast("long")))})
+packed("G11_G12_G13_extremes", "round(list_max(v), 6) + 0.0 AS a, round(list_min(v), 6) + 0.0 AS b, (list_position(v, list_max(v)) - 1)::INTEGER AS i, (list_position(v, list_min(v)) - 1)::INTEGER AS j, round(list_max(v), 6) + 0.0 AS deep", lambda: {"a": r(P.maximum("v")), "b": r(P.minimum("v")), "i": P.maximum_index("v"), "j": P.minimum_index("v"), "deep": r(P.maximum(P.blockify("v", 8), 2))})
 _CLASS = "least(3, floor((v[i] + 0.25) / 0.5 * 4)::INTEGER)"
-packed("G14_G15_histogram_packed", f"list_transform(range(4), lambda k: len(list_filter(range(1, 65), lambda i: v[i] >= -0.25 AND v[i] <= 0.25 AND {_CLASS} = k))::INTEGER) AS h, list_transform(range(4), lambda k: list_transform(list_filter(range(1, 65), lambda i: v[i] >= -0.25 AND v[i] <= 0.25 AND {_CLASS} = k), lambda i: (i - 1)::INTEGER)) AS members", h=P.histogram("v", 4, -0.25, 0.25), members=P.histogram_members("v", 4, -0.25, 0.25))
-packed("O01_argsort", "list_transform(list_sort(list_transform(range(1, 65), lambda i: {'x': v[i], 'i': i - 1})), lambda s: s.i::INTEGER) AS a", a=P.argsort("v"))
-packed("O02_sort", f"{vround('list_sort(v)')} AS a", a=rv(P.sort("v")))
-packed("L01_L02_L03_dot", "round(list_dot_product(v, list_reverse(v)), 6) + 0.0 AS a, round(list_sum(v) * 3, 6) + 0.0 AS b", a=r(P.dot("v", F.reverse("v"))), b=r(P.dot(P.literal([3]), "v")))
-packed("L06_L08_small_products", f"list_transform(range(8), lambda i: {vround('list_transform(range(8), lambda j: list_sum(list_transform(range(8), lambda k: v[i * 8 + k + 1] * v[k * 8 + j + 1])))')}) AS m, {vround('list_transform(range(8), lambda i: list_sum(list_transform(range(8), lambda k: v[i * 8 + k + 1] * v[k + 1])))')} AS w", m=F.transform(P.matrix_product(P.blockify("v", 8), P.blockify("v", 8)), lambda x: rv(x)), w=rv(P.matrix_vector(P.blockify("v", 8), P.interval("v", 0, 7))))
-packed("L12_det_closed", "round(v[1] * v[4] - v[2] * v[3], 6) + 0.0 AS a, round(v[1] * (v[5] * v[9] - v[6] * v[8]) - v[2] * (v[4] * v[9] - v[6] * v[7]) + v[3] * (v[4] * v[8] - v[5] * v[7]), 6) + 0.0 AS b", a=r(P.determinant_small(P.blockify(P.interval("v", 0, 3), 2), 2)), b=r(P.determinant_small(P.blockify(P.interval("v", 0, 8), 3), 3)))
-packed("G16_G17_G18_G19_G20_norms", "round(list_sum(list_transform(range(8), lambda i: v[i * 9 + 1])), 6) + 0.0 AS tr, round(v[1] * v[1], 6) + 0.0 AS one, round(sqrt(list_dot_product(v, v)), 6) + 0.0 AS fro, round(sqrt(list_dot_product(v, v)), 6) + 0.0 AS euc, round(list_dot_product(v, v), 6) + 0.0 AS can", tr=r(P.trace(P.blockify("v", 8))), one=r(P.first("v") * P.first("v")), fro=r(P.frobenius(P.blockify("v", 8))), euc=r(P.norm("v")), can=r(P.square_norm("v")))
+packed("G14_G15_histogram_packed", f"list_transform(range(4), lambda k: len(list_filter(range(1, 65), lambda i: v[i] >= -0.25 AND v[i] <= 0.25 AND {_CLASS} = k))::INTEGER) AS h, list_transform(range(4), lambda k: list_transform(list_filter(range(1, 65), lambda i: v[i] >= -0.25 AND v[i] <= 0.25 AND {_CLASS} = k), lambda i: (i - 1)::INTEGER)) AS members", lambda: {"h": P.histogram("v", 4, -0.25, 0.25), "members": P.histogram_members("v", 4, -0.25, 0.25)})
+packed("O01_argsort", "list_transform(list_sort(list_transform(range(1, 65), lambda i: {'x': v[i], 'i': i - 1})), lambda s: s.i::INTEGER) AS a", lambda: {"a": P.argsort("v")})
+packed("O02_sort", f"{vround('list_sort(v)')} AS a", lambda: {"a": rv(P.sort("v"))})
+packed("L01_L02_L03_dot", "round(list_dot_product(v, list_reverse(v)), 6) + 0.0 AS a, round(list_sum(v) * 3, 6) + 0.0 AS b", lambda: {"a": r(P.dot("v", F.reverse("v"))), "b": r(P.dot(P.literal([3]), "v"))})
+packed("L06_L08_small_products", f"list_transform(range(8), lambda i: {vround('list_transform(range(8), lambda j: list_sum(list_transform(range(8), lambda k: v[i * 8 + k + 1] * v[k * 8 + j + 1])))')}) AS m, {vround('list_transform(range(8), lambda i: list_sum(list_transform(range(8), lambda k: v[i * 8 + k + 1] * v[k + 1])))')} AS w", lambda: {"m": F.transform(P.matrix_product(P.blockify("v", 8), P.blockify("v", 8)), lambda x: rv(x)), "w": rv(P.matrix_vector(P.blockify("v", 8), P.interval("v", 0, 7)))})
+packed("L12_det_closed", "round(v[1] * v[4] - v[2] * v[3], 6) + 0.0 AS a, round(v[1] * (v[5] * v[9] - v[6] * v[8]) - v[2] * (v[4] * v[9] - v[6] * v[7]) + v[3] * (v[4] * v[8] - v[5] * v[7]), 6) + 0.0 AS b", lambda: {"a": r(P.determinant_small(P.blockify(P.interval("v", 0, 3), 2), 2)), "b": r(P.determinant_small(P.blockify(P.interval("v", 0, 8), 3), 3))})
+packed("G16_G17_G18_G19_G20_norms", "round(list_sum(list_transform(range(8), lambda i: v[i * 9 + 1])), 6) + 0.0 AS tr, round(v[1] * v[1], 6) + 0.0 AS one, round(sqrt(list_dot_product(v, v)), 6) + 0.0 AS fro, round(sqrt(list_dot_product(v, v)), 6) + 0.0 AS euc, round(list_dot_product(v, v), 6) + 0.0 AS can", lambda: {"tr": r(P.trace(P.blockify("v", 8))), "one": r(P.first("v") * P.first("v")), "fro": r(P.frobenius(P.blockify("v", 8))), "euc": r(P.norm("v")), "can": r(P.square_norm("v"))})
 _INTS = "list_transform(v, lambda x: round(x * 100)::BIGINT)"
-packed("S09_S10_S11_text", f"array_to_string({_INTS}, ' ') AS flat, '{{' || array_to_string(list_transform(range(8), lambda b: '{{' || array_to_string({_INTS}[b * 8 + 1:b * 8 + 8], ',') || '}}'), ',') || '}}' AS braces, array_to_string(list_transform(range(8), lambda b: array_to_string({_INTS}[b * 8 + 1:b * 8 + 8], ' ')), chr(10)) AS lines", **(lambda ints: {"flat": P.join_text(ints), "braces": P.braces_text(P.blockify(ints, 8), 2), "lines": P.lines_text(P.blockify(ints, 8))})(F.transform(F.col("v"), lambda x: F.round(x * 100).cast("long"))))
+packed("S09_S10_S11_text", f"array_to_string({_INTS}, ' ') AS flat, '{{' || array_to_string(list_transform(range(8), lambda b: '{{' || array_to_string({_INTS}[b * 8 + 1:b * 8 + 8], ',') || '}}'), ',') || '}}' AS braces, array_to_string(list_transform(range(8), lambda b: array_to_string({_INTS}[b * 8 + 1:b * 8 + 8], ' ')), chr(10)) AS lines", lambda: (lambda ints: {"flat": P.join_text(ints), "braces": P.braces_text(P.blockify(ints, 8), 2), "lines": P.lines_text(P.blockify(ints, 8))})(F.transform(F.col("v"), lambda x: F.round(x * 100).cast("long"))))
 
 # Complex numbers: pairs of neighbours as real and imaginary part.
 
-_Z = F.transform(P.blockify("v", 2), lambda p: C.make(P.at(p, 0), P.at(p, 1)))
+def pairs() -> Column:
+    return F.transform(P.blockify("v", 2), lambda p: C.make(P.at(p, 0), P.at(p, 1)))
+
+
+
 _RE, _IM = "list_transform(range(32), lambda i: v[2 * i + 1])", "list_transform(range(32), lambda i: v[2 * i + 2])"
-packed("X17_real_imag", f"{vround(_RE)} AS re, {vround(_IM)} AS im, list_transform(v, lambda x: 0.0::DOUBLE) AS none, {vround(_RE)} AS re2, {vround(_IM)} AS im2", re=rv(C.array_real(_Z)), im=rv(C.array_imag(_Z)), none=C.array_imag("v", is_complex=False), re2=rv(C.array_real(C.array_real_complex(_Z))), im2=rv(C.array_real(C.array_imag_complex(_Z))))
-packed("M10_M11_complex", f"{vround('list_transform(range(32), lambda i: sqrt(v[2 * i + 1] ** 2 + v[2 * i + 2] ** 2))')} AS modulus, {vround('list_transform(range(32), lambda i: -v[2 * i + 2])')} AS conj, {vround('list_transform(range(32), lambda i: v[2 * i + 1] ** 2 + v[2 * i + 2] ** 2)')} AS square", modulus=rv(C.array_modulus(_Z)), conj=rv(C.array_imag(C.array_conjugate(_Z))), square=rv(F.transform(_Z, lambda z: C.real(C.multiply(z, C.conjugate(z))))))
-packed("G05_sd_complex", f"round(sqrt(list_dot_product(v, v) / 32 - (pow(list_sum({_RE}), 2) + pow(list_sum({_IM}), 2)) / 1024), 6) + 0.0 AS sd", sd=r(C.deviation(_Z)))
+packed("X17_real_imag", f"{vround(_RE)} AS re, {vround(_IM)} AS im, list_transform(v, lambda x: 0.0::DOUBLE) AS none, {vround(_RE)} AS re2, {vround(_IM)} AS im2", lambda: {"re": rv(C.array_real(pairs())), "im": rv(C.array_imag(pairs())), "none": C.array_imag("v", is_complex=False), "re2": rv(C.array_real(C.array_real_complex(pairs()))), "im2": rv(C.array_real(C.array_imag_complex(pairs())))})
+packed("M10_M11_complex", f"{vround('list_transform(range(32), lambda i: sqrt(v[2 * i + 1] ** 2 + v[2 * i + 2] ** 2))')} AS modulus, {vround('list_transform(range(32), lambda i: -v[2 * i + 2])')} AS conj, {vround('list_transform(range(32), lambda i: v[2 * i + 1] ** 2 + v[2 * i + 2] ** 2)')} AS square", lambda: {"modulus": rv(C.array_modulus(pairs())), "conj": rv(C.array_imag(C.array_conjugate(pairs()))), "square": rv(F.transform(pairs(), lambda z: C.real(C.multiply(z, C.conjugate(z)))))})
+packed("G05_sd_complex", f"round(sqrt(list_dot_product(v, v) / 32 - (pow(list_sum({_RE}), 2) + pow(list_sum({_IM}), 2)) / 1024), 6) + 0.0 AS sd", lambda: {"sd": r(C.deviation(pairs()))})
 
 
 @query("X03_rank", "SELECT 'vec_id' AS name, 0 AS rank UNION ALL SELECT 'embedding', 1 UNION ALL SELECT 'label', 0")
@@ -287,7 +291,13 @@ cube_query("S21_cube", "SELECT step, observable, idx, round(s, 6) + 0.0 AS s, ro
 cube_query("G08_mean_interval", "SELECT observable, idx, round(sum(s) / sum(c), 6) + 0.0 AS mean FROM x WHERE step BETWEEN 10 AND 30 GROUP BY ALL")(lambda cells: observables.summary(cells, 10, 30).select("observable", "idx", "mean"))
 cube_query("R02_jackknife_means", f", {_JACK} SELECT step, observable, idx, round(theta, 6) + 0.0 AS theta, round(mean, 6) + 0.0 AS mean, n FROM j")(observables.jackknife_means)
 cube_query("R01_binning", "SELECT ((step + 1) * 7 - 1) // 80 AS step, observable, idx, round(sum(s) / sum(c), 6) + 0.0 AS s, round((sum(s) / sum(c)) ** 2, 6) + 0.0 AS q, 1.0::DOUBLE AS c FROM x GROUP BY ALL")(lambda cells: observables.binning(cells, 7, 80))
-_BOOT = ", plan AS (SELECT r AS sample, d AS draw, CASE WHEN r = 0 THEN d ELSE (r * 7919 + d * 104729 + r * d * 31) % 80 END AS step FROM range(40) a(r), range(80) b(d)), th AS (SELECT sample, observable, idx, sum(s) / sum(c) AS theta FROM plan JOIN x USING (step) GROUP BY ALL)"
+_P = observables.PRIME
+_BOOT = f", h0 AS (SELECT r, d, (r * 1000003 + d * 10007 + 17) % {_P} AS h FROM range(40) a(r), range(80) b(d))"
+for _k, _c in enumerate((11, 23, 37)):
+    _BOOT += f", h{_k + 1} AS (SELECT r, d, (h * h % {_P} + h * 48271 + {_c}) % {_P} AS h FROM h{_k})"
+_BOOT += (
+    ", plan AS (SELECT r AS sample, d AS draw, CASE WHEN r = 0 THEN d ELSE h % 80 END AS step FROM h3), th AS (SELECT sample, observable, idx, sum(s) / sum(c) AS theta FROM plan JOIN x USING (step) GROUP BY ALL)"
+)
 cube_query("R04_bootstrap", _BOOT.split(", th AS")[0] + " SELECT sample::INTEGER AS sample, draw::INTEGER AS draw, step::INTEGER AS step, observable, idx, round(s, 6) + 0.0 AS s, round(q, 6) + 0.0 AS q, c FROM plan JOIN x USING (step)")(lambda cells: observables.bootstrap(cells, 40, 80, 80).select("sample", "draw", "step", "observable", "idx", "s", "q", "c"))
 cube_query("R05_sample_means", _BOOT + " SELECT sample::INTEGER AS sample, observable, idx, round(theta, 6) + 0.0 AS theta FROM th")(lambda cells: observables.sample_means(observables.bootstrap(cells, 40, 80, 80)))
 cube_query("R06_bootstrap_error", _BOOT + " SELECT observable, idx, round(stddev_samp(theta), 6) + 0.0 AS error FROM th GROUP BY ALL")(lambda cells: observables.sample_error(observables.sample_means(observables.bootstrap(cells, 40, 80, 80))))

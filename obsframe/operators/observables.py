@@ -71,13 +71,23 @@ def binning(cells: DataFrame, bins: int = 10, steps: int | None = None) -> DataF
     return sums.select("step", *CELL, m.alias("s"), (m * m).alias("q"), F.when(F.col("c") > 0, 1.0).otherwise(0.0).alias("c"))
 
 
+PRIME = 2**31 - 1
+
+
+def drawn_step(sample: Column, draw: Column, steps: int) -> Column:
+    """A step for each sample and draw: three quadratic rounds modulo a prime, exact in 64-bit integers."""
+    h = (sample.cast("long") * 1_000_003 + draw.cast("long") * 10_007 + 17) % PRIME
+    for c in (11, 23, 37):
+        h = (h * h % PRIME + h * 48_271 + c) % PRIME
+    return (h % steps).cast("int")
+
+
 def bootstrap(cells: DataFrame, samples: int, draws: int, steps: int) -> DataFrame:
-    """sample, draw and the cells of the drawn step. Sample 0 is the data themselves; others draw uniformly from all
-    steps, by integer arithmetic that any engine can repeat."""
+    """sample, draw and the cells of the drawn step. Sample 0 is the data themselves; others draw from all steps with
+    replacement, by integer arithmetic that any engine can repeat."""
     n = F.col("id")
     plan = cells.sparkSession.range(samples * draws).select(F.floor(n / draws).cast("int").alias("sample"), (n % draws).cast("int").alias("draw"))
-    r, d = F.col("sample").cast("long"), F.col("draw").cast("long")
-    step = F.when(r == 0, d).otherwise((r * 7919 + d * 104729 + r * d * 31) % steps).cast("int")
+    step = F.when(F.col("sample") == 0, F.col("draw")).otherwise(drawn_step(F.col("sample"), F.col("draw"), steps))
     return plan.withColumn("step", step).join(cells, "step")
 
 
