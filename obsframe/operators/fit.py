@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 log = logging.getLogger(__name__)
 MAX_ITERATIONS, TOLERANCE = 10_000, 1e-8
 
@@ -193,6 +195,7 @@ def least_squares(model: Model, x: np.ndarray, y: np.ndarray, sigma: np.ndarray)
 
 def fit(df: DataFrame, keys: list[str], model: Callable[[pd.DataFrame], Model] | Model, x: str | None = "x", y: str = "y", sigma: str | None = "sigma") -> DataFrame:
     """keys, parameters, chi2 (over degrees of freedom; null without any), iterations. model may be made from the points."""
+    ship(df.sparkSession)
     columns = [*keys, F.col(y).cast("double").alias("_y"), (F.col(x).cast("double") if x else F.lit(None).cast("double")).alias("_x"), (F.col(sigma).cast("double") if sigma else F.lit(1.0)).alias("_s")]
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +15,21 @@ def session(master: str | None = None, app: str = "obsframe", **settings: str) -
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for an application, so that Python workers find it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="obsframe-code-")  # the driver serves the file from here; executors fetch it
+    here = Path(__file__).resolve().parent
+    path = Path(folder) / "obsframe.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(here.rglob("*.py")):
+            z.write(source, Path(here.name) / source.relative_to(here))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
