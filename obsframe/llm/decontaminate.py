@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import bound_batches
+
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ITEM_CHARS = 1_000_000
@@ -185,7 +187,7 @@ def contamination(
 
         return run
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     first = rows.mapInArrow(scan(groups[0], False), schema)
     if len(groups) == 1:
         return first.drop("h")
@@ -220,7 +222,7 @@ def decontaminate(
     which hits cover more than coverage_limit of the words are dropped. Clean rows stay exactly as they are; chars_col,
     if there, follows the text."""
     for shared in _item_groups(items, item_id, item_text, item_chars):
-        docs = docs.mapInArrow(_cutter(shared, window, span_limit, coverage_limit, docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1), docs.schema)
+        docs = bound_batches(docs).mapInArrow(_cutter(shared, window, span_limit, coverage_limit, docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1), docs.schema)
     return docs
 
 

@@ -23,7 +23,7 @@ _PIECES = re.compile(
 )
 _OTHER = re.compile("[^\u0000-\u024f]")
 #: Texts beyond this many characters are still encoded whole; only the cache of pieces is bounded.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 
 
 def default_tokenizer() -> str:

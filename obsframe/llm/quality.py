@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import held_out
+from .work import bound_batches, held_out
 
 #: Bound of the training sample, in rows.
 ROWS = 12_000
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([statistics(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
 
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(known), "i").select("t", "y")
+    texts = bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(known), "i").select("t", "y")
     got = texts.mapInArrow(run, "y int, x array<double>").toArrow()
     y = np.array(got.column(0).to_pylist(), float)
     x = np.array(got.column(1).to_pylist(), float).reshape(len(y), len(statistics(None)))
@@ -151,7 +151,7 @@ def score_documents(docs: DataFrame, model: FlatTrees, id_col: str = "doc_id", t
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()], float).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(x))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def predicted(score: Column, threshold: float = 0.3) -> Column:

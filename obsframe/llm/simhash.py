@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .work import materialize, partitions
+from .work import bound_batches, materialize, partitions
 
 CHUNK = 2048
 SEED = 42  # of the first lane; further lanes count on
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
             made = [fingerprint(t, words, lanes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.int64())], ["doc_id", "fp", "n"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp array<long>, n long")
 
 

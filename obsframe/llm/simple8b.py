@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_tokenizer, encoder
-from .work import by_bytes, materialize, new_path, partitions
+from .work import bound_batches, by_bytes, materialize, new_path, partitions
 
 # Ids in a word, and bits of each, by selector; 120 ids of no bits are zeros.
 COUNTS = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -250,7 +250,7 @@ def write_tokens(df: DataFrame, uri: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "part", "file", "n_docs", "n_ids"), r, strict=True)) for r in rows], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = bound_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     rows = rows.repartitionByRange(partitions(spark), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     return materialize(rows.mapInArrow(write, "shard int, part int, file string, n_docs long, n_ids long"), "manifest")
 

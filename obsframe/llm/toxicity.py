@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import held_out
+from .work import bound_batches, held_out
 
 #: Bounds of the two training samples, in rows.
 P_ROWS, U_ROWS = 3_000, 6_000
@@ -99,7 +99,7 @@ def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([word_codes(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))], ["codes"])
 
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("t")
+    texts = bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").select("t")
     got = texts.mapInArrow(run, "codes array<long>").toArrow().column(0)
     return [np.array(c.values, np.uint32) for c in got]
 
@@ -128,7 +128,7 @@ def score_documents(docs: DataFrame, model: LinearWords, id_col: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: LinearWords, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -139,7 +139,7 @@ def drop_toxic(docs: DataFrame, model: LinearWords, text_col: str = "text", thre
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bound_batches(docs).mapInArrow(run, docs.schema)
 
 
 def predicted(score: Column, threshold: float = 0.5) -> Column:

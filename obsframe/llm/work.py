@@ -6,6 +6,7 @@ intermediate tables are written to the folder that the cluster names in `spark.c
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BATCH_BYTES = 8 << 20
 _own_dir: dict[str, str] = {}
 
 
@@ -36,6 +40,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    ship(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,6 +52,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Python no more than BATCH_BYTES of rows at a time, unless a limit has been set, so that a
+    worker's memory does not follow the length of texts."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    ship(df.sparkSession)
+    if df.sparkSession.sparkContext.getConf().get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
