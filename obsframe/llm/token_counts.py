@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_tokenizer, encoder
-from .work import bound_batches, by_bytes
+from .work import bound_batches, by_bytes, materialize
 
-RANGE = 4096
+#: Lengths in a range.
+RANGE = 256
 
 
 def length_histogram(df: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -40,10 +41,11 @@ def length_histogram(df: DataFrame, text_col: str = "text", tokenizer: str | Non
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """n_tokens, n_docs, docs_ge, tokens_ge (documents this long or longer, and their ids), docs_le,
     truncated_total (ids left when every document is cut to n_tokens)."""
+    hist = materialize(hist, "lengths")  # read twice below; the documents are encoded once
     hist = hist.withColumn("range", F.floor(F.col("n_tokens") / RANGE).cast("long"))
     tokens = F.col("n_tokens") * F.col("n_docs")
     by_range = hist.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
-    # One row per 4,096 lengths: as many rows as the longest document has ids, over 4,096.
+    # A row for each range: as many as the longest document has ids, over RANGE.
     above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_range = by_range.select(
