@@ -58,12 +58,14 @@ class LinearWords:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 0.008, beta: float = 0.0) -> LinearWords:
-    """Fit by full-batch Adam on the non-negative risk with the logistic loss. l1 shrinks with the root of the number of
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 0.005, ascent: float = 0.3) -> LinearWords:
+    """Fit by adaptive full-batch steps of falling length on the non-negative risk with the logistic loss. Where the
+    negative part is below zero, the step climbs it, shortened by `ascent`. l1 shrinks with the root of the number of
     positives, as the sampling error of the gradient does."""
     if not positive or not unlabelled:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return LinearWords(np.zeros(0, np.uint32), np.zeros(0), float(np.log(p / (1 - p))))
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
     rows = positive + unlabelled
     codes, column = np.unique(np.concatenate(rows), return_inverse=True)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -75,18 +77,18 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     is_p = np.arange(len(rows)) < n_p
     x = np.zeros(n + 1)
     x[n] = np.log(prior / (1 - prior))
-    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    drift, size = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
         z = np.clip(x[n] + np.bincount(owner, weights=x[column], minlength=len(rows)), -30, 30)
         s = 1 / (1 + np.exp(-z))
-        soft = np.logaddexp(0, z)  # loss of a row taken as negative
-        negative = soft[~is_p].mean() - prior * soft[is_p].mean()
+        as_negative = np.logaddexp(0, z)
+        below = as_negative[~is_p].mean() < prior * as_negative[is_p].mean()
         g_minus = np.where(is_p, -prior * s / n_p, s / n_u)
-        g = np.where(is_p, prior * (s - 1) / n_p, 0) + g_minus if negative >= -beta else -g_minus
+        g = -ascent * g_minus if below else np.where(is_p, prior * (s - 1) / n_p, 0) + g_minus
         grad = np.append(np.bincount(column, weights=g[owner], minlength=n), g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
-        x = x - step * m / (1 - 0.9**t)
+        drift, size = 0.9 * drift + 0.1 * grad, 0.99 * size + 0.01 * grad**2
+        step = rate / np.sqrt(1 + t / 50) / (np.sqrt(size / (1 - 0.99**t)) + 1e-4)
+        x = x - step * drift / (1 - 0.9**t)
         x[:n] = np.sign(x[:n]) * np.maximum(np.abs(x[:n]) - step[:n] * l1, 0)
     keep = np.flatnonzero(x[:n])
     return LinearWords(codes[keep], x[keep], float(x[n]))
