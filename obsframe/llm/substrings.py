@@ -8,15 +8,17 @@ a left one followed by a right one becomes a new symbol. A name is a hash of wha
 equal names everywhere without an exchange, but for symbols near their ends, which can pair with what stands outside.
 How far that reaches into a window follows from the window's own words: a run at an end may go on outside; a first
 symbol of the right side, or a last one of the left side, may pair outside. What is left inside is the consistent
-interior. A window's anchor is the least hash among the symbols of its highest non-empty interior (of the window
-itself, when it has none, as in long runs): equal windows have equal anchors.
+interior. A window's anchor is the least hash among the triples of neighbouring symbols in its highest interior that has
+three (or pairs, or single symbols; or of the window itself, when it has no interior, as in long runs): equal windows
+have equal anchors. Few rounds, and joint symbols, keep anchors sparse and still telling.
 
 1. Whole texts that repeat are found by a hash of their words; only the first of each goes on.
 2. Anchors that occur once in the corpus prove their windows unique. Anchors are counted with partial sums.
-3. Only documents with repeated anchors are read again; of their windows, only those with repeated anchors are
-   hashed (96 bits), and those that repeat within a batch are settled there, so a very common passage reaches the
-   shuffle once a batch.
-4. Windows are ranked by first place within equal hashes; all but the first mark their words.
+3. Only documents with repeated anchors are read again, in chunks of some megabytes; of their windows, only those with
+   repeated anchors are hashed (80 bits), and those that repeat within a chunk are settled there, so a very common
+   passage reaches the shuffle once a chunk. What is left travels as packed arrays, a row for each chunk and bucket of
+   hashes; there are as many buckets as keep each at some BUCKET_WORDS words of the corpus.
+4. In a bucket, all but the earliest of equal windows are marked, and the marks go back to their chunk.
 
 Nulls: a null text has no words; a null id sorts before all others. Rows that repeat an id are ordered by a hash of the
 text; rows equal in both count as one document and get the same result each. Empty table: no rows. Other columns are
@@ -26,16 +28,19 @@ never read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import by_bytes, materialize
+from .work import bound_batches, by_bytes, free_shuffles, materialize, partitions
 
-WINDOW, ROUNDS = 20, 4
-CHUNK_BYTES = 8_000_000
+WINDOW, ROUNDS, NEIGHBOURS = 20, 2, 3
+CHUNK_BYTES = 4_000_000
+BUCKET_WORDS = 300_000
 NULL_ID = -(2**63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -77,7 +82,7 @@ def window_hashes(codes: np.ndarray, starts: np.ndarray, window: int = WINDOW) -
     return _mix(a), _mix(b)
 
 
-def anchors(codes: np.ndarray, mark: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def anchors(codes: np.ndarray, mark: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
     """Name and first word of each window's anchor."""
     out, where = np.zeros(len(starts), np.uint64), starts.copy()
     if not len(starts):
@@ -112,18 +117,22 @@ def anchors(codes: np.ndarray, mark: np.ndarray, starts: np.ndarray, window: int
         paired = name.copy()
         paired[pair] = _mix(name[pair] * _ODD[0] + _mix(name[pair + 1] + _ODD[2]) + np.uint64(level + 1))
         name, place, mark = paired[keep], place[keep], mark[keep]
-    # The highest level that a window reached counts.
+    # Some neighbouring symbols of the highest level that has as many inside say most; else fewer.
     done = np.zeros(len(starts), bool)
-    for who, low, high, name, place in reversed(levels):
-        first = ~done[who]
-        who, low, high = who[first], low[first], high[first]
-        if not len(who):
-            continue
-        key, best = _mix(name ^ _ODD[1]), low.copy()
-        for k in range(1, int((high - low).max())):
-            at = np.minimum(low + k, high - 1)
-            best = np.where(key[at] < key[best], at, best)
-        out[who], where[who], done[who] = name[best], place[best], True
+    for wide in range(neighbours, 0, -1):
+        for who, low, high, name, place in reversed(levels):
+            open_ = ~done[who] & (high - low >= wide)
+            who, low, high = who[open_], low[open_], high[open_] - (wide - 1)
+            if not len(who):
+                continue
+            joint = name.copy()
+            for k in range(1, wide):
+                joint[:-k] = _mix(joint[:-k] * _ODD[3] + _mix(name[k:] ^ _ODD[0]))
+            key, best = _mix(joint ^ _ODD[1]), low.copy()
+            for k in range(1, int((high - low).max())):
+                at = np.minimum(low + k, high - 1)
+                best = np.where(key[at] < key[best], at, best)
+            out[who], where[who], done[who] = joint[best], place[best], True
     rest = np.flatnonzero(~done)
     out[rest] = window_hashes(codes, starts[rest], window)[0]
     return out, where
@@ -168,22 +177,35 @@ def _described(window: int):
     return run
 
 
-def _candidates(window: int):
-    """For each text with repeated anchors: hashes and starts of windows to rank, and starts settled in the batch."""
+_PACKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("h", pa.list_(pa.int64())), ("h2", pa.list_(pa.int16())), ("start", pa.list_(pa.int32())), ("doc", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+_DOCS = pa.schema([("at", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("settled", pa.list_(pa.int32()))])
+_WINDOWS = "chunk long, bucket int, h array<long>, h2 array<smallint>, start array<int>, doc array<int>, ids array<long>, ths array<long>, counts array<int>, at int, id long, th long, settled array<int>"
+
+
+def _candidates(window: int, buckets: int):
+    """Rows of two kinds: packs of windows to rank, by chunk and bucket, and the documents of a chunk with the starts
+    that were settled in it."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        whole = pa.schema([*_PACKS, *_DOCS])
         for batch in batches:
             batch = batch.take(pa.compute.sort_indices(batch.select(["id", "th"]), sort_keys=[("id", "ascending"), ("th", "ascending")]))
             raws, ids, ths = batch.column(2).to_pylist(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in by_bytes(raws, CHUNK_BYTES):
+                chunk, n = chunk + 1, b - a
                 texts = [(r or b"").split() for r in raws[a:b]]
                 codes, mark, begin = _word_codes(texts)
                 starts = window_starts(mark, window)
-                known = np.unique(batch.column(3).slice(a, b - a).flatten().to_numpy(zero_copy_only=False))
+                known = np.unique(batch.column(3).slice(a, n).flatten().to_numpy(zero_copy_only=False))
                 name = _i64(anchors(codes, mark, starts, window)[0])
                 starts = starts[known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name] if len(known) else starts[:0]
+                if not len(starts):
+                    continue
                 h, h2 = window_hashes(codes, starts, window)
-                h2 = (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                h2 = (h2 >> np.uint64(48)).astype(np.uint16).view(np.int16)
                 owner = np.searchsorted(begin, starts, side="right") - 1
                 # Starts are in (id, th, start) order, so the first of equal hashes is the earliest; equal rows tie.
                 order = np.lexsort((h2, h))
@@ -191,37 +213,107 @@ def _candidates(window: int):
                 head[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
                 first = np.zeros(len(order), np.int64)
                 first[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-                at = starts - begin[owner]
+                at = (starts - begin[owner]).astype(np.int32)
                 of = a + owner
                 tie = (ids[of] == ids[of[first]]) & (ths[of] == ths[of[first]]) & (at == at[first])
-                n = b - a
-                columns = [batch.column(k).slice(a, n) for k in range(3)]
-                columns += [_lists(_i64(h[tie]), owner[tie], n, pa.int64()), _lists(h2[tie], owner[tie], n, pa.int32()), _lists(at[tie].astype(np.int32), owner[tie], n, pa.int32()), _lists(at[~tie].astype(np.int32), owner[~tie], n, pa.int32())]
-                out = pa.RecordBatch.from_arrays(columns, ["id", "th", "raw", "h", "h2", "start", "settled"])
-                yield out.filter(pa.compute.greater(pa.array(np.bincount(owner, minlength=n)), 0))
+                used = np.flatnonzero(np.bincount(owner, minlength=n))
+                docs = [pa.array(used, pa.int32()), pa.array(ids[a + used]), pa.array(ths[a + used]), _lists(at[~tie], owner[~tie], n, pa.int32()).take(pa.array(used))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), chunk)), *[pa.nulls(len(used), t) for t in _PACKS.types[1:]], *docs], schema=whole)
+                h, h2, at, owner = h[tie], h2[tie], at[tie], owner[tie]
+                bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                h, h2, at, owner, bucket = h[order], h2[order], at[order], owner[order], bucket[order]
+                kinds, begins = np.unique(bucket, return_index=True)
+                cut = np.append(begins, len(bucket)).astype(np.int32)
+                run_at = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))  # a text's windows in a pack
+                runs = np.searchsorted(run_at, cut).astype(np.int32)
+                pack = lambda x, t, ends: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, t))  # noqa: B023, E731
+                packs = [pa.array(np.full(len(kinds), chunk)), pa.array(kinds, pa.int32()), pack(_i64(h), pa.int64(), cut), pack(h2, pa.int16(), cut), pack(at, pa.int32(), cut)]
+                packs += [pack(owner[run_at], pa.int32(), runs), pack(ids[a + owner[run_at]], pa.int64(), runs), pack(ths[a + owner[run_at]], pa.int64(), runs), pack(np.diff(np.append(run_at, len(bucket))), pa.int32(), runs)]
+                yield pa.RecordBatch.from_arrays([*packs, *[pa.nulls(len(kinds), t) for t in _DOCS.types]], schema=whole)
 
     return run
 
 
+def _later(batches):
+    """Of the packs of each bucket: the windows that also start earlier, by chunk. Rows come in bucket order."""
+    flat = lambda c: c.flatten().to_numpy(zero_copy_only=False)
+
+    def rank(rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        h, h2, start, doc, ids, ths, counts = (flat(t.column(k).combine_chunks()) for k in range(2, 9))
+        doc, ids, ths = (np.repeat(x, counts) for x in (doc, ids, ths))
+        chunk = np.repeat(t.column(0).to_numpy(), pa.compute.list_value_length(t.column(2)).to_numpy())
+        order = np.lexsort((start, ths, ids, h2, h))
+        h, h2 = h[order], h2[order]
+        head = np.ones(len(h), bool)
+        head[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+        first = order[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))]
+        late = order[(ids[order] != ids[first]) | (ths[order] != ths[first]) | (start[order] != start[first])]
+        late = np.sort(late)  # back in chunk order
+        # chunks of a bucket need not come in order, so runs of equal chunks are what is packed
+        edge = np.flatnonzero(np.diff(chunk[late], prepend=-1)) if len(late) else late
+        cut = pa.array(np.append(edge, len(late)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[late][edge], pa.int64()), pa.ListArray.from_arrays(cut, pa.array(doc[late], pa.int32())), pa.ListArray.from_arrays(cut, pa.array(start[late], pa.int32()))], ["chunk", "doc", "start"])
+
+    held, bucket = [], None
+    for batch in batches:
+        buckets = batch.column(1).to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+        for a, b in itertools.pairwise(cut):
+            if a == b:
+                continue
+            if bucket is not None and buckets[a] != bucket:
+                yield rank(held)
+                held = []
+            bucket = buckets[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield rank(held)
+
+
+def _gather(batches):
+    """Rows of a chunk: marks first (doc and start), then documents. All marked starts of each document that has any."""
+    chunk, docs, starts, made = None, [], [], False
+    for batch in batches:
+        rows = []
+        chunks, ats = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for k, at in enumerate(ats):
+            if chunks[k] != chunk:
+                chunk, docs, starts, made = chunks[k], [], [], False
+            if at < 0:
+                docs.append(batch.column(5)[k].values.to_numpy(zero_copy_only=False))
+                starts.append(batch.column(6)[k].values.to_numpy(zero_copy_only=False))
+                continue
+            if not made:
+                d, s = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (docs, starts))
+                order = np.argsort(d, kind="stable")
+                d, s, made = d[order], s[order], True
+            own = np.concatenate((s[np.searchsorted(d, at) : np.searchsorted(d, at, side="right")], batch.column(4)[k].values.to_numpy(zero_copy_only=False)))
+            if len(own):
+                rows.append((batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), own))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["id", "th", "starts"])
+
+
 def _removed(window: int, spans: bool):
-    """For each text: removed words, the digest of the others, and, on request, spans of removed words and the text left."""
+    """For each text with marks: removed words, the digest of the others, and, on request, spans of removed words and the
+    text left."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string()][: 6 if spans else 4]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for raw, settled, later in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            for k, raw in enumerate(batch.column(2).to_pylist()):
+                own = batch.column(3)[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
                 words = (raw or b"").split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                starts = np.array((settled or []) + (later or []), np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, np.minimum(starts + window, len(words)), -1)
+                edge = np.bincount(own, minlength=len(words) + 1) - np.bincount(np.minimum(own + window, len(words)), minlength=len(words) + 1)
                 gone = np.cumsum(edge)[:-1] > 0
                 left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 change = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
-                rows.append((int(gone.sum()), hashlib.sha256(left).hexdigest()) + ((change.reshape(-1, 2).tolist(), left.decode("utf-8", "replace")) if spans else ()))
-            kinds = (pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string())
-            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)] if rows else [pa.array([], t) for t in kinds[: 4 if spans else 2]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["id", "th", "n_removed", "kept", "spans", "left_text"][: len(made) + 2])
+                rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), int(gone.sum()), hashlib.sha256(left).hexdigest()) + ((change.reshape(-1, 2).tolist(), left.decode("utf-8", "replace")) if spans else ()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "th", "n_removed", "kept", "spans", "left_text"][: len(kinds)])
 
     return run
 
@@ -229,22 +321,32 @@ def _removed(window: int, spans: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row; with_text: also spans (first word, word after the last) and
     left_text for documents that lose words but are no copies of a whole text, null for others."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("raw"))
+    spark = docs.sparkSession
+    rows = bound_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("raw"))
     described = materialize(rows.mapInArrow(_described(window), "id long, th long, root binary, n_words long, sha string, anchors array<long>"), "described")
-    firsts = materialize(described.groupBy("root").agg(F.min(F.struct("id", "th")).alias("f")), "roots")
+    firsts = materialize(described.groupBy("root").agg(F.min(F.struct("id", "th")).alias("f"), F.max("n_words").alias("n")), "roots")
     first = (F.col("id") == F.col("f.id")) & (F.col("th") == F.col("f.th"))
-    kept = described.join(firsts, "root")
-    each = kept.where(first).select("id", "th", F.explode("anchors").alias("name"))
+    # A hash of id and text stands for a document here; documents that share it only get candidates of each other.
+    key = F.xxhash64("id", "th").alias("k")
+    each = described.join(firsts, "root").where(first).select(key, F.explode("anchors").alias("name"))
     repeated = materialize(each.groupBy("name").count().where(F.col("count") > 1).select("name"), "repeated")
-    chosen = each.join(repeated, "name").groupBy("id", "th").agg(F.collect_set("name").alias("names"))  # at most a text's words
-    again = rows.join(chosen, ["id", "th"]).select("id", "th", "raw", "names")
-    found = materialize(again.mapInArrow(_candidates(window), "id long, th long, raw binary, h array<long>, h2 array<int>, start array<int>, settled array<int>"), "windows")
-    place = Window.partitionBy("h", "h2").orderBy("id", "th", "start")
-    ranked = found.select("id", "th", F.inline(F.arrays_zip("h", "h2", "start"))).withColumn("r", F.dense_rank().over(place))
-    later = ranked.where("r > 1").groupBy("id", "th").agg(F.collect_set("start").alias("later"))
-    marked = found.select("id", "th", "raw", "settled").join(later, ["id", "th"], "left").where("later is not null or size(settled) > 0")
+    free_shuffles(spark)
+    chosen = each.join(repeated, "name").groupBy("k").agg(F.collect_set("name").alias("names"))  # at most a text's words
+    again = rows.withColumn("k", key).join(chosen, "k").select("id", "th", "raw", "names")
+    buckets = max(4 * partitions(spark), -(-(firsts.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
+    found = materialize(again.mapInArrow(_candidates(window, buckets), _WINDOWS), "windows")
+    del again, chosen, each
+    free_shuffles(spark)
+    packs = found.where("bucket is not null").select("chunk", "bucket", "h", "h2", "start", "doc", "ids", "ths", "counts")
+    marks = packs.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_later, "chunk long, doc array<int>, start array<int>")
+    none = lambda t: F.lit(None).cast(t)
+    marks = marks.select("chunk", F.lit(-1).alias("at"), none("long").alias("id"), none("long").alias("th"), none("array<int>").alias("settled"), "doc", "start")
+    members = found.where("bucket is null").select("chunk", "at", "id", "th", "settled", none("array<int>").alias("doc"), none("array<int>").alias("start"))
+    met = members.unionByName(marks).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "at")
+    marked = met.mapInArrow(_gather, "id long, th long, starts array<int>").dropDuplicates(["id", "th"])  # equal rows have equal marks
     schema = "id long, th long, n_removed long, kept string" + (", spans array<array<long>>, left_text string" if with_text else "")
-    changed = materialize(marked.mapInArrow(_removed(window, with_text), schema).dropDuplicates(["id", "th"]), "changed")
+    changed = rows.join(marked, ["id", "th"]).select("id", "th", "raw", "starts").mapInArrow(_removed(window, with_text), schema)
+    changed = materialize(changed.dropDuplicates(["id", "th"]), "changed")
     every = described.select("id", "th", "root", "n_words", "sha").join(firsts, "root").withColumn("copy", ~first & (F.col("n_words") >= window))
     out = every.join(changed, ["id", "th"], "left")
     empty = hashlib.sha256(b"").hexdigest()
