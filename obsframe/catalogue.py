@@ -255,10 +255,10 @@ def _argsort(spark, sf_dir):
     return rounded(statistics.argsort(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice"))
 
 
-@query("G01_running_sum", "SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderkey) AS running FROM orders")
+@query("G01_running_sum", "SELECT o_orderkey, (sum(o_custkey) OVER (ORDER BY o_orderkey))::BIGINT AS running FROM orders")
 def _running(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return running_sum(rows, "o_orderkey", "o_custkey", width=4096).select("o_orderkey", F.col("running").cast("decimal(38,0)").alias("running"))
+    return running_sum(rows, "o_orderkey", "o_custkey", width=4096).select("o_orderkey", "running")
 
 
 # Observables
