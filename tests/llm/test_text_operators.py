@@ -251,3 +251,42 @@ def test_substrings(spark, texts, monkeypatch):
     assert substrings.remove_repeats(make_docs(spark, [])).count() == 0
     twice = substrings.remove_repeats(make_docs(spark, [texts[20], texts[20], texts[21]], [4, 4, None]), with_text=True).collect()
     assert [r["n_removed"] for r in twice if r["doc_id"] == 4] == [0, 0]
+
+
+@pytest.mark.parametrize("chunk", [2048, 6])
+def test_verified_near_duplicates(spark, chunk, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 120, 300]))]
+        docs.append(" ".join(base))
+        for _ in range(rng.randrange(8)):
+            t = list(base)
+            for _ in range(rng.choice([1, 2, 4, 8])):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            docs.append(" ".join(t))
+    docs += [docs[0], docs[0].upper(), "a b", "a b", "", None, "a " * 50, "a " * 60]
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        k = min(5, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+
+    sets, root = [shingles(t) for t in docs], list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(docs)):
+        for b in range(a + 1, len(docs)):
+            same = not sets[a] and not sets[b]
+            if same or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    whole = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: whole(*a, **{"chunk": chunk, **k}))
+    got = simhash.near_duplicates(make_docs(spark, docs), words=5, lanes=4, radius=60, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(len(docs))}
