@@ -95,7 +95,7 @@ def _hashed(df: DataFrame, index: Multiprobe, method: str) -> DataFrame:
     return df.select("id", "v").mapInArrow(run, "id long, v array<float>, codes array<long>")
 
 
-def _best_of_shard(keep: int):
+def _best_of_shard(keep: int, tables: int):
     """Rows of a shard: candidates (query false) first, then queries with the codes they visit."""
 
     def run(batches):
@@ -136,9 +136,9 @@ def _best_of_shard(keep: int):
                     rows = np.concatenate([np.arange(first[x], last[x]) for x in at.tolist()])
                     score = (v[rows] @ vectors[k]) / (norm[rows] * np.linalg.norm(vectors[k]))
                     q = int(ids[k])
-                    if len(rows) > 4 * keep * TABLES:  # a vector is in a shard once for each table at most
-                        near = np.partition(score, len(score) - keep * TABLES)[len(score) - keep * TABLES]
-                        rows, score = rows[score >= near], score[score >= near]
+                    if len(rows) > 4 * keep * tables:  # a vector is in a shard once for each table at most
+                        close = score >= np.partition(score, len(score) - keep * tables)[len(score) - keep * tables]
+                        rows, score = rows[close], score[close]
                     pairs = {(-s, i) for s, i in zip(score.tolist(), who[rows].tolist(), strict=True)} | {(-s, i) for s, i in best.get(q, ())}
                     best[q] = [(-s, i) for s, i in sorted(pairs)[:keep]]
                     if len(best) > HELD_QUERIES:
@@ -175,7 +175,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     index = Multiprobe(sizes["n"], tables, hashes, width, probes)
     # Of equal vectors, a query needs its k nearest and, perhaps, one more beside itself.
     same = Window.partitionBy("v").orderBy("id")
-    kept = rows.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1).select("id", "v")
+    kept = rows.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1).select("id", "v").dropDuplicates(["id", "v"])
     hashed = materialize(_hashed(kept, index, "buckets"), "hashed").select("id", "v", F.explode("codes").alias("code"))
     total = sizes["count"] * tables
     shards = max(LEAST_SHARDS, -(-total // SHARD_ROWS))
@@ -192,7 +192,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     to = to.select("id", "code", shard).groupBy("id", "shard").agg(F.collect_list("code").alias("codes"))  # probes of one query
     sent = to.join(heads, "id").select("shard", F.lit(True).alias("is_query"), "id", "v", "codes")
     met = held.unionByName(sent).repartition(max(partitions(spark), min(shards, 4 * partitions(spark))), "shard").sortWithinPartitions("shard", "is_query")
-    found = met.mapInArrow(_best_of_shard(k + 1), "query_id long, vec_id long, score double")
+    found = met.mapInArrow(_best_of_shard(k + 1, tables), "query_id long, vec_id long, score double")
     first = Window.partitionBy("head").orderBy(F.desc("score"), "vec_id")
     merged = found.groupBy(F.col("query_id").alias("head"), "vec_id").agg(F.max("score").alias("score"))
     merged = merged.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
