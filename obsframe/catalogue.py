@@ -475,6 +475,22 @@ def _text_cube(spark, sf_dir):
     return text.import_cube(spark, path).where("c > 0")
 
 
+@query("S02_parse_number", "SELECT o_orderkey, o_orderkey::DOUBLE AS a, (o_orderkey // 2)::BIGINT AS b, 0.0::DOUBLE AS c, -o_orderkey * 0.5::DOUBLE AS d FROM orders")
+def _parse(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    half = (F.col("o_orderkey") * -0.5).cast("string")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", text.parse_number(F.concat(key, F.lit("x3"))).alias("a"), text.parse_number(F.concat(F.lit(" "), F.floor(F.col("o_orderkey") / 2).cast("string"), F.lit(".9")), "long").alias("b"),
+        text.parse_number(F.concat(F.lit("x"), key)).alias("c"), text.parse_number(F.concat(half, F.lit(" 7"))).alias("d"),
+    )
+
+
+@query("S20_random_pi")
+def _pi(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").select(P.random(1.0, 1).alias("x"), P.random(1.0, 2).alias("y"))
+    return n.agg((4 * F.avg((F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1).cast("double"))).alias("pi"), F.stddev_pop("x").alias("sd"))
+
+
 @query("G1_G2_shell", "SELECT 10.3::DOUBLE AS a, 3.0::DOUBLE AS b")
 def _shell(spark, sf_dir):
     from .shell import evaluate

@@ -59,6 +59,11 @@ def generate(n: Value, f: Callable[[Column], Column]) -> Column:
     return F.transform(indices(n), f)
 
 
+def random(high: float = 1.0, seed: int | None = None) -> Column:
+    """Uniform on [0, high), by row; the same for the same seed and partitions."""
+    return F.rand(seed) * high
+
+
 def zero_matrix(rows: Value, columns: Value) -> Column:
     return F.array_repeat(zeros(columns), _c(rows).cast("int"))
 

@@ -206,3 +206,8 @@ def test_shell(spark, tmp_path, capsys):
     assert evaluate(spark, "packed.norm(packed.literal([3, 4]))", python=True).first()[0] == 5
     main(["sqrt(9)", "--script", str(tmp_path / "run.py")])
     assert "sqrt(9)" in (tmp_path / "run.py").read_text() and "evaluate" in script("1")
+
+
+def test_random_deviation(spark):
+    row = spark.range(20_000).select(P.random(2.0, seed=3).alias("x")).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.max("x").alias("top")).first()
+    assert row["m"] == pytest.approx(1, abs=0.02) and row["s"] == pytest.approx(2 / math.sqrt(12), abs=0.02) and row["top"] < 2
