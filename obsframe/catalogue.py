@@ -284,9 +284,11 @@ _JACK = "t AS (SELECT observable, idx, sum(s) AS ss, sum(c) AS cc, count(*) AS n
 
 @cube_query("G08_G09_R03_observables", f", {_JACK}, e AS (SELECT observable, idx, sqrt((max(n) - 1) / max(n) * sum((theta - mean) ** 2)) AS jackknife FROM j GROUP BY ALL) SELECT observable, idx, round(sum(s) / sum(c), 6) + 0.0 AS mean, round(sqrt((sum(q) - sum(s) ** 2 / sum(c)) / (sum(c) - 1)), 6) + 0.0 AS sd, count(*) AS steps, round(max(jackknife), 6) + 0.0 AS jackknife FROM x JOIN e USING (observable, idx) GROUP BY ALL")
 def flagship(cells):
-    return observables.summary(cells).join(observables.jackknife_error(cells), observables.CELL)
+    return observables.report(cells)
 
 
+cube_query("G09_standard_deviation", "SELECT observable, idx, round(sum(s) / sum(c), 6) + 0.0 AS mean, round(sqrt((sum(q) - sum(s) ** 2 / sum(c)) / (sum(c) - 1)), 6) + 0.0 AS sd, count(*) AS steps FROM x GROUP BY ALL")(observables.summary)
+cube_query("R03_jackknife_error", f", {_JACK} SELECT observable, idx, round(sqrt((max(n) - 1) / max(n) * sum((theta - mean) ** 2)), 6) + 0.0 AS jackknife FROM j GROUP BY ALL")(observables.jackknife_error)
 cube_query("S21_cube", "SELECT step, observable, idx, round(s, 6) + 0.0 AS s, round(q, 6) + 0.0 AS q, c FROM x")(lambda cells: cells)
 cube_query("G08_mean_interval", "SELECT observable, idx, round(sum(s) / sum(c), 6) + 0.0 AS mean FROM x WHERE step BETWEEN 10 AND 30 GROUP BY ALL")(lambda cells: observables.summary(cells, 10, 30).select("observable", "idx", "mean"))
 cube_query("R02_jackknife_means", f", {_JACK} SELECT step, observable, idx, round(theta, 6) + 0.0 AS theta, round(mean, 6) + 0.0 AS mean, n FROM j")(observables.jackknife_means)

@@ -58,6 +58,19 @@ def jackknife_error(cells: DataFrame) -> DataFrame:
     return sums.select(*CELL, F.sqrt((F.col("n") - 1) / F.col("n") * F.col("d")).alias("jackknife"))
 
 
+def report(cells: DataFrame) -> DataFrame:
+    """mean, sd, steps and jackknife error together. Totals and steps both carry all three moments, so that the two uses
+    of the cube share one exchange and its source is read once."""
+    totals = cells.groupBy(*CELL).agg(F.sum("s").alias("all_s"), F.sum("q").alias("all_q"), F.sum("c").alias("all_c"), F.count("*").alias("n"))
+    mu = F.try_divide("all_s", "all_c")
+    d = F.try_divide(F.col("all_s") - F.col("s"), F.col("all_c") - F.col("c")) - mu
+    kept = [F.max(x).alias(x) for x in ("all_s", "all_q", "all_c", "n")]
+    sums = cells.join(totals, CELL).groupBy(*CELL).agg(F.sum(d * d).alias("d"), F.sum("q").alias("q"), *kept)
+    spread = (F.col("q") + F.col("all_q")) / 2 - F.col("all_s") * mu  # the two sums of squares are one
+    sd = F.when(F.col("all_c") > 1, F.sqrt(F.greatest(spread / (F.col("all_c") - 1), F.lit(0.0))))
+    return sums.select(*CELL, mu.alias("mean"), sd.alias("sd"), F.col("n").alias("steps"), F.sqrt((F.col("n") - 1) / F.col("n") * F.col("d")).alias("jackknife"))
+
+
 def binning(cells: DataFrame, bins: int = 10, steps: int | None = None) -> DataFrame:
     """Steps 0 to N-1 into bins; a bin counts as one value, the ratio of its sums. No change for N <= bins. N: given, or
     the largest step and one."""

@@ -86,6 +86,8 @@ def test_observables(spark):
     assert s["mean"] == pytest.approx(a.mean()) and s["sd"] == pytest.approx(a.std(ddof=1))
     j = observables.jackknife_error(cells).first()["jackknife"]
     assert j == pytest.approx(a.mean(axis=1).std(ddof=1) / math.sqrt(120))  # equal counts
+    whole = observables.report(cells).first()
+    assert (whole["mean"], whole["sd"], whole["jackknife"], whole["steps"]) == (pytest.approx(s["mean"]), pytest.approx(s["sd"]), pytest.approx(j), 120)
     binned = observables.binning(cells, 10)
     assert observables.summary(binned).first()["mean"] == pytest.approx(a.mean()) and binned.count() == 10
     assert binned.where("step = 3").first()["s"] == pytest.approx(a[36:48].mean())
@@ -96,6 +98,7 @@ def test_observables(spark):
     assert observables.empty_cube(spark, 2, 3, 2).count() == 12
     assert observables.summary(observables.merge(cells, cells)).first()["mean"] == pytest.approx(a.mean())
     one = observables.cube(df.limit(1), F.col("step"), F.lit("o"), F.col("v"))
+    assert observables.report(one).first()["sd"] is None and observables.report(one).first()["jackknife"] is None
     assert observables.summary(one).first()["sd"] is None and observables.jackknife_means(one).first()["theta"] is None
 
 
