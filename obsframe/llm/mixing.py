@@ -72,19 +72,17 @@ def mix_sources(
     """The rows of df, each as often as drawn, in shuffled order, with mix_rate, mix_copy (from 0) and mix_key."""
     spark = df.sparkSession
     df = df.drop("mix_rate", "mix_copy", "mix_key")
-    columns = df.columns
     rates = materialize(repetition_rates(source_sizes(df, source_col, text_col), weights, alpha, total), "rates")
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = df.withColumns({"source_key": _key(F.col(source_col)), "mix_u": uniform(name), "mix_name": name}) if "source_key" not in columns else None
-    if rows is None:
-        raise ValueError("source_key is a reserved name")
+    # The row travels as a struct, so that no column of the input can clash with those made here.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(F.col(source_col)).alias("source_key"), name.alias("name"), uniform(name).alias("u"))
     if rates.count() <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(rates), "source_key")
     else:
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("mix_salt", F.pmod(F.crc32(F.col("mix_name").cast("binary")), F.lit(SALTS)).cast("int")).join(salted, ["source_key", "mix_salt"])
-    rows = rows.withColumn("mix_n", poisson_inverse(F.col("mix_u"), F.col("rate"))).where("mix_n > 0")
-    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
-    rows = rows.withColumn("mix_key", F.md5(F.concat(F.col("mix_name"), F.lit(":"), F.col("mix_copy").cast("string")).cast("binary")))
-    rows = rows.select(*[F.col(f"`{c}`") for c in columns], F.col("rate").alias("mix_rate"), "mix_copy", "mix_key")
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(SALTS)).cast("int")).join(salted, ["source_key", "salt"])
+    rows = rows.withColumn("n", poisson_inverse(F.col("u"), F.col("rate"))).where("n > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    key = F.md5(F.concat(F.col("name"), F.lit(":"), F.col("copy").cast("string")).cast("binary"))
+    rows = rows.select("row.*", F.col("rate").alias("mix_rate"), F.col("copy").alias("mix_copy"), key.alias("mix_key"))
     return rows.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
