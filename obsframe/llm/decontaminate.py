@@ -141,16 +141,15 @@ class WordAutomaton:
         return spans, found
 
 
-_built: dict = {}
+_built: list = [None, None, None]
 
 
 def _automaton(shared, window: int) -> WordAutomaton:
-    """Built once in each worker from the broadcast items."""
-    key = (shared._jbid if hasattr(shared, "_jbid") else None, id(shared.value), window)
-    if key not in _built:
-        _built.clear()
-        _built[key] = WordAutomaton([(i, normalised_words(t)) for i, t in shared.value], window)
-    return _built[key]
+    """Built once in each worker from the broadcast items; the items are kept beside it, so that identity tells them."""
+    items = shared.value
+    if _built[0] is not items or _built[1] != window:
+        _built[:] = items, window, WordAutomaton([(i, normalised_words(t)) for i, t in items], window)
+    return _built[2]
 
 
 def _item_groups(items: DataFrame, id_col: str, text_col: str, item_chars: int) -> list:

@@ -6,7 +6,9 @@ intermediate tables are written to the folder that the cluster names in `spark.c
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="obsframe-")
+        folder = tempfile.mkdtemp(prefix="obsframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dir[app] = f"file://{folder}"
     return _own_dir[app]
 
 
