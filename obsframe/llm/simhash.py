@@ -1,15 +1,16 @@
 """Operator 7: SimHash near-duplicates by tiled exact comparison.
 
-A fingerprint has 64 bits a lane: the majority, bit by bit, of the XXH64 hashes of word shingles, repeats included.
+A fingerprint has 64 bits a lane: the majority, bit by bit, of the XXH64 hashes of word shingles, repeats included
+(further lanes take mixes of those hashes).
 Distinct fingerprints are dealt into tiles; pairs of tiles whose population counts differ beyond the radius are never
 compared, all others are, with numpy exclusive-or and bit counts. A tile is a combination of the population counts of
 the four quarters of the first lane: the distance of two fingerprints is at least the sum of the differences of those
 counts, so only tiles with a sum up to the radius meet. For wide radii, where counts prune nothing, a tile is a band of
 shingle counts instead, and the bound comes from the least similarity (the smaller count is at least that share of
-the larger).
+the larger), and the pairs found are candidates, verified on their shingles.
 
-Each tile (a large one in chunks of CHUNK rows) stays at home in one task and sees the rows of the tiles it meets
-stream by, so memory is that of a chunk and a batch. A visitor is linked once to each component of home rows that it
+Each tile (a large one in chunks of CHUNK rows) is packed into one row, stays at home in one task and sees the tiles it
+meets pass by, so memory is that of two chunks. A visitor is linked once to each component of home rows that it
 touches, not to each row, so a group of m near copies makes links in proportion to m.
 
 Nulls: a null or empty text has no shingle and fingerprint zero, linked like any other; rows with a null id get a
@@ -27,14 +28,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .work import bound_batches, materialize, partitions
+from .work import bound_batches, free_shuffles, materialize, partitions
 
-CHUNK = 2048
-SEED = 42  # of the first lane; further lanes count on
+#: Rows of a chunk; bands of shingle counts are larger than other tiles.
+CHUNK, WIDE_CHUNK = 2048, 4096
+SEED = 42
+
+
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64 bits for each hash: a full avalanche of the hash and the lane's number."""
+    h = (h ^ np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(30)) ^ (h << np.uint64(23))
 
 
 def fingerprint(raw: bytes | None, words: int, lanes: int = 1) -> tuple[list[int], int]:
-    """Lanes as signed 64-bit integers, and the number of shingles."""
+    """Lanes as signed 64-bit integers, and, with several lanes, the number of distinct shingles."""
     import xxhash
 
     parts = raw.lower().split() if raw else []  # bytes: A-Z only, and exactly space and \x09-\x0D
@@ -46,19 +55,20 @@ def fingerprint(raw: bytes | None, words: int, lanes: int = 1) -> tuple[list[int
     begin = end - size
     k = min(words, len(parts))
     begin, end = begin[: len(parts) - k + 1].tolist(), end[k - 1 :].tolist()
-    out = []
-    for lane in range(lanes):
-        seed, count = SEED + lane, np.zeros(64, np.int64)
-        for at in range(0, len(begin), 65_536):
-            h = np.array([xxhash.xxh64_intdigest(text[a:b], seed) for a, b in zip(begin[at : at + 65_536], end[at : at + 65_536], strict=True)], "<u8")
-            count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bits = np.packbits(2 * count > len(begin), bitorder="little").view("<u8")[0]
-        out.append(int(bits.astype(np.int64)))
-    return out, len(begin)
+    count, kinds = np.zeros((lanes, 64), np.int64), set()
+    for at in range(0, len(begin), 65_536):
+        first = np.array([xxhash.xxh64_intdigest(text[a:b], SEED) for a, b in zip(begin[at : at + 65_536], end[at : at + 65_536], strict=True)], "<u8")
+        if lanes > 1:
+            kinds.update(first.tolist())
+        for lane in range(lanes):
+            h = _mixed(first, lane) if lane else first
+            count[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    out = np.packbits(2 * count > len(begin), axis=1, bitorder="little").view("<i8").ravel().tolist()
+    return out, len(kinds)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (a long for each lane), n (shingles)."""
+    """doc_id, fp (a long for each lane), n (distinct shingles, with several lanes)."""
 
     def run(batches):
         for batch in batches:
@@ -81,130 +91,218 @@ def _population_tiles(radius: int):
 
 
 def _size_tiles(similarity: float):
-    """Bands of shingle counts; rows of two bands meet if their counts can be within the similarity."""
+    """Bands of distinct shingle counts; rows of two bands meet if their counts can be within the similarity."""
     band = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(similarity)))) + 1).otherwise(0).cast("long")
     return band, [1]
 
 
-def _links(fp_a: np.ndarray, fp_b: np.ndarray, radius: int) -> np.ndarray:
-    """Matrix of which rows of a and b are within the radius."""
+def _near(fp_a, n_a, fp_b, n_b, radius: int, similarity: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a and b within the radius, and their distance; a has some hundred rows."""
     lanes = fp_a.shape[1]
-    near = np.zeros((len(fp_a), len(fp_b)), np.uint16)
-    for k in range(min(2, lanes)):
-        near += np.bitwise_count(fp_a[:, k][:, None] ^ fp_b[:, k][None, :])
-    out = near <= radius
-    if lanes > 2 and out.any():
-        i, j = np.nonzero(out)
-        for at in range(0, len(i), 1 << 20):
-            a, b = i[at : at + (1 << 20)], j[at : at + (1 << 20)]
-            out[a, b] = np.bitwise_count(fp_a[a] ^ fp_b[b]).sum(axis=1, dtype=np.int64) <= radius
-    return out
+    # As many lanes for all pairs as it takes for unlike ones (half the bits differ) to exceed the radius, then the rest.
+    dense = next((k for k in range(1, lanes) if 32 * k - 12 * k**0.5 >= radius), lanes)
+    d = np.bitwise_count(fp_a[:, 0][:, None] ^ fp_b[:, 0][None, :]).astype(np.uint16 if dense > 3 else np.uint8)
+    for k in range(1, dense):
+        d += np.bitwise_count(fp_a[:, k][:, None] ^ fp_b[:, k][None, :])
+    flat = np.flatnonzero(d.ravel() <= radius)
+    i, j = np.divmod(flat, len(fp_b))
+    d = d.ravel()[flat].astype(np.int64)
+    if similarity:
+        ok = np.minimum(n_a[i], n_b[j]) >= similarity * np.maximum(n_a[i], n_b[j])
+        i, j, d = i[ok], j[ok], d[ok]
+    if lanes > dense and len(i):
+        d = d + np.bitwise_count(fp_a[i, dense:] ^ fp_b[j, dense:]).sum(axis=1, dtype=np.int64)
+        ok = d <= radius
+        i, j, d = i[ok], j[ok], d[ok]
+    return i, j, d
+
+
+def _closest(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each i, its k rows j of least distance."""
+    order = np.lexsort((j, d, i))
+    i, j = i[order], j[order]
+    first = np.ones(len(i), bool)
+    first[k:] = i[k:] != i[:-k]
+    return i[first], j[first]
 
 
 class _Home:
-    """Rows of a chunk at home, and their components among themselves."""
+    """Rows of a chunk at home, and their components among themselves.
 
-    def __init__(self, node, fp, n, radius, similarity):
-        self.radius, self.similarity = radius, similarity
-        self.label = np.arange(len(node))
-        self.node, self.fp, self.n = node, fp, n
-        pairs = []
+    mode: "links": a link to each component a row touches; "hints": links to a row's closest and to the row of most
+    neighbours in that one's component, as far as they are near; "rest": links to the two rows of other groups that are closest to a row."""
+
+    def __init__(self, node, fp, n, group, mode, radius, similarity):
+        self.node, self.fp, self.n, self.group, self.mode, self.limits = node, fp, n, group, mode, (radius, similarity)
+        self.part = np.arange(len(node))
+        found, degree = [], np.zeros(len(node), np.int64)
         for at in range(0, len(node), 512):
-            i, j = np.nonzero(self._near(fp[at : at + 512], n[at : at + 512]))
-            pairs.append((i[i + at < j] + at, j[i + at < j]))
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        while len(i):
-            ra, rb = self.label[i], self.label[j]
-            apart = ra != rb
-            i, j, ra, rb = i[apart], j[apart], ra[apart], rb[apart]
-            np.minimum.at(self.label, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not np.array_equal(self.label, up := self.label[self.label]):
-                self.label = up
-        order = np.argsort(self.label, kind="stable")
-        self.node, self.fp, self.n, self.label = node[order], fp[order], n[order], self.label[order]
-        self.first = np.flatnonzero(np.diff(self.label, prepend=-1))
-
-    def _near(self, fp, n):
-        near = _links(fp, self.fp, self.radius)
-        if self.similarity:
-            a, b = n[:, None], self.n[None, :]
-            near &= np.minimum(a, b) >= self.similarity * np.maximum(a, b)
-        return near
+            i, j, d = _near(fp[at : at + 512], n[at : at + 512], fp, n, radius, similarity)
+            i = i + at
+            if mode == "rest":
+                other = group[i] != group[j]
+                found.append(_closest(i[other], j[other], d[other], 2))
+                continue
+            i, j, d = i[i != j], j[i != j], d[i != j]
+            degree += np.bincount(i, minlength=len(node))
+            if mode == "hints":
+                found.append(_closest(i, j, d))
+            i, j = i[i < j], j[i < j]
+            while len(i):
+                ra, rb = self.part[i], self.part[j]
+                apart = ra != rb
+                i, j, ra, rb = i[apart], j[apart], ra[apart], rb[apart]
+                np.minimum.at(self.part, np.maximum(ra, rb), np.minimum(ra, rb))
+                while not np.array_equal(self.part, up := self.part[self.part]):
+                    self.part = up
+        order = np.lexsort((-degree, self.part))
+        head = order[np.flatnonzero(np.diff(self.part[order], prepend=-1))]
+        #: The row of most neighbours in each row's component.
+        self.hub = head[np.searchsorted(self.part[head], self.part)]
+        if mode == "links":
+            self.found = np.arange(len(node)), self.hub
+        else:
+            self.found = tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            if mode == "hints":
+                self.found = tuple(np.concatenate(x) for x in zip(self.found, self._to_hub(np.arange(len(node)), self.hub, fp, n), strict=True))
+
+    def _to_hub(self, i, hub, fp, n):
+        """Of rows and hubs, those that are near themselves."""
+        radius, similarity = self.limits
+        d = np.bitwise_count(fp[i] ^ self.fp[hub]).sum(axis=1, dtype=np.int64)
+        ok = d <= radius
+        if similarity:
+            ok &= np.minimum(n[i], self.n[hub]) >= similarity * np.maximum(n[i], self.n[hub])
+        return i[ok], hub[ok]
 
     def own(self):
-        size = np.diff(np.append(self.first, len(self.node)))
-        head = np.repeat(self.first, size)
-        other = head != np.arange(len(head))
-        return self.node[other], self.node[head[other]]
+        i, j = self.found
+        return self.node[i[i != j]], self.node[j[i != j]]
 
-    def visit(self, node, fp, n):
+    def visit(self, node, fp, n, group):
         u, v = [], []
         for at in range(0, len(node), 512):
-            near = self._near(fp[at : at + 512], n[at : at + 512])
-            if near.any():
-                i, c = np.nonzero(np.logical_or.reduceat(near, self.first, axis=1))
-                u.append(node[at : at + 512][i])
-                v.append(self.node[self.first[c]])
+            part = slice(at, at + 512)
+            i, j, d = _near(fp[part], n[part], self.fp, self.n, *self.limits)
+            if self.mode == "links":
+                c = np.unique(i * len(self.node) + self.part[j])
+                i, j = c // len(self.node), c % len(self.node)
+            elif self.mode == "hints":
+                i, j = _closest(i, j, d)
+                more = self._to_hub(i, self.hub[j], fp[part], n[part])
+                i, j = np.concatenate((i, more[0])), np.concatenate((j, more[1]))
+            else:
+                other = group[part][i] != self.group[j]
+                i, j = _closest(i[other], j[other], d[other], 2)
+            u.append(node[part][i])
+            v.append(self.node[j])
         return (np.concatenate(u), np.concatenate(v)) if u else (node[:0], node[:0])
 
 
-def _compare(radius: int, similarity: float | None, lanes: int):
-    def run(batches):
-        key, held, home = None, [], None
-
-        def out(u, v):
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+def _compare(radius: int, similarity: float | None, lanes: int, mode: str):
+    """Packed tiles: for each (tile, chunk) the one at home, then those that visit it."""
 
+    def run(batches):
+        key, home = None, None
         for batch in batches:
-            tile, chunk, visitor, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            fp = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, lanes).view(np.uint64)
-            cut = np.flatnonzero((np.diff(tile) != 0) | (np.diff(chunk) != 0) | (np.diff(visitor) != 0)) + 1
-            for a, b in itertools.pairwise([0, *cut.tolist(), len(tile)]):
-                if a == b:
-                    continue
-                if (now := (tile[a], chunk[a])) != key:
-                    if home is None and held:
-                        yield out(*_Home(*map(np.concatenate, zip(*held, strict=True)), radius, similarity).own())
-                    key, held, home = now, [], None
-                part = (node[a:b], fp[a:b], n[a:b])
-                if not visitor[a]:
-                    held.append(part)
-                elif held:
-                    if home is None:
-                        home = _Home(*map(np.concatenate, zip(*held, strict=True)), radius, similarity)
-                        yield out(*home.own())
-                    yield out(*home.visit(*part))
-        if home is None and held:
-            yield out(*_Home(*map(np.concatenate, zip(*held, strict=True)), radius, similarity).own())
+            tile, chunk, visitor = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            nodes, sizes, groups, prints = (batch.column(k) for k in (3, 4, 5, 6))
+            for k in range(batch.num_rows):
+                part = (nodes[k].values.to_numpy(), prints[k].values.to_numpy().reshape(-1, lanes).view(np.uint64), sizes[k].values.to_numpy(), groups[k].values.to_numpy())
+                if visitor[k]:
+                    found = home.visit(*part) if key == (tile[k], chunk[k]) else None
+                else:
+                    key, home = (tile[k], chunk[k]), _Home(*part, mode, radius, similarity)
+                    found = home.own()
+                if found is not None:
+                    for at in range(0, len(found[0]), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000], pa.int64()) for x in found], ["u", "v"])
 
     return run
 
 
-def links(rows: DataFrame, radius: int, lanes: int = 1, similarity: float | None = None, chunk: int = CHUNK) -> DataFrame:
-    """u, v: a link for each row and component that it touches in a tile. rows: node, fp, n, fingerprints distinct."""
+def links(rows: DataFrame, radius: int, lanes: int = 1, similarity: float | None = None, chunk: int = CHUNK, mode: str = "links") -> DataFrame:
+    """u, v: pairs of nodes within the radius, as many as the mode asks for (see _Home). rows: node, fp, n and, for the
+    mode "rest", grp; fingerprints are distinct."""
     tile, later = _size_tiles(similarity) if similarity else _population_tiles(radius)
-    rows = rows.select("node", "n", "fp", tile.alias("tile"))
+    rows = rows.select("node", "n", "fp", (F.col("grp") if mode == "rest" else F.col("node")).alias("grp"), tile.alias("tile"))
     # At most 17^4 combinations of quarter counts, or some 200 bands: a proven bound for the broadcasts below.
     counts = F.broadcast(materialize(rows.groupBy("tile").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "tiles"))
     rows = rows.join(counts, "tile").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    columns = ["tile", "chunk", "visitor", "node", "n", "fp"]
+    # A tile, or a chunk of a large one, travels as one row of arrays; what is copied to the tiles it meets are such rows.
+    packed = rows.groupBy("tile", "chunk").agg(F.collect_list(F.struct("node", "n", "grp", "fp")).alias("rows"))
+    pick = lambda name: F.transform("rows", lambda r: r[name])
+    packed = materialize(packed.select("tile", "chunk", pick("node").alias("node"), pick("n").alias("n"), pick("grp").alias("grp"), F.flatten(pick("fp")).alias("fp")), "packed")
+    columns = ["tile", "chunk", "visitor", "node", "n", "grp", "fp"]
     visits = F.concat(
         F.array(F.struct(F.col("tile").alias("tile"), F.lit(True).alias("own"))),
         F.transform(F.array(*map(F.lit, later)), lambda d: F.struct((F.col("tile") + d).alias("tile"), F.lit(False).alias("own"))),
     )
-    away = rows.select("node", "n", "fp", F.col("chunk").alias("from"), F.explode(visits).alias("to"))
-    away = away.where("not to.own or `from` > 0").select("node", "n", "fp", "from", F.col("to.tile").alias("tile"), F.col("to.own").alias("own"))
+    away = packed.select("node", "n", "grp", "fp", F.col("chunk").alias("from"), F.explode(visits).alias("to"))
+    away = away.where("not to.own or `from` > 0").select("node", "n", "grp", "fp", "from", F.col("to.tile").alias("tile"), F.col("to.own").alias("own"))
     away = away.join(counts, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("from")).otherwise(F.col("chunks")) - 1)))
-    rows = rows.withColumn("visitor", F.lit(0)).select(columns).unionByName(away.withColumn("visitor", F.lit(1)).select(columns))
-    rows = rows.repartition(partitions(rows.sparkSession), "tile", "chunk").sortWithinPartitions("tile", "chunk", "visitor")
-    return rows.mapInArrow(_compare(radius, similarity, lanes), "u long, v long")
+    met = packed.withColumn("visitor", F.lit(0)).select(columns).unionByName(away.withColumn("visitor", F.lit(1)).select(columns))
+    met = met.repartition(partitions(rows.sparkSession), "tile", "chunk").sortWithinPartitions("tile", "chunk", "visitor")
+    return met.mapInArrow(_compare(radius, similarity, lanes, mode), "u long, v long")
+
+
+def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles (sorted distinct 32-bit hashes as bytes) of the documents with the given ids (column node)."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for raw in batch.column(1).to_pylist():
+                parts = raw.lower().split() if raw else []
+                k = min(words, len(parts))
+                h = {xxhash.xxh32_intdigest(b" ".join(parts[i : i + k])) for i in range(len(parts) - k + 1)} if k else set()
+                out.append(np.sort(np.fromiter(h, np.uint32, len(h))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "shingles"])
+
+    texts = bound_batches(docs).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
+    made = texts.join(ids, "node").select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return made.groupBy("node").agg(F.min("shingles").alias("shingles"))  # a row for each id, whatever repeats
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have at least the similarity (Jaccard)."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                both = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
+
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+    ids = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = materialize(_shingle_sets(docs, ids, words, id_col, text_col), "shingles")
+    rows = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    out = materialize(rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "verified")
+    free_shuffles(docs.sparkSession)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the least id that can be reached over links, itself included)."""
+    """doc_id, fp, component_id (the least id that can be reached over links, itself included).
+
+    Without a similarity, fingerprints within the radius are linked. With one, they are candidates, and links are those
+    whose shingles have it. Candidates are verified in two steps: first two for each row and tile, which join most of a
+    dense group; then, for each row and tile, the two closest rows of other groups. So what is verified grows with rows,
+    not with pairs; a link can be missed only where a row has closer rows by fingerprint that lack the similarity."""
     made = materialize(fingerprints(docs, words, lanes, id_col, text_col), "fingerprints")
     kinds = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")).where("node is not null"), "distinct")
-    edges = links(kinds, radius, lanes, similarity)
+    if similarity is None:
+        edges = links(kinds, radius, lanes)
+    else:
+        some = _verified(links(kinds, radius, lanes, similarity, WIDE_CHUNK, mode="hints"), docs, words, similarity, id_col, text_col)
+        groups = connected_components(some).select("node", F.col("root").alias("grp"))
+        grouped = materialize(kinds.join(groups, "node", "left").select("node", "fp", "n", F.coalesce("grp", "node").alias("grp")), "grouped")
+        edges = some.unionByName(_verified(links(grouped, radius, lanes, similarity, WIDE_CHUNK, mode="rest"), docs, words, similarity, id_col, text_col))
     shared = made.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("doc_id is not null and a <> b")
     if not shared.isEmpty():  # ids with several texts join their fingerprints
         ids = made.where("doc_id is not null").select("doc_id", "fp").distinct().join(kinds, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
@@ -215,19 +313,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, lanes: int = 4, similarity: float = 0.8, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, similarity: float = 0.8, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one document of each group: the one of the least id. Rows without an id stay.
 
-    The angle that a similarity of shingles stands for says how many bits differ on average; the radius adds a standard
-    deviation, so that most pairs just at the similarity are found.
+    The angle that a similarity of shingles stands for says how many bits differ on average; the radius adds three
+    standard deviations, so that hardly a pair just at the similarity is missed. Links are verified on the shingles.
     """
     if radius is None:
         share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
         bits = 64 * lanes
-        radius = int(np.ceil(bits * share + np.sqrt(bits * share * (1 - share))))
+        radius = int(np.ceil(bits * share + 3 * np.sqrt(bits * share * (1 - share))))
     found = near_duplicates(docs, words, lanes, radius, similarity, id_col, text_col)
-    keep = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct(), "kept")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    ids = F.col(f"`{id_col}`").cast("long")
-    rows = docs.join(keep, ids == F.col("_keep")).withColumn("_row", F.row_number().over(Window.partitionBy("_keep").orderBy(F.xxhash64(F.col(f"`{text_col}`")))))
-    return rows.where("_row = 1").select(columns).unionByName(docs.where(ids.isNull()).select(columns))
+    keep = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct(), "kept")
+    # The row travels as a struct, so that no column of the input can clash with those made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
+    first = rows.join(keep, "id").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("r = 1")
+    return first.select("row.*").unionByName(rows.where("id is null").select("row.*"))

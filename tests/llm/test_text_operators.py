@@ -15,7 +15,8 @@ from pyspark.sql import functions as F  # noqa: E402
 from obsframe.llm import components, decontaminate, mixing, simhash, simple8b, substrings, token_counts  # noqa: E402
 from obsframe.llm.encoding import PieceEncoder, default_tokenizer  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, start int, word string"
+#: With extra columns whose names operators use for themselves.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, start int, row string"
 
 
 def make_docs(spark, texts, ids=None):
@@ -97,7 +98,8 @@ def test_token_files(spark, texts):
 def test_mixing(spark, texts):
     texts = texts[:-1]  # sizes vary less without the very long text
     docs = make_docs(spark, texts * 20, range(20 * len(texts)))
-    got = mixing.mix_sources(docs, weights={"s0": 3.0, "s1": 1.0, None: 0.5}, total=10**6, seed=4)
+    docs = docs.withColumns({"source_key": F.lit(1), "name": F.lit(2), "rate": F.lit(3), "copy": F.lit(4), "u": F.lit(5), "n": F.lit(6)})
+    got = mixing.mix_sources(docs.withColumn("mix_key", F.lit(7)), weights={"s0": 3.0, "s1": 1.0, None: 0.5}, total=10**6, seed=4)
     assert got.columns == [*docs.columns, "mix_rate", "mix_copy", "mix_key"]
     rows = got.collect()
     assert {r["source"] for r in rows} <= {"s0", "s1", None}
@@ -286,7 +288,6 @@ def test_verified_near_duplicates(spark, chunk, monkeypatch):
             if same or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
-    whole = simhash.links
-    monkeypatch.setattr(simhash, "links", lambda *a, **k: whole(*a, **{"chunk": chunk, **k}))
-    got = simhash.near_duplicates(make_docs(spark, docs), words=5, lanes=4, radius=60, similarity=0.8).collect()
+    monkeypatch.setattr(simhash, "WIDE_CHUNK", chunk)
+    got = simhash.near_duplicates(make_docs(spark, docs), words=5, lanes=8, radius=105, similarity=0.8).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(len(docs))}
