@@ -20,6 +20,7 @@ read by `near_duplicates`, and kept by `keep_one`.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .work import bound_batches, free_shuffles, materialize, partitions
 
-#: Rows of a chunk; bands of shingle counts are larger than other tiles.
-CHUNK, WIDE_CHUNK = 2048, 4096
+#: Rows of a chunk: of tiles, of bands of shingle counts (which are larger), and of those with their shingles.
+CHUNK, WIDE_CHUNK, SET_CHUNK = 2048, 4096, 1024
+#: Longs of a chunk's fingerprints or shingles, and pairs or shared shingles that are looked at together, at most.
+CELLS, BLOCK = 1_000_000, 2_000_000
 SEED = 42
 
 
@@ -67,6 +70,21 @@ def fingerprint(raw: bytes | None, words: int, lanes: int = 1) -> tuple[list[int
     return out, len(kinds)
 
 
+def shingle_set(raw: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle."""
+    import xxhash
+
+    parts = raw.lower().split() if raw else []
+    if not parts:
+        return np.zeros(0, np.uint64)
+    text = memoryview(b" ".join(parts))
+    end = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    begin = np.append(0, end[:-1] + 1)
+    k = min(words, len(parts))
+    pairs = zip(begin[: len(parts) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(text[a:b], SEED) for a, b in pairs), np.uint64, len(parts) - k + 1))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (a long for each lane), n (distinct shingles, with several lanes)."""
 
@@ -92,12 +110,13 @@ def _population_tiles(radius: int):
 
 def _size_tiles(similarity: float):
     """Bands of distinct shingle counts; rows of two bands meet if their counts can be within the similarity."""
-    band = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(similarity)))) + 1).otherwise(0).cast("long")
+    width = -float(np.log(similarity)) * (1 + 1e-9)  # a little more, so that rounding never puts two such rows two bands apart
+    band = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(width)) + 1).otherwise(0).cast("long")
     return band, [1]
 
 
-def _near(fp_a, n_a, fp_b, n_b, radius: int, similarity: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a and b within the radius, and their distance; a has some hundred rows."""
+def _near(fp_a, n_a, fp_b, n_b, radius: int, similarity: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and b within the radius; a has some hundred rows."""
     lanes = fp_a.shape[1]
     # As many lanes for all pairs as it takes for unlike ones (half the bits differ) to exceed the radius, then the rest.
     dense = next((k for k in range(1, lanes) if 32 * k - 12 * k**0.5 >= radius), lanes)
@@ -113,40 +132,56 @@ def _near(fp_a, n_a, fp_b, n_b, radius: int, similarity: float | None) -> tuple[
     if lanes > dense and len(i):
         d = d + np.bitwise_count(fp_a[i, dense:] ^ fp_b[j, dense:]).sum(axis=1, dtype=np.int64)
         ok = d <= radius
-        i, j, d = i[ok], j[ok], d[ok]
-    return i, j, d
-
-
-def _closest(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """For each i, its k rows j of least distance."""
-    order = np.lexsort((j, d, i))
-    i, j = i[order], j[order]
-    first = np.ones(len(i), bool)
-    first[k:] = i[k:] != i[:-k]
-    return i[first], j[first]
-
-
-class _Home:
-    """Rows of a chunk at home, and their components among themselves.
-
-    mode: "links": a link to each component a row touches; "hints": links to a row's closest and to the row of most
-    neighbours in that one's component, as far as they are near; "rest": links to the two rows of other groups that are closest to a row."""
-
-    def __init__(self, node, fp, n, group, mode, radius, similarity):
-        self.node, self.fp, self.n, self.group, self.mode, self.limits = node, fp, n, group, mode, (radius, similarity)
-        self.part = np.arange(len(node))
-        found, degree = [], np.zeros(len(node), np.int64)
-        for at in range(0, len(node), 512):
-            i, j, d = _near(fp[at : at + 512], n[at : at + 512], fp, n, radius, similarity)
-            i = i + at
-            if mode == "rest":
-                other = group[i] != group[j]
-                found.append(_closest(i[other], j[other], d[other], 2))
-                continue
-            i, j, d = i[i != j], j[i != j], d[i != j]
-            degree += np.bincount(i, minlength=len(node))
-            if mode == "hints":
-                found.append(_closest(i, j, d))
+        i, j = i[ok], j[ok]
+    return i, j
+
+
+class _Prints:
+    """Finds rows of a chunk whose fingerprints are within the radius."""
+
+    def __init__(self, n, values, radius, similarity):
+        self.n, self.fp, self.limits = n, values.reshape(len(n), -1).view(np.uint64), (radius, similarity)
+
+    def near(self, n, values):
+        """Given rows i and rows j of the chunk, block by block."""
+        fp = values.reshape(len(n), -1).view(np.uint64)
+        for at in range(0, len(n), 512):
+            i, j = _near(fp[at : at + 512], n[at : at + 512], self.fp, self.n, *self.limits)
+            yield i + at, j
+
+
+class _Sets:
+    """Finds rows of a chunk whose sets of shingles have the similarity (Jaccard), by an index from shingles to rows."""
+
+    def __init__(self, n, values, similarity):
+        order = np.argsort(values)
+        self.n, self.values, self.row, self.similarity = n, values[order], np.repeat(np.arange(len(n)), n)[order], similarity
+
+    def near(self, n, values):
+        """Given rows i and rows j of the chunk, block by block: all pairs that share a shingle are looked at."""
+        low = np.searchsorted(self.values, values)
+        times = np.searchsorted(self.values, values, "right") - low
+        end = np.append(0, np.cumsum(n))
+        before, m, a = np.append(0, np.cumsum(times))[end], len(self.n), 0
+        while a < len(n):
+            b = min(max(int(np.searchsorted(before, before[a] + BLOCK, "right")) - 1, a + 1), a + max(BLOCK // m, 1), len(n))
+            t = times[end[a] : end[b]]
+            at = np.repeat(low[end[a] : end[b]] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+            both = np.bincount(np.repeat(np.repeat(np.arange(b - a), n[a:b]), t) * m + self.row[at], minlength=(b - a) * m)
+            code = np.flatnonzero(both)
+            i, j, both = code // m + a, code % m, both[code]
+            ok = both >= self.similarity * (n[i] + self.n[j] - both)
+            yield i[ok], j[ok]
+            a = b
+
+
+class _Linked:
+    """Rows of a chunk at home, and their components among themselves. Rows are linked to the first of their component,
+    a visitor once to each component that it touches."""
+
+    def __init__(self, node, n, values, finder):
+        self.node, self.finder, self.part = node, finder(n, values), np.arange(len(node))
+        for i, j in self.finder.near(n, values):
             i, j = i[i < j], j[i < j]
             while len(i):
                 ra, rb = self.part[i], self.part[j]
@@ -155,64 +190,50 @@ class _Home:
                 np.minimum.at(self.part, np.maximum(ra, rb), np.minimum(ra, rb))
                 while not np.array_equal(self.part, up := self.part[self.part]):
                     self.part = up
-        order = np.lexsort((-degree, self.part))
-        head = order[np.flatnonzero(np.diff(self.part[order], prepend=-1))]
-        #: The row of most neighbours in each row's component.
-        self.hub = head[np.searchsorted(self.part[head], self.part)]
-        if mode == "links":
-            self.found = np.arange(len(node)), self.hub
-        else:
-            self.found = tuple(np.concatenate(x) for x in zip(*found, strict=True))
-            if mode == "hints":
-                self.found = tuple(np.concatenate(x) for x in zip(self.found, self._to_hub(np.arange(len(node)), self.hub, fp, n), strict=True))
-
-    def _to_hub(self, i, hub, fp, n):
-        """Of rows and hubs, those that are near themselves."""
-        radius, similarity = self.limits
-        d = np.bitwise_count(fp[i] ^ self.fp[hub]).sum(axis=1, dtype=np.int64)
-        ok = d <= radius
-        if similarity:
-            ok &= np.minimum(n[i], self.n[hub]) >= similarity * np.maximum(n[i], self.n[hub])
-        return i[ok], hub[ok]
 
     def own(self):
-        i, j = self.found
-        return self.node[i[i != j]], self.node[j[i != j]]
-
-    def visit(self, node, fp, n, group):
-        u, v = [], []
-        for at in range(0, len(node), 512):
-            part = slice(at, at + 512)
-            i, j, d = _near(fp[part], n[part], self.fp, self.n, *self.limits)
-            if self.mode == "links":
-                c = np.unique(i * len(self.node) + self.part[j])
-                i, j = c // len(self.node), c % len(self.node)
-            elif self.mode == "hints":
-                i, j = _closest(i, j, d)
-                more = self._to_hub(i, self.hub[j], fp[part], n[part])
-                i, j = np.concatenate((i, more[0])), np.concatenate((j, more[1]))
-            else:
-                other = group[part][i] != self.group[j]
-                i, j = _closest(i[other], j[other], d[other], 2)
-            u.append(node[part][i])
-            v.append(self.node[j])
-        return (np.concatenate(u), np.concatenate(v)) if u else (node[:0], node[:0])
-
-
-def _compare(radius: int, similarity: float | None, lanes: int, mode: str):
+        i = np.flatnonzero(self.part != np.arange(len(self.node)))
+        return self.node[i], self.node[self.part[i]]
+
+    def visit(self, node, n, values):
+        m = len(self.node)
+        c = np.concatenate([np.unique(i * m + self.part[j]) for i, j in self.finder.near(n, values)])
+        return node[c // m], self.node[c % m]
+
+
+class _Touched:
+    """Rows of a chunk at home. Of these and of visitors, those that are near any other row are given (as u and v)."""
+
+    def __init__(self, node, n, values, finder):
+        self.node, self.finder, self.seen = node, finder(n, values), np.zeros(len(node), bool)
+        for i, j in self.finder.near(n, values):
+            self.seen[i[i != j]] = True
+
+    def own(self):
+        return self.node[self.seen], self.node[self.seen]
+
+    def visit(self, node, n, values):
+        here, away = np.zeros(len(self.node), bool), np.zeros(len(node), bool)
+        for i, j in self.finder.near(n, values):
+            away[i], here[j] = True, True
+        out = np.concatenate((node[away], self.node[here & ~self.seen]))
+        self.seen |= here
+        return out, out
+
+
+def _compare(home_of, finder):
     """Packed tiles: for each (tile, chunk) the one at home, then those that visit it."""
 
     def run(batches):
         key, home = None, None
         for batch in batches:
             tile, chunk, visitor = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            nodes, sizes, groups, prints = (batch.column(k) for k in (3, 4, 5, 6))
             for k in range(batch.num_rows):
-                part = (nodes[k].values.to_numpy(), prints[k].values.to_numpy().reshape(-1, lanes).view(np.uint64), sizes[k].values.to_numpy(), groups[k].values.to_numpy())
+                part = [batch.column(c)[k].values.to_numpy() for c in (3, 4, 5)]
                 if visitor[k]:
                     found = home.visit(*part) if key == (tile[k], chunk[k]) else None
                 else:
-                    key, home = (tile[k], chunk[k]), _Home(*part, mode, radius, similarity)
+                    key, home = (tile[k], chunk[k]), home_of(*part, finder)
                     found = home.own()
                 if found is not None:
                     for at in range(0, len(found[0]), 100_000):
@@ -221,68 +242,59 @@ def _compare(radius: int, similarity: float | None, lanes: int, mode: str):
     return run
 
 
-def links(rows: DataFrame, radius: int, lanes: int = 1, similarity: float | None = None, chunk: int = CHUNK, mode: str = "links") -> DataFrame:
-    """u, v: pairs of nodes within the radius, as many as the mode asks for (see _Home). rows: node, fp, n and, for the
-    mode "rest", grp; fingerprints are distinct."""
-    tile, later = _size_tiles(similarity) if similarity else _population_tiles(radius)
-    rows = rows.select("node", "n", "fp", (F.col("grp") if mode == "rest" else F.col("node")).alias("grp"), tile.alias("tile"))
+def _meet(rows: DataFrame, later: list[int], chunk: int, home_of, finder) -> DataFrame:
+    """u, v: what each chunk at home gives with those of its tile and of the tiles that lie `later` by as much.
+    rows: node, n, fp (longs), tile."""
     # At most 17^4 combinations of quarter counts, or some 200 bands: a proven bound for the broadcasts below.
-    counts = F.broadcast(materialize(rows.groupBy("tile").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "tiles"))
+    size = F.greatest(F.count("*") / chunk, F.sum(F.size("fp").cast("long")) / CELLS)
+    counts = F.broadcast(materialize(rows.groupBy("tile").agg(F.ceil(size).cast("int").alias("chunks")), "tiles"))
     rows = rows.join(counts, "tile").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # A tile, or a chunk of a large one, travels as one row of arrays; what is copied to the tiles it meets are such rows.
-    packed = rows.groupBy("tile", "chunk").agg(F.collect_list(F.struct("node", "n", "grp", "fp")).alias("rows"))
+    packed = rows.groupBy("tile", "chunk").agg(F.collect_list(F.struct("node", "n", "fp")).alias("rows"))
     pick = lambda name: F.transform("rows", lambda r: r[name])
-    packed = materialize(packed.select("tile", "chunk", pick("node").alias("node"), pick("n").alias("n"), pick("grp").alias("grp"), F.flatten(pick("fp")).alias("fp")), "packed")
-    columns = ["tile", "chunk", "visitor", "node", "n", "grp", "fp"]
+    packed = materialize(packed.select("tile", "chunk", pick("node").alias("node"), pick("n").alias("n"), F.flatten(pick("fp")).alias("fp")), "packed")
+    columns = ["tile", "chunk", "visitor", "node", "n", "fp"]
     visits = F.concat(
         F.array(F.struct(F.col("tile").alias("tile"), F.lit(True).alias("own"))),
         F.transform(F.array(*map(F.lit, later)), lambda d: F.struct((F.col("tile") + d).alias("tile"), F.lit(False).alias("own"))),
     )
-    away = packed.select("node", "n", "grp", "fp", F.col("chunk").alias("from"), F.explode(visits).alias("to"))
-    away = away.where("not to.own or `from` > 0").select("node", "n", "grp", "fp", "from", F.col("to.tile").alias("tile"), F.col("to.own").alias("own"))
+    away = packed.select("node", "n", "fp", F.col("chunk").alias("from"), F.explode(visits).alias("to"))
+    away = away.where("not to.own or `from` > 0").select("node", "n", "fp", "from", F.col("to.tile").alias("tile"), F.col("to.own").alias("own"))
     away = away.join(counts, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("from")).otherwise(F.col("chunks")) - 1)))
     met = packed.withColumn("visitor", F.lit(0)).select(columns).unionByName(away.withColumn("visitor", F.lit(1)).select(columns))
     met = met.repartition(partitions(rows.sparkSession), "tile", "chunk").sortWithinPartitions("tile", "chunk", "visitor")
-    return met.mapInArrow(_compare(radius, similarity, lanes, mode), "u long, v long")
+    return met.mapInArrow(_compare(home_of, finder), "u long, v long")
+
+
+def links(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """u, v: links that join all nodes within the radius; rows: node, n, fp, distinct fingerprints."""
+    tile, later = _population_tiles(radius)
+    return _meet(rows.select("node", "n", "fp", tile.alias("tile")), later, chunk, _Linked, functools.partial(_Prints, radius=radius, similarity=None))
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """node, shingles (sorted distinct 32-bit hashes as bytes) of the documents with the given ids (column node)."""
+    """node, n, fp (sorted distinct hashes of shingles) of the texts with the given ids (column node)."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            out = []
-            for raw in batch.column(1).to_pylist():
-                parts = raw.lower().split() if raw else []
-                k = min(words, len(parts))
-                h = {xxhash.xxh32_intdigest(b" ".join(parts[i : i + k])) for i in range(len(parts) - k + 1)} if k else set()
-                out.append(np.sort(np.fromiter(h, np.uint32, len(h))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "shingles"])
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "n", "fp"])
 
     texts = bound_batches(docs).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
-    made = texts.join(ids, "node").select("node", "text").mapInArrow(run, "node long, shingles binary")
-    return made.groupBy("node").agg(F.min("shingles").alias("shingles"))  # a row for each id, whatever repeats
+    return texts.join(ids, "node").select("node", "text").mapInArrow(run, "node long, n long, fp array<long>").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles have at least the similarity (Jaccard)."""
+def _similar(kinds: DataFrame, docs: DataFrame, words: int, radius: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """u, v: links that join all nodes whose shingles have the similarity and whose fingerprints are within the radius.
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                both = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
-                keep.append(both >= similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
-
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = materialize(_shingle_sets(docs, ids, words, id_col, text_col), "shingles")
-    rows = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    out = materialize(rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "verified")
+    Rows without any other within the radius are set aside. The rest travel with their shingles, and each pair of them
+    in tiles that meet is checked where it meets, so nothing is chosen among pairs, and no table holds them."""
+    tile, later = _size_tiles(similarity)
+    near = functools.partial(_Prints, radius=radius, similarity=similarity)
+    ids = materialize(_meet(kinds.select("node", "n", "fp", tile.alias("tile")), later, WIDE_CHUNK, _Touched, near).select(F.col("u").alias("node")).distinct(), "touched")
+    free_shuffles(docs.sparkSession)
+    sets = materialize(_shingle_sets(docs, ids, words, id_col, text_col).withColumn("tile", tile), "shingles")
+    out = materialize(_meet(sets, later, SET_CHUNK, _Linked, functools.partial(_Sets, similarity=similarity)), "verified")
     free_shuffles(docs.sparkSession)
     return out
 
@@ -291,18 +303,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int
     """doc_id, fp, component_id (the least id that can be reached over links, itself included).
 
     Without a similarity, fingerprints within the radius are linked. With one, they are candidates, and links are those
-    whose shingles have it. Candidates are verified in two steps: first two for each row and tile, which join most of a
-    dense group; then, for each row and tile, the two closest rows of other groups. So what is verified grows with rows,
-    not with pairs; a link can be missed only where a row has closer rows by fingerprint that lack the similarity."""
+    whose shingles have it: every candidate is checked."""
     made = materialize(fingerprints(docs, words, lanes, id_col, text_col), "fingerprints")
     kinds = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")).where("node is not null"), "distinct")
     if similarity is None:
-        edges = links(kinds, radius, lanes)
+        edges = links(kinds, radius)
     else:
-        some = _verified(links(kinds, radius, lanes, similarity, WIDE_CHUNK, mode="hints"), docs, words, similarity, id_col, text_col)
-        groups = connected_components(some).select("node", F.col("root").alias("grp"))
-        grouped = materialize(kinds.join(groups, "node", "left").select("node", "fp", "n", F.coalesce("grp", "node").alias("grp")), "grouped")
-        edges = some.unionByName(_verified(links(grouped, radius, lanes, similarity, WIDE_CHUNK, mode="rest"), docs, words, similarity, id_col, text_col))
+        edges = _similar(kinds, docs, words, radius, similarity, id_col, text_col)
     shared = made.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("doc_id is not null and a <> b")
     if not shared.isEmpty():  # ids with several texts join their fingerprints
         ids = made.where("doc_id is not null").select("doc_id", "fp").distinct().join(kinds, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))

@@ -291,3 +291,42 @@ def test_verified_near_duplicates(spark, chunk, monkeypatch):
     monkeypatch.setattr(simhash, "WIDE_CHUNK", chunk)
     got = simhash.near_duplicates(make_docs(spark, docs), words=5, lanes=8, radius=105, similarity=0.8).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(len(docs))}
+
+
+def shingle_sets(docs, words=5):
+    out = []
+    for t in docs:
+        w = (t or "").lower().split()
+        k = min(words, len(w))
+        out.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set())
+    return out
+
+
+def jaccard_components(docs, similarity=0.8):
+    """The least row of each row's component, all pairs compared."""
+    sets, root = shingle_sets(docs), list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_every_candidate_is_verified(spark, monkeypatch):
+    """A link whose rows have many closer rows of other groups that lack the similarity, in one chunk and across some."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    line, rest = [rng.choice(words) for _ in range(25)], [rng.choice(words) for _ in range(150)]
+    docs = [" ".join(line + rest), " ".join(line * 5 + rest)]  # alike as sets, not by fingerprints that count repeats
+    for k in range(40):
+        t = line + rest
+        t[30 + 3 * k : 50 + 3 * k] = [rng.choice(words) for _ in range(20)]
+        docs.append(" ".join(t))
+    want = jaccard_components(docs)
+    assert want[1] == 0 and len(set(want.values())) > 5
+    for chunk in (4096, 5):
+        monkeypatch.setattr(simhash, "WIDE_CHUNK", chunk)
+        monkeypatch.setattr(simhash, "SET_CHUNK", chunk, raising=False)
+        got = simhash.near_duplicates(make_docs(spark, docs), words=5, lanes=8, radius=250, similarity=0.8).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
