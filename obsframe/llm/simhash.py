@@ -45,13 +45,13 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return h ^ (h >> np.uint64(30)) ^ (h << np.uint64(23))
 
 
-def fingerprint(raw: bytes | None, words: int, lanes: int = 1) -> tuple[list[int], int]:
-    """Lanes as signed 64-bit integers, and, with several lanes, the number of distinct shingles."""
+def fingerprint(raw: bytes | None, words: int, lanes: int = 1) -> tuple[list[int], int, bytes]:
+    """Lanes as signed 64-bit integers, and, with several lanes, the number of distinct shingles and a hash of their set."""
     import xxhash
 
     parts = raw.lower().split() if raw else []  # bytes: A-Z only, and exactly space and \x09-\x0D
     if not parts:
-        return [0] * lanes, 0
+        return [0] * lanes, 0, b""
     text = memoryview(b" ".join(parts))
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
@@ -67,7 +67,7 @@ def fingerprint(raw: bytes | None, words: int, lanes: int = 1) -> tuple[list[int
             h = _mixed(first, lane) if lane else first
             count[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     out = np.packbits(2 * count > len(begin), axis=1, bitorder="little").view("<i8").ravel().tolist()
-    return out, len(kinds)
+    return out, len(kinds), xxhash.xxh3_128_digest(np.sort(np.fromiter(kinds, np.uint64, len(kinds))).tobytes()) if kinds else b""
 
 
 def shingle_set(raw: bytes | None, words: int) -> np.ndarray:
@@ -86,15 +86,15 @@ def shingle_set(raw: bytes | None, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (a long for each lane), n (distinct shingles, with several lanes)."""
+    """doc_id, fp (a long for each lane), n and key (number and hash of the distinct shingles, with several lanes)."""
 
     def run(batches):
         for batch in batches:
             made = [fingerprint(t, words, lanes) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.int64())], ["doc_id", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.binary())], ["doc_id", "fp", "n", "key"])
 
     rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp array<long>, n long")
+    return rows.mapInArrow(run, "doc_id long, fp array<long>, n long, key binary")
 
 
 def _population_tiles(radius: int):
@@ -303,20 +303,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int
     """doc_id, fp, component_id (the least id that can be reached over links, itself included).
 
     Without a similarity, fingerprints within the radius are linked. With one, they are candidates, and links are those
-    whose shingles have it: every candidate is checked."""
+    whose shingles have it: every candidate is checked. Only documents of equal sets of shingles are one from the start."""
     made = materialize(fingerprints(docs, words, lanes, id_col, text_col), "fingerprints")
-    kinds = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")).where("node is not null"), "distinct")
+    same = ["fp"] if similarity is None else ["fp", "key"]
+    kinds = materialize(made.groupBy(*same).agg(F.min("doc_id").alias("node"), F.max("n").alias("n")).where("node is not null"), "distinct")
     if similarity is None:
         edges = links(kinds, radius)
     else:
         edges = _similar(kinds, docs, words, radius, similarity, id_col, text_col)
-    shared = made.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("doc_id is not null and a <> b")
+    shared = made.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("b")).where("doc_id is not null and a <> b")
     if not shared.isEmpty():  # ids with several texts join their fingerprints
-        ids = made.where("doc_id is not null").select("doc_id", "fp").distinct().join(kinds, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+        ids = made.where("doc_id is not null").select("doc_id", *same).distinct().join(kinds, same).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
         edges = edges.unionByName(ids.where("u <> v"))
     parts = connected_components(edges).select(F.col("node"), F.col("root"))
-    named = materialize(kinds.join(parts, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "components")
-    out = made.join(named, "fp", "left")
+    named = materialize(kinds.join(parts, "node", "left").select(*same, F.coalesce("root", "node").alias("component_id")), "components")
+    out = made.join(named, same, "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

@@ -330,3 +330,14 @@ def test_every_candidate_is_verified(spark, monkeypatch):
         monkeypatch.setattr(simhash, "SET_CHUNK", chunk, raising=False)
         got = simhash.near_duplicates(make_docs(spark, docs), words=5, lanes=8, radius=250, similarity=0.8).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_equal_fingerprints_are_verified(spark):
+    """Texts that one repeated line dominates have equal fingerprints, but share few shingles."""
+    rng = random.Random(22)
+    line = [f"w{rng.randrange(5000)}" for _ in range(7)]
+    docs = [" ".join(line * 50 + [f"w{rng.randrange(5000)}" for _ in range(30)]) for _ in range(3)] + ["", None]
+    docs.append(docs[1].upper())
+    assert simhash.fingerprint(docs[0].encode(), 5, 8)[0] == simhash.fingerprint(docs[1].encode(), 5, 8)[0]
+    got = sorted(r["doc_id"] for r in simhash.keep_one(make_docs(spark, docs)).collect())
+    assert got == [0, 1, 2, 3]
