@@ -5,9 +5,11 @@ A fingerprint has 64 bits a lane: the majority, bit by bit, of the XXH64 hashes
 Distinct fingerprints are dealt into tiles; pairs of tiles whose population counts differ beyond the radius are never
 compared, all others are, with numpy exclusive-or and bit counts. A tile is a combination of the population counts of
 the four quarters of the first lane: the distance of two fingerprints is at least the sum of the differences of those
-counts, so only tiles with a sum up to the radius meet. For wide radii, where counts prune nothing, a tile is a band of
-shingle counts instead, and the bound comes from the least similarity (the smaller count is at least that share of
-the larger), and the pairs found are candidates, verified on their shingles.
+counts, so only tiles with a sum up to the radius meet.
+
+With a similarity of shingle sets (Jaccard), tiles are bands of set sizes (the smaller is at least that share of the
+larger). Bits are then the parities of the distinct shingles that fall to each place: two sets differ in at least as
+many shingles as bits, so pairs are ruled out without loss, and all others are checked on their shingles.
 
 Each tile (a large one in chunks of CHUNK rows) is packed into one row, stays at home in one task and sees the tiles it
 meets pass by, so memory is that of two chunks. A visitor is linked once to each component of home rows that it
@@ -45,13 +47,13 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return h ^ (h >> np.uint64(30)) ^ (h << np.uint64(23))
 
 
-def fingerprint(raw: bytes | None, words: int, lanes: int = 1) -> tuple[list[int], int, bytes]:
-    """Lanes as signed 64-bit integers, and, with several lanes, the number of distinct shingles and a hash of their set."""
+def fingerprint(raw: bytes | None, words: int, lanes: int = 1) -> tuple[list[int], int]:
+    """Lanes as signed 64-bit integers, and, with several lanes, the number of distinct shingles."""
     import xxhash
 
     parts = raw.lower().split() if raw else []  # bytes: A-Z only, and exactly space and \x09-\x0D
     if not parts:
-        return [0] * lanes, 0, b""
+        return [0] * lanes, 0
     text = memoryview(b" ".join(parts))
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
@@ -67,7 +69,7 @@ def fingerprint(raw: bytes | None, words: int, lanes: int = 1) -> tuple[list[int
             h = _mixed(first, lane) if lane else first
             count[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     out = np.packbits(2 * count > len(begin), axis=1, bitorder="little").view("<i8").ravel().tolist()
-    return out, len(kinds), xxhash.xxh3_128_digest(np.sort(np.fromiter(kinds, np.uint64, len(kinds))).tobytes()) if kinds else b""
+    return out, len(kinds)
 
 
 def shingle_set(raw: bytes | None, words: int) -> np.ndarray:
@@ -86,15 +88,52 @@ def shingle_set(raw: bytes | None, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (a long for each lane), n and key (number and hash of the distinct shingles, with several lanes)."""
+    """doc_id, fp (a long for each lane), n (distinct shingles, with several lanes)."""
 
     def run(batches):
         for batch in batches:
             made = [fingerprint(t, words, lanes) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.binary())], ["doc_id", "fp", "n", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.int64())], ["doc_id", "fp", "n"])
+
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp array<long>, n long")
+
+
+def _band(n: int, similarity: float) -> tuple[int, float]:
+    """The band of a number of distinct shingles, and the band's upper end: two numbers whose ratio is at least the
+    similarity lie in one band or in neighbours (which are a little wider than that, for rounding)."""
+    width = -np.log(similarity) * (1 + 1e-9)
+    band = int(np.log(n) / width) + 1 if n else 0
+    return band, float(np.exp(band * width))
+
+
+def parities(shingles: np.ndarray, lanes: int) -> np.ndarray:
+    """For each of 64 * lanes places, whether an odd number of the hashes falls there. A shingle that two sets do not
+    share changes one place, so the bits that differ are never more than the shingles that do."""
+    odd = np.bincount((shingles & np.uint64(64 * lanes - 1)).view(np.int64), minlength=64 * lanes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def signatures(docs: DataFrame, words: int, lanes: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n (distinct shingles), key (hash of their set), tile (its band), fp (parities in as many places as the
+    band's largest set has shingles, or 64 a lane if that is more)."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            n, key, tile, fp = [], [], [], []
+            for raw in batch.column(1).to_pylist():
+                shingles = shingle_set(raw, words)
+                band, most = _band(len(shingles), similarity)
+                n.append(len(shingles))
+                key.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                tile.append(band)
+                fp.append(parities(shingles, 1 << int(np.ceil(np.log2(max(lanes, most / 64))))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(tile, pa.int64()), pa.array(fp, pa.list_(pa.int64()))], ["doc_id", "n", "key", "tile", "fp"])
 
     rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp array<long>, n long, key binary")
+    return rows.mapInArrow(run, "doc_id long, n long, key binary, tile long, fp array<long>")
 
 
 def _population_tiles(radius: int):
@@ -108,48 +147,67 @@ def _population_tiles(radius: int):
     return tile, later
 
 
-def _size_tiles(similarity: float):
-    """Bands of distinct shingle counts; rows of two bands meet if their counts can be within the similarity."""
-    width = -float(np.log(similarity)) * (1 + 1e-9)  # a little more, so that rounding never puts two such rows two bands apart
-    band = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(width)) + 1).otherwise(0).cast("long")
-    return band, [1]
-
-
-def _near(fp_a, n_a, fp_b, n_b, radius: int, similarity: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and b within the radius; a has some hundred rows."""
-    lanes = fp_a.shape[1]
-    # As many lanes for all pairs as it takes for unlike ones (half the bits differ) to exceed the radius, then the rest.
-    dense = next((k for k in range(1, lanes) if 32 * k - 12 * k**0.5 >= radius), lanes)
-    d = np.bitwise_count(fp_a[:, 0][:, None] ^ fp_b[:, 0][None, :]).astype(np.uint16 if dense > 3 else np.uint8)
+def _near(a, b, radius: float, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a and b (a has some hundred) within the radius, and their distance. The first `dense` lanes are compared
+    for all pairs, the others for those that these leave."""
+    lanes = a.shape[1]
+    d = np.bitwise_count(a[:, 0][:, None] ^ b[:, 0][None, :]).astype(np.uint8 if dense < 4 else np.uint16 if dense < 1000 else np.uint32)
     for k in range(1, dense):
-        d += np.bitwise_count(fp_a[:, k][:, None] ^ fp_b[:, k][None, :])
+        d += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
     flat = np.flatnonzero(d.ravel() <= radius)
-    i, j = np.divmod(flat, len(fp_b))
+    i, j = np.divmod(flat, len(b))
     d = d.ravel()[flat].astype(np.int64)
-    if similarity:
-        ok = np.minimum(n_a[i], n_b[j]) >= similarity * np.maximum(n_a[i], n_b[j])
-        i, j, d = i[ok], j[ok], d[ok]
-    if lanes > dense and len(i):
-        d = d + np.bitwise_count(fp_a[i, dense:] ^ fp_b[j, dense:]).sum(axis=1, dtype=np.int64)
+    if lanes > dense:
+        step = max(BLOCK // (lanes - dense), 1)
+        for at in range(0, len(i), step):
+            part = slice(at, at + step)
+            d[part] += np.bitwise_count(a[i[part], dense:] ^ b[j[part], dense:]).sum(axis=1, dtype=np.int64)
         ok = d <= radius
-        i, j = i[ok], j[ok]
-    return i, j
+        i, j, d = i[ok], j[ok], d[ok]
+    return i, j, d
 
 
 class _Prints:
     """Finds rows of a chunk whose fingerprints are within the radius."""
 
-    def __init__(self, n, values, radius, similarity):
-        self.n, self.fp, self.limits = n, values.reshape(len(n), -1).view(np.uint64), (radius, similarity)
+    def __init__(self, n, values, radius):
+        self.fp, self.radius = values.reshape(len(n), -1).view(np.uint64), radius
 
     def near(self, n, values):
         """Given rows i and rows j of the chunk, block by block."""
-        fp = values.reshape(len(n), -1).view(np.uint64)
+        fp, lanes = values.reshape(len(n), -1).view(np.uint64), self.fp.shape[1]
+        # As many lanes as it takes for unlike pairs (half the bits differ) to exceed the radius.
+        dense = next((k for k in range(1, lanes) if 32 * k - 12 * k**0.5 >= self.radius), lanes)
         for at in range(0, len(n), 512):
-            i, j = _near(fp[at : at + 512], n[at : at + 512], self.fp, self.n, *self.limits)
+            i, j, _ = _near(fp[at : at + 512], self.fp, self.radius, dense)
             yield i + at, j
 
 
+class _Parities:
+    """Finds rows of a chunk whose sets can have the similarity: sizes a, b that share c have it if c >= s (a + b - c),
+    thus if they differ in no more than (1 - s) / (1 + s) of a + b shingles; their parities differ in no more places."""
+
+    def __init__(self, n, values, similarity):
+        self.n, self.fp, self.similarity = n, values.reshape(len(n), -1).view(np.uint64), similarity
+
+    def near(self, n, values):
+        """Given rows i and rows j of the chunk, block by block."""
+        fp, home, s = values.reshape(len(n), -1).view(np.uint64), self.fp, self.similarity
+        lanes = min(fp.shape[1], home.shape[1])
+        # Half as many places: each takes the parity of two.
+        fp, home = (np.bitwise_xor.reduce(x.reshape(len(x), -1, lanes), axis=1) for x in (fp, home))
+        share = (1 - s) / (1 + s)
+        most = share * (n.max() + self.n.max()) + 1e-6
+        odd = 32 * (1 - np.exp(-2 * (n.min() + self.n.min()) / (64 * lanes)))  # bits of a lane that differ in unlike pairs
+        dense = next((k for k in range(1, lanes) if odd * k - 12 * k**0.5 >= most), lanes)
+        for at in range(0, len(n), 512):
+            i, j, d = _near(fp[at : at + 512], home, most, dense)
+            i = i + at
+            a, b = n[i], self.n[j]
+            ok = (d <= share * (a + b) + 1e-6) & (np.minimum(a, b) >= s * np.maximum(a, b))
+            yield i[ok], j[ok]
+
+
 class _Sets:
     """Finds rows of a chunk whose sets of shingles have the similarity (Jaccard), by an index from shingles to rows."""
 
@@ -269,32 +327,31 @@ def _meet(rows: DataFrame, later: list[int], chunk: int, home_of, finder) -> Dat
 def links(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     """u, v: links that join all nodes within the radius; rows: node, n, fp, distinct fingerprints."""
     tile, later = _population_tiles(radius)
-    return _meet(rows.select("node", "n", "fp", tile.alias("tile")), later, chunk, _Linked, functools.partial(_Prints, radius=radius, similarity=None))
+    return _meet(rows.select("node", "n", "fp", tile.alias("tile")), later, chunk, _Linked, functools.partial(_Prints, radius=radius))
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """node, n, fp (sorted distinct hashes of shingles) of the texts with the given ids (column node)."""
+def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """node, n, fp (sorted distinct hashes of shingles), tile of the texts with the given ids (column node)."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([_band(len(h), similarity)[0] for h in sets], pa.int64())], ["node", "n", "fp", "tile"])
 
     texts = bound_batches(docs).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
-    return texts.join(ids, "node").select("node", "text").mapInArrow(run, "node long, n long, fp array<long>").distinct()
+    return texts.join(ids, "node").select("node", "text").mapInArrow(run, "node long, n long, fp array<long>, tile long").distinct()
 
 
-def _similar(kinds: DataFrame, docs: DataFrame, words: int, radius: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """u, v: links that join all nodes whose shingles have the similarity and whose fingerprints are within the radius.
+def _similar(kinds: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """u, v: links that join all nodes whose shingles have the similarity; kinds: node, n, fp, tile of `signatures`.
 
-    Rows without any other within the radius are set aside. The rest travel with their shingles, and each pair of them
-    in tiles that meet is checked where it meets, so nothing is chosen among pairs, and no table holds them."""
-    tile, later = _size_tiles(similarity)
-    near = functools.partial(_Prints, radius=radius, similarity=similarity)
-    ids = materialize(_meet(kinds.select("node", "n", "fp", tile.alias("tile")), later, WIDE_CHUNK, _Touched, near).select(F.col("u").alias("node")).distinct(), "touched")
+    Rows that by their parities cannot have it with any other are set aside. The rest travel with their shingles, and
+    each pair of them in bands that meet is checked where it meets, so nothing is chosen among pairs, and no table
+    holds them."""
+    ids = materialize(_meet(kinds, [1], WIDE_CHUNK, _Touched, functools.partial(_Parities, similarity=similarity)).select(F.col("u").alias("node")).distinct(), "touched")
     free_shuffles(docs.sparkSession)
-    sets = materialize(_shingle_sets(docs, ids, words, id_col, text_col).withColumn("tile", tile), "shingles")
-    out = materialize(_meet(sets, later, SET_CHUNK, _Linked, functools.partial(_Sets, similarity=similarity)), "verified")
+    sets = materialize(_shingle_sets(docs, ids, words, similarity, id_col, text_col), "shingles")
+    out = materialize(_meet(sets, [1], SET_CHUNK, _Linked, functools.partial(_Sets, similarity=similarity)), "verified")
     free_shuffles(docs.sparkSession)
     return out
 
@@ -302,36 +359,31 @@ def _similar(kinds: DataFrame, docs: DataFrame, words: int, radius: int, similar
 def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the least id that can be reached over links, itself included).
 
-    Without a similarity, fingerprints within the radius are linked. With one, they are candidates, and links are those
-    whose shingles have it: every candidate is checked. Only documents of equal sets of shingles are one from the start."""
-    made = materialize(fingerprints(docs, words, lanes, id_col, text_col), "fingerprints")
-    same = ["fp"] if similarity is None else ["fp", "key"]
-    kinds = materialize(made.groupBy(*same).agg(F.min("doc_id").alias("node"), F.max("n").alias("n")).where("node is not null"), "distinct")
+    Without a similarity, fingerprints within the radius are linked. With one, all documents are whose sets of shingles
+    have it (Jaccard), exactly; fp then holds the parities by which pairs are ruled out, and the radius has no part."""
     if similarity is None:
+        made, same = materialize(fingerprints(docs, words, lanes, id_col, text_col), "fingerprints"), "fp"
+        kinds = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")).where("node is not null"), "distinct")
         edges = links(kinds, radius)
     else:
-        edges = _similar(kinds, docs, words, radius, similarity, id_col, text_col)
-    shared = made.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("b")).where("doc_id is not null and a <> b")
+        made, same = materialize(signatures(docs, words, lanes, similarity, id_col, text_col), "signatures"), "key"
+        kinds = made.groupBy("key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "fp", "tile")])
+        kinds = materialize(kinds.where("node is not null"), "distinct")
+        edges = _similar(kinds.select("node", "n", "fp", "tile"), docs, words, similarity, id_col, text_col)
+    shared = made.groupBy("doc_id").agg(F.min(same).alias("a"), F.max(same).alias("b")).where("doc_id is not null and a <> b")
     if not shared.isEmpty():  # ids with several texts join their fingerprints
-        ids = made.where("doc_id is not null").select("doc_id", *same).distinct().join(kinds, same).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+        ids = made.where("doc_id is not null").select("doc_id", same).distinct().join(kinds, same).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
         edges = edges.unionByName(ids.where("u <> v"))
     parts = connected_components(edges).select(F.col("node"), F.col("root"))
-    named = materialize(kinds.join(parts, "node", "left").select(*same, F.coalesce("root", "node").alias("component_id")), "components")
+    named = materialize(kinds.join(parts, "node", "left").select(same, F.coalesce("root", "node").alias("component_id")), "components")
     out = made.join(named, same, "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, similarity: float = 0.8, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with one document of each group: the one of the least id. Rows without an id stay.
-
-    The angle that a similarity of shingles stands for says how many bits differ on average; the radius adds three
-    standard deviations, so that hardly a pair just at the similarity is missed. Links are verified on the shingles.
-    """
-    if radius is None:
-        share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-        bits = 64 * lanes
-        radius = int(np.ceil(bits * share + 3 * np.sqrt(bits * share * (1 - share))))
-    found = near_duplicates(docs, words, lanes, radius, similarity, id_col, text_col)
+def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one document of each group: the one of the least id. Rows without an id stay. Groups are
+    joined by pairs of at least the similarity of shingles, exactly."""
+    found = near_duplicates(docs, words, lanes, similarity=similarity, id_col=id_col, text_col=text_col)
     keep = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct(), "kept")
     # The row travels as a struct, so that no column of the input can clash with those made here.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))

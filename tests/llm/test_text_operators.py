@@ -341,3 +341,18 @@ def test_equal_fingerprints_are_verified(spark):
     assert simhash.fingerprint(docs[0].encode(), 5, 8)[0] == simhash.fingerprint(docs[1].encode(), 5, 8)[0]
     got = sorted(r["doc_id"] for r in simhash.keep_one(make_docs(spark, docs)).collect())
     assert got == [0, 1, 2, 3]
+
+
+def test_candidates_lose_no_pair(spark):
+    """Pairs just at the similarity in short texts, and texts that differ in how often a line is repeated."""
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    docs = []
+    for n in [8] * 40 + [16, 2000]:
+        t = [word() for _ in range(n)]
+        docs += [" ".join(t), " ".join([*t, *[word() for _ in range(max((n - 4) // 4, 1))]])]
+    line = [word() for _ in range(20)]
+    rest = [word() for _ in range(300)]
+    docs += [" ".join(line + rest), " ".join(line * 100 + rest)]
+    got = sorted(r["doc_id"] for r in simhash.keep_one(make_docs(spark, docs)).collect())
+    assert got == list(range(0, len(docs), 2))
