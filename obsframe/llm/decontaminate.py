@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .work import bound_batches
 
@@ -219,22 +220,57 @@ def decontaminate(
 ) -> DataFrame:
     """docs with hit stretches of span_limit words or more (or whole short items) cut out of the text; documents of
     which hits cover more than coverage_limit of the words are dropped. Clean rows stay exactly as they are; chars_col,
-    if there, follows the text."""
-    for shared in _item_groups(items, item_id, item_text, item_chars):
-        docs = bound_batches(docs).mapInArrow(_cutter(shared, window, span_limit, coverage_limit, docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1), docs.schema)
-    return docs
+    if there, follows the text. Several groups of items find their hits in the text as it came; it is judged and cut once."""
+    groups, width = _item_groups(items, item_id, item_text, item_chars), len(docs.columns)
+    sizes = (len(normalised_words(t)) for g in groups for _, t in g.value)
+    shortest = min((min(n, window) for n in sizes if n), default=window)
+    text_at, chars_at = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
+    schema = T.StructType([*docs.schema.fields, T.StructField("_".join(["spans", *docs.columns]), T.ArrayType(T.ArrayType(T.LongType())))])
+    rows = bound_batches(docs)
+    for shared in groups[:-1]:
+        rows = rows.mapInArrow(_finder(shared, window, text_at, width, schema.names[-1]), schema)
+    return rows.mapInArrow(_cutter(groups[-1], window, min(span_limit, shortest), coverage_limit, text_at, chars_at, width), docs.schema)
+
+
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _earlier(batch, width) -> list:
+    """The spans that earlier groups of items found, in the column after those of the documents."""
+    return batch.column(width).to_pylist() if batch.num_columns > width else [[]] * batch.num_rows
+
+
+def _finder(shared, window, text_at, width, name):
+    def run(batches):
+        auto = _automaton(shared, window)
+        for batch in batches:
+            texts = batch.column(text_at).to_pylist()
+            spans = [_merged(s + auto.hits(normalised_words(t))[0]) for s, t in zip(_earlier(batch, width), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*batch.schema.names[:width], name])
+
+    return run
 
 
-def _cutter(shared, window, span_limit, coverage_limit, text_at, chars_at):
+def _cutter(shared, window, least, coverage_limit, text_at, chars_at, width):
     def run(batches):
         auto = _automaton(shared, window)
         for batch in batches:
+            earlier = _earlier(batch, width)
+            batch = batch.select(range(width))
             texts, keep, changed = batch.column(text_at).to_pylist(), [], False
             for k, text in enumerate(texts):
                 words = normalised_words(text)
-                spans, _ = auto.hits(words)
+                spans = _merged(earlier[k] + auto.hits(words)[0])
                 keep.append(sum(b - a + 1 for a, b in spans) <= coverage_limit * len(words))
-                cut = [(a, b) for a, b in spans if b - a + 1 >= min(span_limit, auto.shortest)]
+                cut = [(a, b) for a, b in spans if b - a + 1 >= least]
                 if cut and keep[-1]:
                     raw = text.encode("utf-8", "replace")
                     at = [m.span() for m in WORDS.finditer(raw.lower())]

@@ -356,3 +356,15 @@ def test_candidates_lose_no_pair(spark):
     docs += [" ".join(line + rest), " ".join(line * 100 + rest)]
     got = sorted(r["doc_id"] for r in simhash.keep_one(make_docs(spark, docs)).collect())
     assert got == list(range(0, len(docs), 2))
+
+
+def test_decontaminate_in_groups_of_items(spark):
+    """Overlapping hits and coverage of items in several groups are those of one group."""
+    q = [f"q{i}" for i in range(60)]
+    clean = [f"z{i}" for i in range(80)]
+    bench = spark.createDataFrame([(i, " ".join(q[5 * i : 5 * i + 10])) for i in range(9)], "item_id long, text string")
+    docs = [clean[:40] + q[:15] + clean[40:], q[:10] + clean[:11] + q[30:45], clean[:9] + q[3:36] + clean[9:70], q[:10] + clean[:14] + q[40:50] + clean[20:25], None]
+    docs = make_docs(spark, [None if d is None else " ".join(d) for d in docs])
+    one = sorted(map(repr, decontaminate.decontaminate(docs, bench).collect()))
+    assert len(one) < 5 and not any("q5 " in r for r in one)
+    assert sorted(map(repr, decontaminate.decontaminate(docs, bench, item_chars=100).collect())) == one
