@@ -3,7 +3,8 @@
 A byte-level BPE never merges across the pieces of its splitting pattern, so the ids of a text are those of its
 pieces in a row. Pieces repeat far more often than texts do; each worker therefore gives a piece to the library's model
 once and gathers ids from a table. The splitting pattern is spelt out for Latin characters, whose classes are fixed; a text with any
-other character goes to the library whole, so results never depend on a Unicode version.
+other character goes to the library whole, so results never depend on a Unicode version. So does one that spells an
+added token of the vocabulary, which the library looks for before it splits a text.
 """
 
 from __future__ import annotations
@@ -51,15 +52,21 @@ class _Codes(dict):
 
 
 class PieceEncoder:
-    """encode(texts) gives all ids as uint32 and the number of ids of each text; null is the empty text."""
+    """encode(texts) gives all ids as uint32 and the number of ids of each text; null is the empty text.
 
-    def __init__(self, path: str):
+    added_tokens: whether the vocabulary's added tokens (<|endoftext|>) count as such where a text spells them, as they do
+    for the library unless told otherwise, and for all operators; if not, they are plain text."""
+
+    def __init__(self, path: str, added_tokens: bool = False):
         # Workers are many already, and threads of their own cost more than they bring for single words.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added_tokens
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        #: Texts that go to the library whole.
+        self._whole = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]))
         self._model = self._tokenizer.model
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         #: How the byte-level alphabet spells each Latin character.
@@ -77,7 +84,7 @@ class PieceEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _OTHER.search(text):
+            if self._whole.search(text):
                 parts.append(np.array([codes.add(text)], np.int32))
             else:
                 pieces = _PIECES.findall(text)
@@ -85,7 +92,7 @@ class PieceEncoder:
             sizes[i] = len(parts[-1])
         tokenize, spelling, ids, start = self._model.tokenize, self._spelling, self._ids, self._start
         for piece in codes.pending:
-            if _OTHER.search(piece):
+            if self._whole.search(piece):
                 ids.extend(self._tokenizer.encode(piece, add_special_tokens=False).ids)
             else:
                 ids.extend([t.id for t in tokenize(piece.translate(spelling))])
@@ -107,5 +114,5 @@ _encoders: dict[str, PieceEncoder] = {}
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path, added_tokens=True)
     return _encoders[path]

@@ -53,6 +53,21 @@ def test_encoder_equals_library(texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_operators_meet_added_tokens(spark, texts):
+    """Token tables and lengths are those of the tokenizer file as it is, nothing but add_special_tokens changed."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(default_tokenizer())
+    odd = [*texts[:20], "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>日", "<|endoftext |>"]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in odd]
+    assert [64, 220, 50256, 275] in want
+    docs = make_docs(spark, odd)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in simple8b.token_table(docs).collect()}
+    assert got == {i: (len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for i, w in enumerate(want)}
+    sums = token_counts.suffix_sums(token_counts.length_histogram(docs)).collect()
+    assert {r["n_tokens"]: r["n_docs"] for r in sums} == {n: list(map(len, want)).count(n) for n in map(len, want)}
+
+
 def test_length_histogram(spark, texts):
     sizes = PieceEncoder(default_tokenizer()).encode(texts)[1].tolist()
     sums = token_counts.suffix_sums(token_counts.length_histogram(make_docs(spark, texts))).cache()
