@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import materialize
+from .work import drop, materialize
 
 #: So many links (16 bytes each) are finished by union-find in one task.
 SMALL = 1_000_000
@@ -59,14 +59,17 @@ def connected_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     edges = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "links")
     seen = None
     while edges.count() > small:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        old = edges
+        both = old.unionByName(old.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        edges = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
+        drop(old, least)
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         linked = down.join(least, "u")
         edges = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialize(edges.distinct(), "links")
+        drop(large, least)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             star = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

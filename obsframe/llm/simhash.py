@@ -11,9 +11,10 @@ With a similarity of shingle sets (Jaccard), tiles are bands of set sizes (the s
 larger). Bits are then the parities of the distinct shingles that fall to each place: two sets differ in at least as
 many shingles as bits, so pairs are ruled out without loss, and all others are checked on their shingles.
 
-Each tile (a large one in chunks of CHUNK rows) is packed into one row, stays at home in one task and sees the tiles it
-meets pass by, so memory is that of two chunks. A visitor is linked once to each component of home rows that it
-touches, not to each row, so a group of m near copies makes links in proportion to m.
+Each tile (a large one in chunks of CHUNK rows) is packed into one row. Up to GROUP chunks of a tile are at home in one
+task and see the chunks they meet pass by, so memory is that of a group and a visitor, and a chunk is sent once to each
+group, not to each chunk, that it meets. A visitor is linked once to each component of home rows that it touches, not to
+each row, so a group of m near copies makes links in proportion to m.
 
 Nulls: a null or empty text has no shingle and fingerprint zero, linked like any other; rows with a null id get a
 fingerprint and no component. Rows that share an id are one document. Empty table: no rows. Other columns are never
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .work import bound_batches, free_shuffles, materialize, partitions
+from .work import bound_batches, drop, free_shuffles, materialize, partitions
 
 #: Rows of a chunk: of tiles, of bands of shingle counts (which are larger), and of those with their shingles.
 CHUNK, WIDE_CHUNK, SET_CHUNK = 2048, 4096, 1024
 #: Longs of a chunk's fingerprints or shingles, and pairs or shared shingles that are looked at together, at most.
 CELLS, BLOCK = 1_000_000, 2_000_000
+#: Chunks of a tile that one task holds, and their longs, at most (a single chunk may be larger).
+GROUP, GROUP_CELLS = 32, 6_000_000
 SEED = 42
 
 
@@ -280,54 +283,62 @@ class _Touched:
 
 
 def _compare(home_of, finder):
-    """Packed tiles: for each (tile, chunk) the one at home, then those that visit it."""
+    """Packed tiles: for each (tile, team) the chunks at home, then those that visit them. Chunks at home visit the ones
+    that came before them."""
 
     def run(batches):
-        key, home = None, None
+        key, homes = None, []
         for batch in batches:
-            tile, chunk, visitor = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            tile, team, visitor = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             for k in range(batch.num_rows):
                 part = [batch.column(c)[k].values.to_numpy() for c in (3, 4, 5)]
-                if visitor[k]:
-                    found = home.visit(*part) if key == (tile[k], chunk[k]) else None
-                else:
-                    key, home = (tile[k], chunk[k]), home_of(*part, finder)
-                    found = home.own()
-                if found is not None:
-                    for at in range(0, len(found[0]), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000], pa.int64()) for x in found], ["u", "v"])
+                if key != (tile[k], team[k]):
+                    key, homes = (tile[k], team[k]), []
+                found = [home.visit(*part) for home in homes]
+                if not visitor[k]:
+                    homes.append(home_of(*part, finder))
+                    found.append(homes[-1].own())
+                for pair in found:
+                    for at in range(0, len(pair[0]), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000], pa.int64()) for x in pair], ["u", "v"])
 
     return run
 
 
-def _meet(rows: DataFrame, later: list[int], chunk: int, home_of, finder) -> DataFrame:
-    """u, v: what each chunk at home gives with those of its tile and of the tiles that lie `later` by as much.
-    rows: node, n, fp (longs), tile."""
+def _meet(rows: DataFrame, later: list[int], chunk: int, home_of, finder, name: str) -> DataFrame:
+    """u, v, written as a table: what each chunk at home gives with those of its tile and of the tiles that lie `later`
+    by as much. rows: node, n, fp (longs), tile."""
     # At most 17^4 combinations of quarter counts, or some 200 bands: a proven bound for the broadcasts below.
-    size = F.greatest(F.count("*") / chunk, F.sum(F.size("fp").cast("long")) / CELLS)
-    counts = F.broadcast(materialize(rows.groupBy("tile").agg(F.ceil(size).cast("int").alias("chunks")), "tiles"))
+    cells = F.sum(F.size("fp").cast("long"))
+    sizes = rows.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / chunk, cells / CELLS)).cast("int").alias("chunks"), cells.alias("cells"))
+    held = F.greatest(F.lit(1), F.least(F.lit(GROUP), F.floor(F.col("chunks") * GROUP_CELLS / F.greatest("cells", F.lit(1))))).cast("int")
+    tiles = materialize(sizes.select("tile", "chunks", held.alias("held"), F.ceil(F.col("chunks") / held).cast("int").alias("teams")), "tiles")
+    counts = F.broadcast(tiles)
     rows = rows.join(counts, "tile").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # A tile, or a chunk of a large one, travels as one row of arrays; what is copied to the tiles it meets are such rows.
-    packed = rows.groupBy("tile", "chunk").agg(F.collect_list(F.struct("node", "n", "fp")).alias("rows"))
-    pick = lambda name: F.transform("rows", lambda r: r[name])
-    packed = materialize(packed.select("tile", "chunk", pick("node").alias("node"), pick("n").alias("n"), F.flatten(pick("fp")).alias("fp")), "packed")
-    columns = ["tile", "chunk", "visitor", "node", "n", "fp"]
+    packed = rows.groupBy("tile", "chunk", "held").agg(F.collect_list(F.struct("node", "n", "fp")).alias("rows"))
+    pick = lambda field: F.transform("rows", lambda r: r[field])
+    team = F.floor(F.col("chunk") / F.col("held")).cast("int").alias("team")
+    packed = materialize(packed.select("tile", team, pick("node").alias("node"), pick("n").alias("n"), F.flatten(pick("fp")).alias("fp")), "packed")
+    columns = ["tile", "team", "visitor", "node", "n", "fp"]
     visits = F.concat(
         F.array(F.struct(F.col("tile").alias("tile"), F.lit(True).alias("own"))),
         F.transform(F.array(*map(F.lit, later)), lambda d: F.struct((F.col("tile") + d).alias("tile"), F.lit(False).alias("own"))),
     )
-    away = packed.select("node", "n", "fp", F.col("chunk").alias("from"), F.explode(visits).alias("to"))
+    away = packed.select("node", "n", "fp", F.col("team").alias("from"), F.explode(visits).alias("to"))
     away = away.where("not to.own or `from` > 0").select("node", "n", "fp", "from", F.col("to.tile").alias("tile"), F.col("to.own").alias("own"))
-    away = away.join(counts, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("from")).otherwise(F.col("chunks")) - 1)))
+    away = away.join(counts, "tile").withColumn("team", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("from")).otherwise(F.col("teams")) - 1)))
     met = packed.withColumn("visitor", F.lit(0)).select(columns).unionByName(away.withColumn("visitor", F.lit(1)).select(columns))
-    met = met.repartition(partitions(rows.sparkSession), "tile", "chunk").sortWithinPartitions("tile", "chunk", "visitor")
-    return met.mapInArrow(_compare(home_of, finder), "u long, v long")
+    met = met.repartition(partitions(rows.sparkSession), "tile", "team").sortWithinPartitions("tile", "team", "visitor")
+    out = materialize(met.mapInArrow(_compare(home_of, finder), "u long, v long"), name)
+    drop(tiles, packed)
+    return out
 
 
 def links(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     """u, v: links that join all nodes within the radius; rows: node, n, fp, distinct fingerprints."""
     tile, later = _population_tiles(radius)
-    return _meet(rows.select("node", "n", "fp", tile.alias("tile")), later, chunk, _Linked, functools.partial(_Prints, radius=radius))
+    return _meet(rows.select("node", "n", "fp", tile.alias("tile")), later, chunk, _Linked, functools.partial(_Prints, radius=radius), "links")
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -348,43 +359,58 @@ def _similar(kinds: DataFrame, docs: DataFrame, words: int, similarity: float, i
     Rows that by their parities cannot have it with any other are set aside. The rest travel with their shingles, and
     each pair of them in bands that meet is checked where it meets, so nothing is chosen among pairs, and no table
     holds them."""
-    ids = materialize(_meet(kinds, [1], WIDE_CHUNK, _Touched, functools.partial(_Parities, similarity=similarity)).select(F.col("u").alias("node")).distinct(), "touched")
+    touched = _meet(kinds, [1], WIDE_CHUNK, _Touched, functools.partial(_Parities, similarity=similarity), "touched")
     free_shuffles(docs.sparkSession)
+    ids = touched.select(F.col("u").alias("node")).distinct()
     sets = materialize(_shingle_sets(docs, ids, words, similarity, id_col, text_col), "shingles")
-    out = materialize(_meet(sets, [1], SET_CHUNK, _Linked, functools.partial(_Sets, similarity=similarity)), "verified")
+    drop(touched)
+    out = _meet(sets, [1], SET_CHUNK, _Linked, functools.partial(_Sets, similarity=similarity), "verified")
+    drop(sets)
     free_shuffles(docs.sparkSession)
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the least id that can be reached over links, itself included).
-
-    Without a similarity, fingerprints within the radius are linked. With one, all documents are whose sets of shingles
-    have it (Jaccard), exactly; fp then holds the parities by which pairs are ruled out, and the radius has no part."""
+def _grouped(docs: DataFrame, words: int, lanes: int, radius: int, similarity: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """Two tables: a row for each document, and the component of each kind of document; and the column they share."""
     if similarity is None:
         made, same = materialize(fingerprints(docs, words, lanes, id_col, text_col), "fingerprints"), "fp"
         kinds = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")).where("node is not null"), "distinct")
-        edges = links(kinds, radius)
+        found = links(kinds, radius)
     else:
         made, same = materialize(signatures(docs, words, lanes, similarity, id_col, text_col), "signatures"), "key"
         kinds = made.groupBy("key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "fp", "tile")])
         kinds = materialize(kinds.where("node is not null"), "distinct")
-        edges = _similar(kinds.select("node", "n", "fp", "tile"), docs, words, similarity, id_col, text_col)
+        found = _similar(kinds.select("node", "n", "fp", "tile"), docs, words, similarity, id_col, text_col)
+    edges = found
     shared = made.groupBy("doc_id").agg(F.min(same).alias("a"), F.max(same).alias("b")).where("doc_id is not null and a <> b")
     if not shared.isEmpty():  # ids with several texts join their fingerprints
         ids = made.where("doc_id is not null").select("doc_id", same).distinct().join(kinds, same).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
         edges = edges.unionByName(ids.where("u <> v"))
     parts = connected_components(edges).select(F.col("node"), F.col("root"))
     named = materialize(kinds.join(parts, "node", "left").select(same, F.coalesce("root", "node").alias("component_id")), "components")
+    drop(found, kinds)
+    return made, named, same
+
+
+def _members(made: DataFrame, named: DataFrame, same: str) -> DataFrame:
     out = made.join(named, same, "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id (the least id that can be reached over links, itself included).
+
+    Without a similarity, fingerprints within the radius are linked. With one, all documents are whose sets of shingles
+    have it (Jaccard), exactly; fp then holds the parities by which pairs are ruled out, and the radius has no part."""
+    return _members(*_grouped(docs, words, lanes, radius, similarity, id_col, text_col))
+
+
 def keep_one(docs: DataFrame, words: int = 5, lanes: int = 8, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one document of each group: the one of the least id. Rows without an id stay. Groups are
     joined by pairs of at least the similarity of shingles, exactly."""
-    found = near_duplicates(docs, words, lanes, similarity=similarity, id_col=id_col, text_col=text_col)
-    keep = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct(), "kept")
+    made, named, same = _grouped(docs, words, lanes, 0, similarity, id_col, text_col)
+    keep = materialize(_members(made, named, same).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct(), "kept")
+    drop(made, named)
     # The row travels as a struct, so that no column of the input can clash with those made here.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
     first = rows.join(keep, "id").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("r = 1")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,10 +25,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where the setting is absent (local tests)."""
+    """The shared folder of this session; a temporary one only where the setting is absent and all runs in one process."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         folder = tempfile.mkdtemp(prefix="obsframe-")
@@ -46,19 +49,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     ship(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """df; its session sends Python no more than BATCH_BYTES of rows at a time, unless a limit has been set, so that a
-    worker's memory does not follow the length of texts."""
+    """df; its session, from now on, sends Python no more than BATCH_BYTES of rows at a time, unless a limit has been set,
+    so that a worker's memory does not follow the length of texts. Plans read the limit when they run, so it stays set."""
     key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
     ship(df.sparkSession)
     if df.sparkSession.sparkContext.getConf().get(key, None) is None:
@@ -82,8 +88,8 @@ def lower_ascii(c: Column) -> Column:
 
 
 def held_out(id_col: Column) -> Column:
-    """Whether a row belongs to the fold that never lends its labels to training."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
+    """Whether a row belongs to the fold that never lends its labels to training; a null id does not (nor is it trained on)."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def by_bytes(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
