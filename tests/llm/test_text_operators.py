@@ -13,7 +13,7 @@ pytest.importorskip("obsframe.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from obsframe.llm import components, decontaminate, mixing, simhash, simple8b, substrings, token_counts  # noqa: E402
-from obsframe.llm.encoding import PieceEncoder, default_tokenizer  # noqa: E402
+from obsframe.llm.encoding import PieceEncoder, default_tokenizer, encoder  # noqa: E402
 
 #: With extra columns whose names operators use for themselves.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, start int, row string"
@@ -45,9 +45,8 @@ def test_encoder_equals_library(texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(default_tokenizer())
-    whole.encode_special_tokens = True
     odd = [*texts, "don't\u00a0 stop  \n\n x\x1c y\x85z ½²3₂ ﬁ <|endoftext|> 's", "a" * 5000, " "]
-    ids, sizes = PieceEncoder(default_tokenizer()).encode(odd)
+    ids, sizes = encoder(default_tokenizer()).encode(odd)
     want = [whole.encode(t or "", add_special_tokens=False).ids for t in odd]
     assert sizes.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
@@ -96,7 +95,7 @@ def test_simple8b_round_trip(n, top):
 def test_token_files(spark, texts):
     ids = [*range(len(texts) - 3), 5, 5, None]
     docs = make_docs(spark, texts, ids).repartition(4)
-    encoder = PieceEncoder(default_tokenizer())
+    plain = PieceEncoder(default_tokenizer())
     rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] or 0))
     got = simple8b.read_tokens(simple8b.write_tokens(docs, simple8b.new_path(spark, "tokens")), with_ids=True).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [r[0] for r in rows]
@@ -105,7 +104,7 @@ def test_token_files(spark, texts):
         assert (r["start"], r["n_tokens"], r["ids"][-1]) == (start, len(r["ids"]), 2)
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         start += r["n_tokens"]
-    want = sorted([*map(int, encoder.encode([t])[0]), 2] for _, t in rows)
+    want = sorted([*map(int, plain.encode([t])[0]), 2] for _, t in rows)
     assert sorted(r["ids"] for r in got) == want
     assert simple8b.token_table(make_docs(spark, [])).count() == 0
 
@@ -373,13 +372,30 @@ def test_candidates_lose_no_pair(spark):
     assert got == list(range(0, len(docs), 2))
 
 
-def test_decontaminate_in_groups_of_items(spark):
-    """Overlapping hits and coverage of items in several groups are those of one group."""
+@pytest.mark.parametrize("item_chars", [10**6, 400, 100, 15])
+def test_decontaminate_in_groups_of_items(spark, item_chars):
+    """Overlapping hits and coverage do not depend on how items are dealt into groups, or cut into pieces."""
     q = [f"q{i}" for i in range(60)]
     clean = [f"z{i}" for i in range(80)]
-    bench = spark.createDataFrame([(i, " ".join(q[5 * i : 5 * i + 10])) for i in range(9)], "item_id long, text string")
-    docs = [clean[:40] + q[:15] + clean[40:], q[:10] + clean[:11] + q[30:45], clean[:9] + q[3:36] + clean[9:70], q[:10] + clean[:14] + q[40:50] + clean[20:25], None]
-    docs = make_docs(spark, [None if d is None else " ".join(d) for d in docs])
-    one = sorted(map(repr, decontaminate.decontaminate(docs, bench).collect()))
-    assert len(one) < 5 and not any("q5 " in r for r in one)
-    assert sorted(map(repr, decontaminate.decontaminate(docs, bench, item_chars=100).collect())) == one
+    bench = [(i, " ".join(q[5 * i : 5 * i + 10])) for i in range(9)] + [(20, "short item"), (21, " ".join(clean[20:75])), (22, None), (22, "")]
+    docs = [clean[:19] + q[:15] + clean[:19], q[:10] + clean[:11] + q[30:45], clean[:9] + q[3:36] + clean[:19] * 3, q[:10] + clean[:14] + q[40:50] + clean[:15], None, ["a"] * 40 + clean[50:70], ["a"] * 9 + ["short", "item"] + ["b"] * 9, ["short"]]
+    docs = make_docs(spark, [None if d is None else " ".join(d) for d in docs], [0, 1, 2, 3, 4, 5, 6, 6])
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in decontaminate.decontaminate(docs, items, item_chars=item_chars).collect())
+    a = " ".join
+    want = [(0, a(clean[:19]) + "  " + a(clean[:19])), (2, a(clean[:9] + q[3:5]) + "  " + a([q[35], *clean[:19], *clean[:19], *clean[:19]]))]
+    want += [(3, " " + a(clean[:14]) + "  " + a(clean[:15])), (4, None), (5, a(["a"] * 40) + " "), (6, a(["a"] * 9) + "  " + a(["b"] * 9)), (6, "short")]
+    assert got == want
+    assert decontaminate.decontaminate(docs.limit(0), items, item_chars=item_chars).count() == 0
+
+
+def test_span_limit(spark):
+    """Hits shorter than the limit stay, as long ones go; whole short items go at any length."""
+    clean, passage = [f"z{i}" for i in range(60)], [f"q{i}" for i in range(30)]
+    docs = make_docs(spark, [" ".join(clean + passage[:n] + clean) for n in (9, 12, 19, 20, 25)] + [" ".join(clean + ["tiny", "one"] + clean)])
+    bench = spark.createDataFrame([(1, " ".join(passage)), (2, "tiny one")], "item_id long, text string")
+    left = {r["doc_id"]: len((r["text"] or "").split()) - 120 for r in decontaminate.decontaminate(docs, bench, span_limit=20).collect()}
+    assert left == {0: 9, 1: 12, 2: 19, 3: 0, 4: 0, 5: 0}
+    left = {r["doc_id"]: len((r["text"] or "").split()) - 120 for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert left == {0: 9, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench, coverage_limit=0.1).collect()} == {0, 1, 5}
