@@ -10,9 +10,13 @@ shard that holds a bucket it visits; the shard scores its candidates and keeps t
 merged at the end grows with queries and shards, not with pairs. Of equal vectors only the ids that can be among the
 nearest are kept (equal scores go to smaller ids, so this loses nothing), and equal query vectors are searched once.
 
+A query whose buckets hold fewer than k others is searched once more among all rows, in blocks, so every query gets k
+neighbours, or all candidates where there are fewer.
+
 Vectors that are null, zero, of another length than most, or with null or non-finite components take no part, as
-queries or candidates. Rows that repeat an id and a vector count once. Empty table: no rows. Other columns are never
-read.
+queries or candidates. Rows that repeat an id and a vector count once; an id with several vectors is never its own
+neighbour. Ties go to smaller ids. Empty table: no rows. Other columns are never read. Components are kept as they
+are: float or double.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import materialize, partitions
+from ..session import ship
+from .work import drop, materialize, partitions
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 3, 8, 2.2, 500, 20
 #: Rows of a bucket in one shard, and rows (a table's worth of each vector) of a shard, about.
@@ -92,7 +97,7 @@ def _hashed(df: DataFrame, index: Multiprobe, method: str) -> DataFrame:
                 codes = getattr(index, method)(_matrix(part.column(1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(codes), pa.list_(pa.int64()))], ["id", "v", "codes"])
 
-    return df.select("id", "v").mapInArrow(run, "id long, v array<float>, codes array<long>")
+    return df.select("id", "v").mapInArrow(run, f"id long, v {df.schema['v'].dataType.simpleString()}, codes array<long>")
 
 
 def _best_of_shard(keep: int, tables: int):
@@ -136,11 +141,16 @@ def _best_of_shard(keep: int, tables: int):
                     rows = np.concatenate([np.arange(first[x], last[x]) for x in at.tolist()])
                     score = (v[rows] @ vectors[k]) / (norm[rows] * np.linalg.norm(vectors[k]))
                     q = int(ids[k])
+                    near = who[rows]
                     if len(rows) > 4 * keep * tables:  # a vector is in a shard once for each table at most
                         close = score >= np.partition(score, len(score) - keep * tables)[len(score) - keep * tables]
-                        rows, score = rows[close], score[close]
-                    pairs = {(-s, i) for s, i in zip(score.tolist(), who[rows].tolist(), strict=True)} | {(-s, i) for s, i in best.get(q, ())}
-                    best[q] = [(-s, i) for s, i in sorted(pairs)[:keep]]
+                        if len(np.unique(near[close])) >= keep:  # not so where ids have several vectors
+                            near, score = near[close], score[close]
+                    order = np.argsort(score, kind="stable")  # of an id's scores the highest is written last
+                    pairs = dict(zip(near[order].tolist(), score[order].tolist(), strict=True))
+                    for s, i in best.get(q, ()):
+                        pairs[i] = max(s, pairs.get(i, s))
+                    best[q] = sorted(((s, i) for i, s in pairs.items()), key=lambda p: (-p[0], p[1]))[:keep]
                     if len(best) > HELD_QUERIES:
                         yield flush()
         if best:
@@ -157,16 +167,28 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v: rows that take part."""
-    v = F.col(vector_col).cast("array<float>")
+    """id, v: rows that take part; components other than float are doubles."""
+    kind = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    v = F.col(vector_col).cast(f"array<{kind}>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
+def _searched(held: DataFrame, sent: DataFrame, shards: int, k: int, tables: int, name: str) -> DataFrame:
+    """head, vec_id, score: the best k + 1 found for each query; held and sent: shard, is_query, id, v, codes."""
+    parts = partitions(held.sparkSession)
+    met = held.unionByName(sent).repartition(max(parts, min(shards, 4 * parts)), "shard").sortWithinPartitions("shard", "is_query")
+    found = met.mapInArrow(_best_of_shard(k + 1, tables), "query_id long, vec_id long, score double")
+    first = Window.partitionBy("head").orderBy(F.desc("score"), "vec_id")
+    merged = found.groupBy(F.col("query_id").alias("head"), "vec_id").agg(F.max("score").alias("score"))
+    return materialize(merged.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r"), name)
+
+
 def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row that the condition `queries` (over the
     column id) holds for, among all rows but those of its own id."""
     spark = df.sparkSession
+    ship(spark)
     rows = valid_vectors(df, id_col, vector_col)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
@@ -176,7 +198,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     # Of equal vectors, a query needs its k nearest and, perhaps, one more beside itself.
     same = Window.partitionBy("v").orderBy("id")
     kept = rows.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1).select("id", "v").dropDuplicates(["id", "v"])
-    hashed = materialize(_hashed(kept, index, "buckets"), "hashed").select("id", "v", F.explode("codes").alias("code"))
+    kept = materialize(_hashed(kept, index, "buckets"), "hashed")
+    hashed = kept.select("id", "v", F.explode("codes").alias("code"))
     total = sizes["count"] * tables
     shards = max(LEAST_SHARDS, -(-total // SHARD_ROWS))
     # At most total / HOT buckets are hot.
@@ -186,17 +209,28 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     held = hashed.join(hot, "code", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     held = held.select(shard, F.lit(False).alias("is_query"), "id", "v", F.array("code").alias("codes"))
     asked = rows.where(queries)
-    heads = materialize(asked.groupBy("v").agg(F.min("id").alias("id")), "queries")
-    visits = materialize(_hashed(heads, index, "visits"), "visits")
+    # An id may have several vectors, so distinct vectors are numbered, once and for all as the table is written.
+    heads = materialize(asked.select("v").distinct().withColumn("head", F.monotonically_increasing_id()), "heads")
+    visits = materialize(_hashed(heads.select(F.col("head").alias("id"), "v"), index, "visits"), "visits")
     to = visits.select("id", F.explode("codes").alias("code")).join(hot, "code", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     to = to.select("id", "code", shard).groupBy("id", "shard").agg(F.collect_list("code").alias("codes"))  # probes of one query
-    sent = to.join(heads, "id").select("shard", F.lit(True).alias("is_query"), "id", "v", "codes")
-    met = held.unionByName(sent).repartition(max(partitions(spark), min(shards, 4 * partitions(spark))), "shard").sortWithinPartitions("shard", "is_query")
-    found = met.mapInArrow(_best_of_shard(k + 1, tables), "query_id long, vec_id long, score double")
-    first = Window.partitionBy("head").orderBy(F.desc("score"), "vec_id")
-    merged = found.groupBy(F.col("query_id").alias("head"), "vec_id").agg(F.max("score").alias("score"))
-    merged = merged.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
-    members = asked.join(heads.select("v", F.col("id").alias("head")), "v").select(F.col("id").alias("query_id"), "head").distinct()
-    out = members.join(merged, "head").where("vec_id <> query_id")
+    asking = heads.select(F.col("head").alias("id"), "v")
+    sent = to.join(asking, "id").select("shard", F.lit(True).alias("is_query"), "id", "v", "codes")
+    found = _searched(held, sent, shards, k, tables, "found")
+    drop(visits, hot)
+    # Queries that met fewer than they should: all rows, dealt into shards, see each of them.
+    least = F.lit(min(k + 1, kept.select("id").distinct().count()))
+    full = found.groupBy("head").count().where(F.col("count") >= least).select(F.col("head").alias("id"))
+    short = materialize(asking.join(full, "id", "left_anti"), "short")
+    if not short.isEmpty():
+        shards = max(LEAST_SHARDS, -(-sizes["count"] // SHARD_ROWS))
+        none = F.array(F.lit(0).cast("long")).alias("codes")
+        every = kept.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "id", "v", none)
+        sent = short.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "id", "v", none)
+        again = _searched(every, sent, shards, k, 1, "again")
+        found = found.join(short.select(F.col("id").alias("head")), "head", "left_anti").unionByName(again)
+    members = asked.join(heads.select("v", "head"), "v").select(F.col("id").alias("query_id"), "head").distinct()
+    out = members.join(found, "head").where("vec_id <> query_id")
+    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -116,8 +116,42 @@ def test_neighbours(spark, monkeypatch):
                 assert s == pytest.approx(float(v[q].astype(float) @ v[i].astype(float) / np.linalg.norm(v[q].astype(float)) / np.linalg.norm(v[i].astype(float))), abs=1e-12)
         assert [i for i, _ in by[50]] == [600, 601, 602, 603, 604]
     assert neighbours.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
-    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, rank int")
-    assert neighbours.nearest(few, F.col("id") == 0, probes=3**8).count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 7, 40])
+def test_neighbours_of_few_rows(spark, n):
+    """As many as there are, up to k, with the settings of the query; no bucket need hold them."""
+    v = np.random.default_rng(n).normal(size=(n, 64))
+    v[0] *= -1e3
+    df = spark.createDataFrame([(50 * i if i < 2 else 50 * i + 1, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    ids = [50 * i if i < 2 else 50 * i + 1 for i in range(n)]
+    got = neighbours.nearest(df, F.col("id") % 50 == 0).collect()
+    want = brute_nearest(ids, v)
+    for q in want:
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [m[0] for m in mine] == list(range(1, min(5, n - 1) + 1))
+        if n <= 6:
+            assert [m[1] for m in mine] == [i for _, i in want[q]]
+        for _, i, s in mine:
+            a, b = v[ids.index(q)], v[ids.index(i)]
+            assert s == pytest.approx(float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)), abs=1e-14)
+
+
+def test_neighbours_of_an_isolated_query_and_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.01
+    rows = [(i + 1, x.tolist()) for i, x in enumerate(near)] + [(0, (-near[0]).tolist()), (1, rng.normal(size=16).tolist())] + [(2, (near[1] * (j + 1)).tolist()) for j in range(8)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id").isin(0, 1, 2)).collect()
+    for q in (0, 1, 2):
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5] and len({m[1] for m in mine} - {q}) == 5
+    best = {}
+    for i, x in rows:  # an id counts by its nearest vector
+        cosine = float(np.dot(x, rows[300][1]) / np.linalg.norm(x) / np.linalg.norm(rows[300][1]))
+        best[i] = max(cosine, best.get(i, -1)) if i else -2
+    want = sorted(best, key=lambda i: -best[i])[:5]
+    mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 0)
+    assert [m[1] for m in mine] == want and [m[2] for m in mine] == pytest.approx([best[i] for i in want], abs=1e-12)
 
 
 def test_urls(spark):
