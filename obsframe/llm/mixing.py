@@ -5,22 +5,29 @@ comes from a hash of seed and id, so the draw does not depend on partitioning or
 the source's rate is inverted at that number, the document is exploded by the count, and copies are dealt to
 partitions and ordered by another hash: a global shuffle that can be repeated exactly.
 
+The distribution belongs to the source, so it is summed up once for each source, within 12 deviations of its mean, and
+a document finds its count there by bisection.
+
 Sizes are characters plus one for each document (its end id), so no source that occurs has size 0.
-Nulls: a null source is a source of its own; a null text has size 1; a null id hashes like an empty one. Rows that
-repeat an id draw the same count, as one document. Empty table: empty result. Columns of the input named
-mix_rate, mix_copy or mix_key are replaced.
+Nulls: a null source is a source of its own; a null text has size 1. A row whose id is null, or occurs more than once,
+draws by itself: its number comes from id, all columns and, of rows equal in all, a number from 0. Such rows are counted
+before they travel and dealt out again in pieces, so one id or text may be that of most rows. Empty table: empty
+result. Very long texts and ties need no care: a row travels whole, and keys are unique. Columns of the input named
+mix_rate, mix_copy or mix_key are replaced; columns of map type cannot be compared and must be absent where ids repeat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .work import materialize, partitions
 
-#: A table of rates of up to this many sources (some 60 bytes each) is broadcast; beyond, documents are salted.
-BROADCAST_SOURCES = 50_000
+#: A table of distributions, or of repeated ids, of so many bytes is broadcast; beyond, documents are salted.
+BROADCAST_BYTES = 16_000_000
 SALTS = 32
+#: Equal rows that are dealt out together.
+PIECE = 1024
 
 
 def _key(source: Column) -> Column:
@@ -32,18 +39,30 @@ def uniform(text: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**13))
 
 
-def poisson_inverse(u: Column, rate: Column) -> Column:
-    """How many k have a cumulative probability below u. Terms are taken as logarithms, so no rate underflows; beyond
-    rate + 12 sqrt(rate) + 30 the remaining probability is below what 52 bits can tell."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("l"), F.exp(-rate).alias("c"), F.when(F.exp(-rate) < u, 1).otherwise(0).alias("n"))
-
-    def step(s: Column, k: Column) -> Column:
-        term = s["l"] + F.log(rate) - F.log(k.cast("double"))
-        c = s["c"] + F.exp(term)
-        return F.struct(term.alias("l"), c.alias("c"), (s["n"] + F.when(c < u, 1).otherwise(0)).alias("n"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["n"]).otherwise(0)
+def distributions(rates: DataFrame) -> DataFrame:
+    """rates (source_key, rate) with low, cdf (probabilities of low, low + 1, ... or less) and steps (for bisection);
+    without the last three where the rate is 0. Beyond 12 deviations and 30 from the mean, the probability left is
+    below what 52 bits can tell. Terms are sums of logarithms, so none underflows."""
+    wide = 12 * F.sqrt("rate") + 30
+    rows = rates.where("rate > 0").withColumn("low", F.greatest(F.lit(0), F.floor(F.col("rate") - wide)).cast("long"))
+    rows = rows.withColumn("k", F.explode(F.sequence("low", F.ceil(F.col("rate") + wide).cast("long"))))
+    low, r = F.col("low").cast("double"), F.col("rate")
+    # Stirling's series for the first term; where it starts from 0, that is exp(-rate).
+    series = low * F.log(r / low) - r + low - F.log(2 * F.lit(3.141592653589793) * low) / 2 - 1 / (12 * low) + 1 / (360 * low**3)
+    first = F.when(F.col("low") == 0, -r).otherwise(series)
+    term = F.when(F.col("k") == F.col("low"), first).otherwise(F.log(r) - F.log(F.col("k").cast("double")))
+    up = Window.partitionBy("source_key").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("l", F.sum(term).over(up)).withColumn("c", F.sum(F.exp("l")).over(up))
+    tables = rows.groupBy("source_key").agg(F.first("low").alias("low"), F.array_sort(F.collect_list("c")).alias("cdf"))
+    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.size("cdf") + 1))).cast("int")
+    steps = F.transform(F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2.0), b).cast("int"))
+    return rates.join(tables.withColumn("steps", steps), "source_key", "left")
+
+
+def poisson_inverse(u: Column, low: Column, cdf: Column, steps: Column) -> Column:
+    """How many k have a cumulative probability below u."""
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cdf, at + step - 1) < u, at + step).otherwise(at))
+    return F.coalesce(low + found, F.lit(0).cast("long")).cast("int")
 
 
 def source_sizes(df: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -72,17 +91,39 @@ def mix_sources(
     """The rows of df, each as often as drawn, in shuffled order, with mix_rate, mix_copy (from 0) and mix_key."""
     spark = df.sparkSession
     df = df.drop("mix_rate", "mix_copy", "mix_key")
-    rates = materialize(repetition_rates(source_sizes(df, source_col, text_col), weights, alpha, total), "rates")
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    # The row travels as a struct, so that no column of the input can clash with those made here.
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(F.col(source_col)).alias("source_key"), name.alias("name"), uniform(name).alias("u"))
-    if rates.count() <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(rates), "source_key")
-    else:
-        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(SALTS)).cast("int")).join(salted, ["source_key", "salt"])
-    rows = rows.withColumn("n", poisson_inverse(F.col("u"), F.col("rate"))).where("n > 0")
+    rates = materialize(distributions(repetition_rates(source_sizes(df, source_col, text_col), weights, alpha, total)), "rates")
+    rows = _named(df, id_col, source_col, seed)
+    rows = _looked_up(rows, rates, "source_key", F.sum(F.lit(100) + 8 * F.coalesce(F.size("cdf"), F.lit(0))))
+    rows = rows.withColumn("n", poisson_inverse(uniform(F.col("name")), F.col("low"), F.col("cdf"), F.col("steps"))).where("n > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     key = F.md5(F.concat(F.col("name"), F.lit(":"), F.col("copy").cast("string")).cast("binary"))
     rows = rows.select("row.*", F.col("rate").alias("mix_rate"), F.col("copy").alias("mix_copy"), key.alias("mix_key"))
     return rows.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
+
+
+def _looked_up(rows: DataFrame, small: DataFrame, key: str, size: Column, how: str = "inner") -> DataFrame:
+    """rows with the columns of a table of unique keys: broadcast up to a size, else met by key and salt."""
+    if (small.agg(size.alias("n")).first()["n"] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), key, how)
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # any will do
+    return rows.join(salted, [key, "salt"], how).drop("salt")
+
+
+def _named(df: DataFrame, id_col: str, source_col: str, seed: int) -> DataFrame:
+    """row, source_key, name: the name that a row draws by, another one for each row."""
+    # The row travels as a struct, so that no column of the input can clash with those made here.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(F.col(f"`{source_col}`")).alias("source_key"), F.col(f"`{id_col}`").cast("string").alias("id"))
+    plain = F.concat(F.lit(f"{seed}:"), F.coalesce("id", F.lit("")))
+    again = materialize(df.groupBy(F.col(f"`{id_col}`").cast("string").alias("id")).count().where("id is null or count > 1").select("id", F.lit(True).alias("again")), "again")
+    if again.isEmpty():
+        return rows.select("row", "source_key", plain.alias("name"))
+    rows = _looked_up(rows.withColumn("name", plain), again.where("id is not null"), "id", F.sum(F.length("id") + 40), "left")
+    own = F.col("id").isNotNull() & F.col("again").isNull()
+    equal = rows.where(~own).groupBy("row", "source_key", "name").agg(F.count("*").alias("many"))
+    pieces = equal.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / PIECE))))
+    pieces = pieces.repartition(partitions(df.sparkSession), F.xxhash64("row"), "piece")
+    number = F.explode(F.sequence(F.col("piece") * PIECE, F.least(F.col("many"), (F.col("piece") + 1) * PIECE) - 1))
+    numbered = pieces.select("row", "source_key", "name", number.alias("number"))
+    name = F.concat("name", F.lit(":"), F.hex(F.xxhash64("row")), F.lit(":"), F.col("number").cast("string"))
+    return rows.where(own).select("row", "source_key", "name").unionByName(numbered.select("row", "source_key", name.alias("name")))

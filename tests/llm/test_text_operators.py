@@ -1,6 +1,7 @@
 """Operators over document texts, held against plain Python on small tables with nulls, copies and long texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -121,18 +122,58 @@ def test_mixing(spark, texts):
     assert size("s0") / size("s1") == pytest.approx(3, rel=0.25)
     assert sorted(map(repr, rows)) == sorted(map(repr, mixing.mix_sources(docs.repartition(7), weights={"s0": 3.0, "s1": 1.0, None: 0.5}, total=10**6, seed=4).collect()))
     assert mixing.mix_sources(make_docs(spark, [])).count() == 0
-    small, mixing.BROADCAST_SOURCES = mixing.BROADCAST_SOURCES, 0
+    small, mixing.BROADCAST_BYTES = mixing.BROADCAST_BYTES, 0
     try:
         salted = mixing.mix_sources(docs, weights={"s0": 3.0, "s1": 1.0, None: 0.5}, total=10**6, seed=4).collect()
     finally:
-        mixing.BROADCAST_SOURCES = small
+        mixing.BROADCAST_BYTES = small
     assert sorted(map(repr, rows)) == sorted(map(repr, salted))
 
 
+def brute_poisson(u, rate):
+    """How many k have a cumulative probability below u, summed term by term from logarithms."""
+    n, l, c = 0, -rate, math.exp(-rate)
+    while c < u and n < rate + 12 * rate**0.5 + 30:
+        n += 1
+        l += math.log(rate) - math.log(n)
+        c += math.exp(l)
+    return n
+
+
 def test_poisson_inverse(spark):
-    for rate in (0.0, 0.3, 4.0, 2000.0):
-        n = spark.range(4000).select(mixing.poisson_inverse(mixing.uniform(F.col("id").cast("string")), F.lit(rate)).alias("n")).toPandas()["n"]
-        assert n.mean() == pytest.approx(rate, abs=4 * (rate / 4000) ** 0.5 + 1e-9) and (rate == 0 or n.var() == pytest.approx(rate, rel=0.12))
+    rates = (0.0, 0.3, 4.0, 150.0, 2000.0, 3e6)
+    table = mixing.distributions(spark.createDataFrame([(str(r), r) for r in rates], "source_key string, rate double"))
+    u = mixing.uniform(F.col("id").cast("string"))
+    drawn = spark.range(4000).crossJoin(table).select("rate", "id", u.alias("u"), mixing.poisson_inverse(u, F.col("low"), F.col("cdf"), F.col("steps")).alias("n")).toPandas()
+    for rate in rates:
+        n = drawn[drawn["rate"] == rate]
+        assert len(n) == 4000 and n["n"].mean() == pytest.approx(rate, abs=4 * (rate / 4000) ** 0.5 + 1e-9)
+        assert rate == 0 or n["n"].var() == pytest.approx(rate, rel=0.12)
+        if 0 < rate < 1e4:
+            assert [brute_poisson(u, rate) for u in n["u"][:500]] == n["n"][:500].tolist()
+
+
+@pytest.mark.parametrize("most", [mixing.BROADCAST_BYTES, 0])
+def test_mixing_of_rows_without_an_id_of_their_own(spark, most, monkeypatch):
+    """Rows with null or repeated ids, equal ones too, draw one by one, and are spread over partitions."""
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    text = "t" * 9
+    rows = [(None, text, "a", i % 2) for i in range(3000)] + [(7, text, "a", 0)] * 3000 + [(i, text, "a", 0) for i in range(100, 1100)] + [(None, None, None, None)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(4)
+    mixed = mixing.mix_sources(docs, weights={"a": 1.0, None: 0.1})
+    got = mixed.collect()
+    for own in (lambda r: r["doc_id"] is None and r["text"], lambda r: r["doc_id"] == 7, lambda r: (r["doc_id"] or 0) >= 100, lambda r: r["text"] is None):
+        mine = [r for r in got if own(r)]
+        n = sum(1 for r in rows if own(dict(zip(("doc_id", "text", "source", "extra"), r, strict=True))))
+        rate = mine[0]["mix_rate"]
+        assert len(mine) == pytest.approx(n * rate, abs=4 * (n * rate) ** 0.5)
+        first = sum(r["mix_copy"] == 0 for r in mine)  # rows drawn at least once
+        assert first == pytest.approx(n * (1 - math.exp(-rate)), abs=4 * (n * math.exp(-rate) * (1 - math.exp(-rate))) ** 0.5)
+    assert len({r["mix_key"] for r in got}) == len(got)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_sources(docs.repartition(9), weights={"a": 1.0, None: 0.1}).collect()))
+    sizes = [len(p) for p in mixed.rdd.glom().collect()]
+    assert max(sizes) < 0.6 * len(got)
 
 
 def brute_hits(text, items, window=10):
