@@ -4,8 +4,13 @@ Each whole text becomes a row of statistics. Trees are grown on binned statistic
 depth, and flattened into arrays in heap order; a batch of documents goes down all trees as numpy index arithmetic.
 
 Training uses a bounded sample of labelled rows (ROWS, those with the least hashes) outside the held-out fold; ids,
-languages and sources are never features. Nulls: a null text has the statistics of an empty one; a null id or label is
-in no sample. Repeated rows are scored alike. Without labels every score is 0.5. Other columns are never read.
+languages and sources are never features.
+
+Nulls: a null text has the statistics of an empty one; a null id or label is in no sample, and a null id not held out.
+Repeated rows are scored alike; an id labelled twice counts once, by the higher label. Very long texts are read whole,
+one at a time. Ties: a value equal to a threshold goes left; of equal gains the first statistic and the lowest threshold
+split. With one label only every score is the same, and 0.5 without any. Empty table: no rows. Other columns are never
+read.
 """
 
 from __future__ import annotations

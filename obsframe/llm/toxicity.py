@@ -6,11 +6,14 @@ zero; when it is below, the step goes up that part's gradient instead. A proxima
 weights sparse, so words without evidence have no say in long texts.
 
 Training uses bounded samples (P_ROWS, U_ROWS, those with the least hashes), drawn by id; scoring reads every whole
-text. Labels come only from rows outside the held-out fold; ids, languages and sources are never features.
-
-Nulls: a null text has no words and gets the model's score for none; a null id is in no training sample; null labels
-are not positive. Repeated rows are scored alike. Without positive examples every score is the prior, 0 if unknown.
-Other columns are never read by `score_documents`, and kept by `drop_toxic`.
+text. Unlabelled text is drawn from all documents outside the held-out fold, labels unread, as the risk estimator
+supposes. Labels come only from rows outside that fold; ids, languages and sources are never features.
+
+Nulls: a null text has no words and gets the model's score for none, as an empty one; a null id is in no training
+sample and not held out; null labels are not positive. Repeated rows are scored alike; an id with several texts may
+train with each. Very long texts are read whole: only their distinct words are kept. Without positive examples or
+documents to train on, every score is the prior, 0 if unknown. Empty table: no rows. Other columns are never read by
+`score_documents`, and kept by `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -58,6 +61,18 @@ class LinearWords:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(z: np.ndarray, n_p: int, prior: float, ascent: float) -> tuple[float, float, np.ndarray]:
+    """Of outputs z, those of n_p positives first: the positive part of the risk (logistic loss), the negative part, which
+    may be below zero, and what a step follows down: the gradient by z of their sum, or, where the negative part is
+    below zero, that of minus this part times ascent."""
+    s, is_p = 1 / (1 + np.exp(-z)), np.arange(len(z)) < n_p
+    as_negative = np.logaddexp(0, z)
+    plus = prior * np.logaddexp(0, -z[is_p]).mean()
+    minus = as_negative[~is_p].mean() - prior * as_negative[is_p].mean()
+    g_minus = np.where(is_p, -prior * s / n_p, s / (len(z) - n_p))
+    return plus, minus, -ascent * g_minus if minus < 0 else np.where(is_p, prior * (s - 1) / n_p, 0) + g_minus
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 0.005, ascent: float = 0.3) -> LinearWords:
     """Fit by adaptive full-batch steps of falling length on the non-negative risk with the logistic loss. Where the
     negative part is below zero, the step climbs it, shortened by `ascent`. l1 shrinks with the root of the number of
@@ -72,19 +87,14 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     known = np.bincount(column, minlength=len(codes)) >= MIN_DOCS
     used = known[column]
     column, owner, codes = (np.cumsum(known) - 1)[column[used]], owner[used], codes[known]
-    n_p, n_u, n = len(positive), len(unlabelled), len(codes)
+    n_p, n = len(positive), len(codes)
     l1 = l1 / np.sqrt(n_p)
-    is_p = np.arange(len(rows)) < n_p
     x = np.zeros(n + 1)
     x[n] = np.log(prior / (1 - prior))
     drift, size = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
         z = np.clip(x[n] + np.bincount(owner, weights=x[column], minlength=len(rows)), -30, 30)
-        s = 1 / (1 + np.exp(-z))
-        as_negative = np.logaddexp(0, z)
-        below = as_negative[~is_p].mean() < prior * as_negative[is_p].mean()
-        g_minus = np.where(is_p, -prior * s / n_p, s / n_u)
-        g = -ascent * g_minus if below else np.where(is_p, prior * (s - 1) / n_p, 0) + g_minus
+        _, _, g = risk(z, n_p, prior, ascent)
         grad = np.append(np.bincount(column, weights=g[owner], minlength=n), g.sum())
         drift, size = 0.9 * drift + 0.1 * grad, 0.99 * size + 0.01 * grad**2
         step = rate / np.sqrt(1 + t / 50) / (np.sqrt(size / (1 - 0.99**t)) + 1e-4)
@@ -107,7 +117,7 @@ def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", p_rows: int = P_ROWS, u_rows: int = U_ROWS, prior: float | None = None) -> LinearWords:
-    """Train from labelled positives and from documents without a label. prior: share of positives in the corpus; by
+    """Train from labelled positives and from documents of the corpus, labels unread. prior: share of positives in the corpus; by
     default that among the labelled training rows."""
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & ~held_out(F.col("i")))
     counts = known.agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.count("y").alias("n")).first()
@@ -116,9 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     order = F.xxhash64("i")
     p_ids = known.where("y = 1").select("i").distinct().orderBy(order, "i").limit(p_rows)
     rest = docs.select(F.col(id_col).alias("i")).where(F.col("i").isNotNull() & ~held_out(F.col("i"))).distinct()
-    u_ids = rest.join(labels.select(F.col(id_col).alias("i")), "i", "left_anti").orderBy(order, "i").limit(u_rows)
-    if u_ids.isEmpty():  # every document has a label: all of them, labels unread, stand for the corpus
-        u_ids = rest.orderBy(order, "i").limit(u_rows)
+    u_ids = rest.orderBy(order, "i").limit(u_rows)
     return train(_sample(docs, p_ids, id_col, text_col), _sample(docs, u_ids, id_col, text_col), prior)
 
 

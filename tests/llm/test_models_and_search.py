@@ -1,5 +1,6 @@
 """Learned scores, neighbour search and URL rules on small tables."""
 
+import re
 import zlib
 
 import numpy as np
@@ -56,6 +57,69 @@ def test_non_negative_risk_survives_a_small_sample():
     assert max(weights, key=weights.get) == 1 and model.bias < 0
 
 
+def brute_risk(z, n_p, prior):
+    """The parts of the risk, summed example by example."""
+    loss = lambda v, y: float(np.log1p(np.exp(-y * v)))
+    p, u = z[:n_p], z[n_p:]
+    plus = prior * sum(loss(v, 1) for v in p) / len(p)
+    return plus, sum(loss(v, -1) for v in u) / len(u) - prior * sum(loss(v, -1) for v in p) / len(p)
+
+
+def test_risk_and_its_gradient():
+    """The estimator and both kinds of steps against sums over examples and difference quotients."""
+    rng = np.random.default_rng(5)
+    signs = set()
+    for shift in (-3, 0, 3):
+        for prior in (0.1, 0.5, 0.9):
+            z = rng.normal(size=12)
+            z[:5] += shift
+            plus, minus, g = toxicity.risk(z, 5, prior, 0.3)
+            assert (plus, minus) == pytest.approx(brute_risk(z, 5, prior))
+            signs.add(minus < 0)
+            for k in range(len(z)):
+                h = np.zeros(len(z))
+                h[k] = 1e-5
+                up, down = brute_risk(z + h, 5, prior), brute_risk(z - h, 5, prior)
+                want = -0.3 * (up[1] - down[1]) / 2e-5 if minus < 0 else (sum(up) - sum(down)) / 2e-5
+                assert g[k] == pytest.approx(want, abs=1e-8)
+    assert signs == {True, False}
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Scores of the operator are those of the model's sums over distinct words and beginnings, text by text."""
+    docs, labels = corpus(spark, 300)
+    docs = docs.unionByName(spark.createDataFrame([(2000, "vileword " + "bal " * 50_000, None, "x"), (2001, "é 日本 vileword", None, "y")], docs.schema))
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.codes.tolist(), model.weights.tolist(), strict=True))
+    text = {(r["doc_id"], r["text"]): r["text"] for r in docs.collect()}
+    rows = docs.select("doc_id", "text").collect()
+    scores = toxicity.score_documents(docs, model).collect()
+    got, want = [], []
+    for r in rows:
+        words = set(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text[r["doc_id"], r["text"]] or "").encode().lower()))
+        z = model.bias + sum(weight.get(zlib.crc32(w), 0.0) for w in words) + sum(weight.get(zlib.crc32(w) ^ 0x5BD1E995, 0.0) for w in {w[:4] for w in words})
+        want.append((repr(r["doc_id"]), round(1 / (1 + np.exp(-min(30, max(-30, z)))), 9)))
+    got = [(repr(r["doc_id"]), round(r["score"], 9)) for r in scores]
+    assert sorted(got) == sorted(want)
+
+
+def test_all_documents_with_labels(spark):
+    """Labels on all documents but a few change no sample of unlabelled text."""
+    docs, labels = corpus(spark, 300)
+    more = labels.unionByName(docs.where("doc_id > 5").join(labels, "doc_id", "left_anti").selectExpr("doc_id", "1 as quality", "null as toxic"))
+    a, b = toxicity.fit(docs, labels, prior=0.1), toxicity.fit(docs, more, prior=0.1)
+    assert np.array_equal(a.codes, b.codes) and np.allclose(a.weights, b.weights)
+
+
+def test_empty_tables(spark):
+    docs, labels = corpus(spark, 60)
+    for fit, score in ((toxicity.fit, toxicity.score_documents), (quality.fit, quality.score_documents)):
+        for d, n in ((docs.limit(0), 0), (docs, docs.count())):
+            for y in (labels, labels.limit(0)):
+                assert score(d, fit(docs.limit(0), y)).count() == n and score(d, fit(docs, y)).count() == n
+    assert toxicity.drop_toxic(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
+
+
 def test_quality(spark):
     docs, labels = corpus(spark)
     model = quality.fit(docs, labels)
