@@ -4,13 +4,15 @@ A 64-bit word has a 4-bit selector on top and 60 bits of payload. Selector k < 1
 the payload holds; selector 15 is an escape, and the next word is one raw value of up to 64 bits. Blocks of 4,096 ids
 start at recorded word offsets and are coded and decoded many at a time.
 
-A token file: magic, words of all blocks, then the footer (word offset of each block, document ids, null flags,
-document lengths) and a trailer of fixed size. Documents are range-partitioned by id (and by a hash of the text, so
+A file numbers its ids by how often it has them, so that most numbers are small and many fit in a word; the table of ids
+by number stands in the footer. A token file: magic, words of all blocks, then the footer (word offset of each block,
+ids by number, document ids, null flags, document lengths) and a trailer of fixed size. Documents are range-partitioned by id (and by a hash of the text, so
 that a much repeated id still spreads), and sorted; file order is id order. Files are written under a temporary name
 and renamed; their content is a function of the partition, so a task that runs again writes the same file.
 
 Nulls: a null text is empty and yields the end id alone; a null id sorts first and is kept as null. Repeated rows are
-kept, those of one id ordered by the text's hash. Empty table: no files, no rows. Other columns are never read.
+kept, those of one id ordered by the text's hash. Very long texts are encoded and stored whole, in one file. Empty
+table: no files, no rows. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ COUNTS = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64])
 ESCAPE = 15
 BLOCK, PAD = 4096, 120
-MAGIC = b"S8BTOK01"
-FILE_IDS = 16_000_000
+MAGIC = b"S8BTOK02"
+#: Ids of a file, about: so many are held until their numbers are known (a single document may have more).
+FILE_IDS = 8_000_000
 _LIMITS = np.array([1 << b for b in BITS[:-1]], np.uint64)
 _small = np.searchsorted(_LIMITS, np.arange(1 << 17, dtype=np.uint64), side="right").astype(np.uint8)
 
@@ -150,19 +153,26 @@ class TokenFileWriter:
         self._temporary, self.path = f"{folder}/_{attempt}-{name}", f"{folder}/{name}"
         self._file = self._fs.open_output_stream(self._temporary)
         self._file.write(MAGIC)
-        self._rest, self._offsets, self._ids, self._lengths = np.zeros(0, np.uint32), [np.zeros(1, np.int64)], [], []
+        self._parts, self._offsets, self._ids, self._lengths = [], [np.zeros(1, np.int64)], [], []
         self.n_ids = self.n_docs = 0
 
     def add(self, doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> None:
         self._ids += doc_ids
         self._lengths.append(lengths)
+        self._parts.append(ids.astype(np.uint32))
         self.n_ids += len(ids)
         self.n_docs += len(doc_ids)
-        values = np.concatenate((self._rest, ids))
-        whole = len(values) // BLOCK * BLOCK
-        for i in range(0, whole, 256 * BLOCK):
-            self._put(values[i : min(whole, i + 256 * BLOCK)])
-        self._rest = values[whole:]
+
+    def _numbered(self) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+        """Ids by number, the most frequent first (ties: smaller ids), and the numbers of all ids in whole blocks."""
+        values = np.concatenate(self._parts) if self._parts else np.zeros(0, np.uint32)
+        self._parts = []
+        kinds, times = np.unique(values, return_counts=True)
+        order = np.lexsort((kinds, -times))
+        number = np.empty(len(kinds), np.uint32)
+        number[order] = np.arange(len(kinds), dtype=np.uint32)
+        pieces = (values[i : i + 256 * BLOCK] for i in range(0, len(values), 256 * BLOCK))
+        return kinds[order], (number[np.searchsorted(kinds, p)] for p in pieces)
 
     def _put(self, values: np.ndarray) -> None:
         words, offsets = encode(values)
@@ -170,12 +180,13 @@ class TokenFileWriter:
         self._offsets.append(offsets[1:] + self._offsets[-1][-1])
 
     def close(self) -> None:
-        if len(self._rest):
-            self._put(self._rest)
+        table, numbers = self._numbered()
+        for part in numbers:
+            self._put(part)
         offsets = np.concatenate(self._offsets)
         null = np.array([i is None for i in self._ids], np.uint8)
         ids = np.array([0 if i is None else i for i in self._ids], "<i8")
-        for part in (offsets.astype("<i8"), ids, null, np.concatenate(self._lengths).astype("<i8"), np.array([len(offsets), self.n_docs, self.n_ids], "<i8")):
+        for part in (offsets.astype("<i8"), table.astype("<u4"), ids, null, np.concatenate(self._lengths).astype("<i8"), np.array([len(offsets), len(table), self.n_docs, self.n_ids], "<i8")):
             self._file.write(part.tobytes())
         self._file.write(MAGIC)
         self._file.close()
@@ -186,14 +197,15 @@ def read_token_file(uri: str) -> Iterator[tuple[object, int, int, np.ndarray]]:
     """(document id, place of its first id in the file, number of ids, ids), with some 256 blocks in memory at a time."""
     store, path = _store(uri)
     with store.open_input_file(path) as f:
-        f.seek(f.size() - 32)
-        tail = f.read(32)
-        if tail[24:] != MAGIC:
+        f.seek(f.size() - 40)
+        tail = f.read(40)
+        if tail[32:] != MAGIC:
             raise ValueError(f"{uri} is not a token file")
-        n_offsets, n_docs, n_ids = np.frombuffer(tail[:24], "<i8")
-        at = f.size() - 32 - 8 * n_offsets - 17 * n_docs
+        n_offsets, n_table, n_docs, n_ids = np.frombuffer(tail[:32], "<i8")
+        at = f.size() - 40 - 8 * n_offsets - 4 * n_table - 17 * n_docs
         f.seek(at)
         offsets = np.frombuffer(f.read(8 * n_offsets), "<i8")
+        table = np.frombuffer(f.read(4 * n_table), "<u4")
         doc_ids = np.frombuffer(f.read(8 * n_docs), "<i8")
         null = np.frombuffer(f.read(n_docs), np.uint8)
         lengths = np.frombuffer(f.read(8 * n_docs), "<i8")
@@ -203,7 +215,7 @@ def read_token_file(uri: str) -> Iterator[tuple[object, int, int, np.ndarray]]:
             last = min(b + 256, n_offsets - 1)
             f.seek(len(MAGIC) + 8 * offsets[b])
             words = np.frombuffer(f.read(8 * (offsets[last] - offsets[b])), "<u8")
-            values = decode(words, offsets[b : last + 1] - offsets[b], min((last - b) * BLOCK, n_ids - b * BLOCK)).astype("<u4")
+            values = table[decode(words, offsets[b : last + 1] - offsets[b], min((last - b) * BLOCK, n_ids - b * BLOCK))]
             low = 0
             while doc < n_docs and ends[doc] <= done + len(values):
                 high = ends[doc] - done
