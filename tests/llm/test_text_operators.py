@@ -440,3 +440,57 @@ def test_span_limit(spark):
     left = {r["doc_id"]: len((r["text"] or "").split()) - 120 for r in decontaminate.decontaminate(docs, bench).collect()}
     assert left == {0: 9, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench, coverage_limit=0.1).collect()} == {0, 1, 5}
+
+
+def passages(seed=11):
+    """Texts with a passage in every one, whole copies, runs of one word, and passages that only some share."""
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(300)]
+    common, other = [rng.choice(words) for _ in range(70)], [rng.choice(words) for _ in range(200)]
+    out = []
+    for i in range(90):
+        t = [rng.choice(words) for _ in range(rng.randrange(0, 120))]
+        t[len(t) // 2 : len(t) // 2] = common[i % 7 :]
+        if i % 3 == 0:
+            a = rng.randrange(150)
+            t += other[a : a + 45] + ["same"] * (20 + i)
+        out.append(" ".join(t))
+    return [*out, out[5], out[6], None, ""]
+
+
+@pytest.mark.parametrize("chunk, ranges", [(4_000_000, 1024), (600, 1024), (600, 4)])
+def test_repeats_with_a_passage_in_every_document(spark, monkeypatch, chunk, ranges):
+    """Equal windows of many chunks meet range by range, then across ranges."""
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(substrings, "CHUNK_RANGE", ranges)
+    docs = passages()
+    want = brute_repeats(list(enumerate(docs)))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(make_docs(spark, docs).repartition(5)).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 5000
+
+
+def test_repeats_under_forced_collisions(spark, monkeypatch):
+    """Windows, and words, that differ but have equal hashes are told apart by their words."""
+    docs = passages()
+    want = brute_repeats(list(enumerate(docs)))
+    read = lambda: {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(make_docs(spark, docs).repartition(5)).collect()}
+    strong = []
+    changes = substrings._changes
+    monkeypatch.setattr(substrings, "_changes", lambda *a: strong.append(a[5]) or changes(*a))
+    assert read() == want and strong == [False]
+
+    def weak(codes, starts, window=20):
+        return codes[starts] % np.uint64(50), np.zeros(len(starts), np.uint64)
+
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "window_hashes", weak)
+        assert read() == want and strong == [False, False, True]
+
+    word_codes = substrings._word_codes
+
+    def few_codes(texts):
+        codes, mark, begin = word_codes(texts)
+        return codes % np.uint64(3), mark, begin
+
+    monkeypatch.setattr(substrings, "_word_codes", few_codes)
+    assert read() == want and strong[-1] is True
