@@ -1,9 +1,10 @@
 """Operator 5: toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic examples (P) and unlabelled text (U) train a linear model over the presence of words. The risk is
-prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)), so a model that fits the sample cannot push the negative part below
-zero; when it is below, the step goes up that part's gradient instead. A proximal step after each update keeps the
-weights sparse, so words without evidence have no say in long texts.
+prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)), so a model that fits the sample gains nothing from pushing the
+negative part below zero; when it is below, the step follows the positive part, and goes up the negative part's gradient
+a little. A proximal step after each update keeps the weights sparse, so words without evidence have no say in long
+texts; the model is the mean of the later half of the steps, which does not depend on where the last one fell.
 
 Training uses bounded samples (P_ROWS, U_ROWS, those with the least hashes), drawn by id; scoring reads every whole
 text. Unlabelled text is drawn from all documents outside the held-out fold, labels unread, as the risk estimator
@@ -32,6 +33,8 @@ from .work import bound_batches, held_out
 #: Bounds of the two training samples, in rows.
 P_ROWS, U_ROWS = 3_000, 6_000
 MIN_DOCS = 4
+#: How far steps go up the negative part of the risk where it is below zero.
+ASCENT = 0.03
 #: Bytes of a word's beginning.
 STEM = 4
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -64,19 +67,18 @@ class LinearWords:
 def risk(z: np.ndarray, n_p: int, prior: float, ascent: float) -> tuple[float, float, np.ndarray]:
     """Of outputs z, those of n_p positives first: the positive part of the risk (logistic loss), the negative part, which
     may be below zero, and what a step follows down: the gradient by z of their sum, or, where the negative part is
-    below zero, that of minus this part times ascent."""
+    below zero, of the positive part less the negative one times ascent."""
     s, is_p = 1 / (1 + np.exp(-z)), np.arange(len(z)) < n_p
     as_negative = np.logaddexp(0, z)
     plus = prior * np.logaddexp(0, -z[is_p]).mean()
     minus = as_negative[~is_p].mean() - prior * as_negative[is_p].mean()
     g_minus = np.where(is_p, -prior * s / n_p, s / (len(z) - n_p))
-    return plus, minus, -ascent * g_minus if minus < 0 else np.where(is_p, prior * (s - 1) / n_p, 0) + g_minus
+    return plus, minus, np.where(is_p, prior * (s - 1) / n_p, 0) + g_minus * (-ascent if minus < 0 else 1)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 0.005, ascent: float = 0.3) -> LinearWords:
-    """Fit by adaptive full-batch steps of falling length on the non-negative risk with the logistic loss. Where the
-    negative part is below zero, the step climbs it, shortened by `ascent`. l1 shrinks with the root of the number of
-    positives, as the sampling error of the gradient does."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 0.005, ascent: float = ASCENT) -> LinearWords:
+    """Fit by adaptive full-batch steps of falling length on the non-negative risk with the logistic loss (see risk()). l1
+    shrinks with the root of the number of positives, as the sampling error of the gradient does."""
     if not positive or not unlabelled:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return LinearWords(np.zeros(0, np.uint32), np.zeros(0), float(np.log(p / (1 - p))))
@@ -91,7 +93,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     l1 = l1 / np.sqrt(n_p)
     x = np.zeros(n + 1)
     x[n] = np.log(prior / (1 - prior))
-    drift, size = np.zeros(n + 1), np.zeros(n + 1)
+    drift, size, total = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
         z = np.clip(x[n] + np.bincount(owner, weights=x[column], minlength=len(rows)), -30, 30)
         _, _, g = risk(z, n_p, prior, ascent)
@@ -100,6 +102,9 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         step = rate / np.sqrt(1 + t / 50) / (np.sqrt(size / (1 - 0.99**t)) + 1e-4)
         x = x - step * drift / (1 - 0.9**t)
         x[:n] = np.sign(x[:n]) * np.maximum(np.abs(x[:n]) - step[:n] * l1, 0)
+        if 2 * t > rounds:
+            total += x
+    x = total / max(1, rounds - rounds // 2)
     keep = np.flatnonzero(x[:n])
     return LinearWords(codes[keep], x[keep], float(x[n]))
 

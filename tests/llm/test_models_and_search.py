@@ -80,7 +80,7 @@ def test_risk_and_its_gradient():
                 h = np.zeros(len(z))
                 h[k] = 1e-5
                 up, down = brute_risk(z + h, 5, prior), brute_risk(z - h, 5, prior)
-                want = -0.3 * (up[1] - down[1]) / 2e-5 if minus < 0 else (sum(up) - sum(down)) / 2e-5
+                want = (up[0] - down[0] - 0.3 * (up[1] - down[1])) / 2e-5 if minus < 0 else (sum(up) - sum(down)) / 2e-5
                 assert g[k] == pytest.approx(want, abs=1e-8)
     assert signs == {True, False}
 
@@ -231,5 +231,14 @@ def test_urls(spark):
     assert sorted((repr(r["page_id"]), r["verdict"], repr(r["rule"])) for r in got) == sorted((repr(p[0]), p[2], repr(p[3])) for p in pages)
     many = rules.unionByName(spark.range(3000).selectExpr("concat('h', id, '.org') as host", "'/' as path", "'block' as verdict"))
     assert {r["verdict"] for r in urls.judge_urls(spark.createDataFrame([(1, "http://a.h7.org/q")], "page_id long, url string"), many).collect()} == {"block"}
+    long = "x." * 20_000
+    odd = spark.createDataFrame([(1, f"http://{long}example.com/en/{'y/' * 20_000}"), (2, f"http://{long}org/")], "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in urls.judge_urls(odd, rules).collect()} == {1: "example.com/en/", 2: None}
+    small, urls.BROADCAST_BYTES, urls.BROADCAST_BLOCKS = (urls.BROADCAST_BYTES, urls.BROADCAST_BLOCKS), 0, 0
+    try:
+        again = urls.judge_urls(df, rules).collect()
+    finally:
+        urls.BROADCAST_BYTES, urls.BROADCAST_BLOCKS = small
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
     assert urls.judge_urls(df, rules.limit(0)).where("verdict <> 'allow' or rule is not null").count() == 0
     assert urls.judge_urls(df.limit(0), rules).count() == 0
