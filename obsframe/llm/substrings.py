@@ -432,7 +432,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     repeated = materialize(each.groupBy("name").count().where(F.col("count") > 1).select("name"), "repeated")
     free_shuffles(spark)
     chosen = materialize(each.join(repeated, "name").groupBy("k").agg(F.collect_set("name").alias("names")), "chosen")  # at most a text's words
-    drop(repeated)
+    facts = materialize(described.select("id", "th", "root", "n_words"), "facts")  # the same without anchors
+    del each
+    drop(repeated, described)
     free_shuffles(spark)
     buckets = max(4 * partitions(spark), -(-(firsts.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
     for strong in (False, True):
@@ -444,7 +446,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     else:
         raise RuntimeError("texts of equal SHA-256 differ")
     drop(chosen)
-    every = described.select("id", "th", "root", "n_words").join(firsts, "root").withColumn("copy", ~first & (F.col("n_words") >= window))
+    every = facts.join(firsts, "root").withColumn("copy", ~first & (F.col("n_words") >= window))
     out = every.join(changed.drop("p_rid", "p_rth", "p_at", "p_n", "p_sha"), ["id", "th"], "left")
     empty = hashlib.sha256(b"").hexdigest()
     columns = [
