@@ -5,8 +5,8 @@ distinct length and task. Suffix sums over lengths then answer totals, quantiles
 context limit without another look at the documents. They are made in two levels (sums of ranges of lengths, then
 within a range), so no task sorts all lengths.
 
-Nulls: a null text has length 0. Empty table: empty histogram. Repeated rows count as often as they occur. Other
-columns are never read.
+Nulls: a null text has length 0, as an empty one. Very long texts are encoded whole. Empty table: empty histogram.
+Repeated rows count as often as they occur; documents of one length are one row. Other columns are never read.
 """
 
 from __future__ import annotations

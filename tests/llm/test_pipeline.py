@@ -65,6 +65,33 @@ def test_stages(spark, folder):
     assert sorted(map(tuple, corpus_pipeline.run(spark, path).collect())) == sorted(map(tuple, seen["token_ids"]))
 
 
+def test_empty_tables(spark, folder, tmp_path):
+    path, *_ = folder
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts_and_bare_tables(spark, folder, tmp_path):
+    """Texts of a million words, of one word without an end, of one word repeated; labels and items that are empty."""
+    path, *_ = folder
+    rng = np.random.default_rng(9)
+    words = np.array([f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "lmnrst"])
+    docs = [(1, " ".join(rng.choice(words, 400_000)), "en", "s0", 1), (2, "x" * 1_000_000, "en", "s0", 1), (3, "same " * 300_000, "en", "s0", 1), (4, "a plain text", None, None, None)]
+    docs += [(5, docs[0][1] + " end", "en", "s0", 1), (None, "no id", "en", "s0", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet").select(corpus_pipeline.COLUMNS)
+    left = []
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), now.schema)
+        left.append(sorted((r["doc_id"] or 0, len(r["text"])) for r in now.collect()))
+    sizes = sorted((d[0] or 0, len(d[1])) for d in docs)
+    assert left[0] == sizes and left[1] == left[2] == [s for s in sizes if s[0] != 5]
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 1, 2, 3, 4}
+
+
 def test_entry_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for name in ("__spark_entry__.py",):

@@ -282,6 +282,22 @@ def test_keep_one(spark, texts):
     assert got == [*range(21), 23, None, None]
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """An id with several texts joins their groups; rows without an id have a fingerprint and no component."""
+    rng = random.Random(21)
+    a, b, c = (" ".join(rng.choice("abcdefghijklmnop") * 3 + str(rng.randrange(500)) for _ in range(80)) for _ in range(3))
+    docs = make_docs(spark, [a, a + " end", b, c, c, b, None, None, ""], [5, 6, 6, 7, 8, None, 9, None, 10])
+    for settings in ({"similarity": 0.8, "words": 5, "lanes": 8}, {"similarity": 0.8, "words": 5, "lanes": 8, "id_col": "doc_id"}):
+        got = simhash.near_duplicates(docs, **settings).collect()
+        assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (5, 5), (6, 5), (6, 5), (7, 7), (8, 7), (9, 9), (10, 9)]
+    got = simhash.near_duplicates(docs, radius=0).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got if r["doc_id"] in (7, 8, 9, 10, None)) == [(0, 0), (0, 0), (7, 7), (8, 7), (9, 9), (10, 9)]
+    assert [r["component_id"] for r in got if r["doc_id"] == 6] == [6, 6]
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 5, 7, 9]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def brute_repeats(rows, window=20):
     first, out = {}, {}
     split = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
