@@ -9,13 +9,14 @@ import math
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plans
 from .functions import complexes as C
 from .functions import packed as P
-from .operators import calculus, fit, linear, observables, signal, statistics
+from .operators import arrays, calculus, fit, linear, observables, signal, statistics
 from .operators.order import running_sum
 from .sources import text
 from .streaming.moments import windowed_moments
@@ -180,7 +181,7 @@ matrix_query("L02_dot_long", f"SELECT {_R.format('a.v * b.v')} FROM x a JOIN x b
 matrix_query("L04_contraction", f"SELECT {_R.format('a.v * b.v')} FROM m a JOIN m b ON a.i = b.j AND a.j = b.i", lambda m, x: linear.contract(m, linear.transpose(m), ["i", "j"]), 7)
 matrix_query("L05_scale", "SELECT i, j, round(v * 2.5, 5) + 0.0 AS v FROM m", lambda m, x: linear.product(m, 2.5), 5)
 matrix_query("L06_L07_matmul", "SELECT a.i, b.j, round(sum(a.v * b.v), 7) + 0.0 AS v FROM m a JOIN m b ON a.j = b.i GROUP BY ALL", lambda m, x: linear.product(m, m), 7)
-matrix_query("L06_block_product", "SELECT a.i // 5 AS bi, b.j // 5 AS bj, a.i % 5 AS i, b.j % 5 AS j, round(sum(a.v * b.v), 7) + 0.0 AS v FROM m a JOIN m b ON a.j = b.i GROUP BY ALL", lambda m, x: (lambda b: linear.block_product(b, b))(m.selectExpr("i div 5 as bi", "j div 5 as bj", "i % 5 as i", "j % 5 as j", "v")), 7)
+matrix_query("L06_block_product", "SELECT a.i // 5 AS bi, b.j // 5 AS bj, a.i % 5 AS i, b.j % 5 AS j, round(sum(a.v * b.v), 7) + 0.0 AS v FROM m a JOIN m b ON a.j = b.i GROUP BY ALL", lambda m, x: (lambda b: linear.block_product(b, b))(arrays.blockify(m, {"i": 5, "j": 5})), 7)
 matrix_query("L08_matvec", f"SELECT m.i, {_R.format('m.v * x.v')} FROM m JOIN x ON m.j = x.i GROUP BY ALL", lambda m, x: linear.product(m, x), 7)
 matrix_query("L09_add_scalar", "SELECT i, j, round(sum(v), 4) + 0.0 AS v FROM (SELECT * FROM m UNION ALL SELECT i, i, 1.5 FROM range(25) t(i)) GROUP BY ALL", lambda m, x: linear.add_scalar(m, 1.5, 25))
 matrix_query("L10_adjoint", "SELECT j AS i, i AS j, round(v, 4) + 0.0 AS re, round(-v * (i - j), 4) + 0.0 AS im FROM m", lambda m, x: linear.adj(m.select("i", "j", F.col("v").alias("re"), (F.col("v") * (F.col("i") - F.col("j"))).alias("im"))))
@@ -191,15 +192,40 @@ matrix_query("G16_trace", "SELECT round(sum(v), 4) + 0.0 AS v FROM m WHERE i = j
 matrix_query("G18_frobenius", "SELECT round(sqrt(sum(v * v)), 4) + 0.0 AS v FROM m", lambda m, x: linear.frobenius(m))
 matrix_query("G19_norm", "SELECT round(sqrt(sum(v * v)), 4) + 0.0 AS v FROM x", lambda m, x: linear.norm(x))
 matrix_query("G20_square_norm", "SELECT round(sum(v * v), 7) + 0.0 AS v FROM x", lambda m, x: linear.square_norm(x), 7)
-matrix_query("X08_sub_array_long", "SELECT j, round(v, 4) + 0.0 AS v FROM m WHERE i = 7", lambda m, x: m.where("i = 7").select("j", "v"))
+matrix_query("X08_sub_array_long", "SELECT j, round(v, 4) + 0.0 AS v FROM m WHERE i = 7", lambda m, x: arrays.sub_array(m, "i", 7))
+#: The same matrix with an imaginary part, and the vector with one.
+_COMPLEX = ", c AS (SELECT i, j, v AS re, round(v * (i - j), 3) AS im FROM m), y AS (SELECT i, v AS re, round(-v * i, 3) AS im FROM x)"
+
+
+def complex_query(name: str, sql: str, f: Callable[[DataFrame, DataFrame], DataFrame], digits: int = 4) -> None:
+    def both(m, x):
+        im = lambda df, v: df.select(*[c for c in df.columns if c != "v"], F.col("v").alias("re"), F.round(v, 3).alias("im"))
+        return f(im(m, F.col("v") * (F.col("i") - F.col("j"))), im(x, -F.col("v") * F.col("i")))
+
+    matrix_query(name, _COMPLEX + " " + sql, both, digits)
+
+
+#: Rounded sums of the products of two complex factors a and b.
+_RE_IM = "round(sum(a.re * b.re - a.im * b.im), 7) + 0.0 AS re, round(sum(a.re * b.im + a.im * b.re), 7) + 0.0 AS im"
+
+
+complex_query("L05_scale_complex", "SELECT i, j, round(2.5 * re + 0.5 * im, 5) + 0.0 AS re, round(2.5 * im - 0.5 * re, 5) + 0.0 AS im FROM c", lambda m, x: linear.product(m, 2.5 - 0.5j), 5)
+complex_query("L06_matmul_complex", f"SELECT a.i, b.j, {_RE_IM} FROM c a JOIN c b ON a.j = b.i GROUP BY ALL", lambda m, x: linear.product(m, m), 7)
+complex_query("L08_matvec_complex", f"SELECT a.i, {_RE_IM} FROM c a JOIN y b ON a.j = b.i GROUP BY ALL", lambda m, x: linear.product(m, x), 7)
+complex_query("L09_add_scalar_complex", "SELECT i, j, round(sum(re), 4) + 0.0 AS re, round(sum(im), 4) + 0.0 AS im FROM (SELECT * FROM c UNION ALL SELECT i, i, 1.5, -2.0 FROM range(25) t(i)) GROUP BY ALL", lambda m, x: linear.add_scalar(m, 1.5 - 2j, 25))
+complex_query("L11_matrix_power_complex", "SELECT i, j, round(sum(are * bre - aim * bim) / 1e6, 4) + 0.0 AS re, round(sum(are * bim + aim * bre) / 1e6, 4) + 0.0 AS im FROM (SELECT p.i, b.j, p.re AS are, p.im AS aim, b.re AS bre, b.im AS bim FROM (SELECT a.i, b.j, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM c a JOIN c b ON a.j = b.i GROUP BY ALL) p JOIN c b ON p.j = b.i) GROUP BY ALL", lambda m, x: linear.scale(linear.matrix_power(m, 3, 25), 1e-6))
+complex_query("L02_dot_complex", "SELECT round(sum(re * re + im * im), 7) + 0.0 AS re, 0.0::DOUBLE AS im FROM y", lambda m, x: linear.product(x, x), 7)
+complex_query("G16_trace_complex", "SELECT round(sum(re), 4) + 0.0 AS re, round(sum(im), 4) + 0.0 AS im FROM c WHERE i = j", lambda m, x: linear.trace(m))
+complex_query("G18_G19_norms_complex", "SELECT round((SELECT sqrt(sum(re * re + im * im)) FROM c), 4) + 0.0 AS v UNION ALL SELECT round((SELECT sqrt(sum(re * re + im * im)) FROM y), 4) + 0.0", lambda m, x: linear.frobenius(m).unionByName(linear.norm(x)))
+complex_query("G20_square_norm_complex", "SELECT round(sum(re * re + im * im), 7) + 0.0 AS v FROM y", lambda m, x: linear.square_norm(x), 7)
+complex_query("L12_determinants_complex", ", d AS (SELECT i // 2 AS k, coalesce(max(re) FILTER (i % 2 = 0 AND j % 2 = 0), 0) AS pr, coalesce(max(im) FILTER (i % 2 = 0 AND j % 2 = 0), 0) AS pi, coalesce(max(re) FILTER (i % 2 = 0 AND j % 2 = 1), 0) AS qr, coalesce(max(im) FILTER (i % 2 = 0 AND j % 2 = 1), 0) AS qi, coalesce(max(re) FILTER (i % 2 = 1 AND j % 2 = 0), 0) AS sr, coalesce(max(im) FILTER (i % 2 = 1 AND j % 2 = 0), 0) AS si, coalesce(max(re) FILTER (i % 2 = 1 AND j % 2 = 1), 0) AS tr, coalesce(max(im) FILTER (i % 2 = 1 AND j % 2 = 1), 0) AS ti FROM c WHERE i // 2 = j // 2 AND i < 24 GROUP BY ALL) SELECT k, round(pr * tr - pi * ti - qr * sr + qi * si, 4) + 0.0 AS re, round(pr * ti + pi * tr - qr * si - qi * sr, 4) + 0.0 AS im FROM d", lambda m, x: linear.determinants(arrays.blockify(m, {"i": 2, "j": 2}).where("bi = bj and bi < 12").withColumnRenamed("bi", "k"), ["k"], 2))
 matrix_query("G06_sd_dimension", "SELECT i, round(stddev_pop(v), 4) + 0.0 AS sd FROM m GROUP BY i", lambda m, x: statistics.deviation(m, "v", ["i"]))
 matrix_query("G11_extremes_long", "SELECT round(max(v), 4) + 0.0 AS maximum, first(i ORDER BY v DESC, i, j) AS max_i, first(j ORDER BY v DESC, i, j) AS max_j, round(min(v), 4) + 0.0 AS minimum, first(i ORDER BY v, i, j) AS min_i, first(j ORDER BY v, i, j) AS min_j FROM m", lambda m, x: statistics.extremes(m, ["i", "j"], "v"))
 
 
 @query("L06_gram", "WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(sum(a.v * b.v), 4) + 0.0 AS v FROM e a JOIN e b USING (vec_id) GROUP BY ALL")
 def _gram(spark, sf_dir):
-    cells = plans.to_long(embeddings(spark, sf_dir), "v").select(F.col("vec_id").alias("i"), F.col("i0").alias("j"), "v")
-    return rounded(linear.matrix_product(linear.transpose(cells), cells))
+    return rounded(linear.gram(embeddings(spark, sf_dir), "v"))
 
 
 @query("L12_determinants", "WITH x AS (SELECT l_suppkey, l_linenumber % 2 AS i, l_partkey % 2 AS j, round(avg(l_quantity), 2) AS v FROM lineitem GROUP BY ALL), p AS (SELECT l_suppkey, coalesce(max(v) FILTER (i = 0 AND j = 0), 0) AS a, coalesce(max(v) FILTER (i = 0 AND j = 1), 0) AS b, coalesce(max(v) FILTER (i = 1 AND j = 0), 0) AS c, coalesce(max(v) FILTER (i = 1 AND j = 1), 0) AS d FROM x GROUP BY l_suppkey) SELECT l_suppkey, round(a * d - b * c, 4) + 0.0 AS det FROM p")
@@ -292,18 +318,25 @@ cube_query("R03_jackknife_error", f", {_JACK} SELECT observable, idx, round(sqrt
 cube_query("S21_cube", "SELECT step, observable, idx, round(s, 6) + 0.0 AS s, round(q, 6) + 0.0 AS q, c FROM x")(lambda cells: cells)
 cube_query("G08_mean_interval", "SELECT observable, idx, round(sum(s) / sum(c), 6) + 0.0 AS mean FROM x WHERE step BETWEEN 10 AND 30 GROUP BY ALL")(lambda cells: observables.summary(cells, 10, 30).select("observable", "idx", "mean"))
 cube_query("R02_jackknife_means", f", {_JACK} SELECT step, observable, idx, round(theta, 6) + 0.0 AS theta, round(mean, 6) + 0.0 AS mean, n FROM j")(observables.jackknife_means)
-cube_query("R01_binning", "SELECT ((step + 1) * 7 - 1) // 80 AS step, observable, idx, round(sum(s) / sum(c), 6) + 0.0 AS s, round((sum(s) / sum(c)) ** 2, 6) + 0.0 AS q, 1.0::DOUBLE AS c FROM x GROUP BY ALL")(lambda cells: observables.binning(cells, 7, 80))
+cube_query("R01_binning", "SELECT ((step + 1) * 7 - 1) // (SELECT max(step) + 1 FROM x) AS step, observable, idx, round(sum(s) / sum(c), 6) + 0.0 AS s, round((sum(s) / sum(c)) ** 2, 6) + 0.0 AS q, 1.0::DOUBLE AS c FROM x GROUP BY ALL")(lambda cells: observables.binning(cells, 7))
 _P = observables.PRIME
-_BOOT = f", h0 AS (SELECT r, d, (r * 1000003 + d * 10007 + 17) % {_P} AS h FROM range(40) a(r), range(80) b(d))"
+_STEPS = "(SELECT max(step) + 1 FROM x)"
+_BOOT = f", h0 AS (SELECT r, d, (r * 1000003 + d * 10007 + 17) % {_P} AS h FROM range(40) a(r), (SELECT unnest(range({_STEPS})) AS d) b)"
 for _k, _c in enumerate((11, 23, 37)):
     _BOOT += f", h{_k + 1} AS (SELECT r, d, (h * h % {_P} + h * 48271 + {_c}) % {_P} AS h FROM h{_k})"
 _BOOT += (
-    ", plan AS (SELECT r AS sample, d AS draw, CASE WHEN r = 0 THEN d ELSE h % 80 END AS step FROM h3), th AS (SELECT sample, observable, idx, sum(s) / sum(c) AS theta FROM plan JOIN x USING (step) GROUP BY ALL)"
+    f", plan AS (SELECT r AS sample, d AS draw, CASE WHEN r = 0 THEN d ELSE h % {_STEPS} END AS step FROM h3), th AS (SELECT sample, observable, idx, sum(s) / sum(c) AS theta FROM plan JOIN x USING (step) GROUP BY ALL)"
 )
-cube_query("R04_bootstrap", _BOOT.split(", th AS")[0] + " SELECT sample::INTEGER AS sample, draw::INTEGER AS draw, step::INTEGER AS step, observable, idx, round(s, 6) + 0.0 AS s, round(q, 6) + 0.0 AS q, c FROM plan JOIN x USING (step)")(lambda cells: observables.bootstrap(cells, 40, 80, 80).select("sample", "draw", "step", "observable", "idx", "s", "q", "c"))
-cube_query("R05_sample_means", _BOOT + " SELECT sample::INTEGER AS sample, observable, idx, round(theta, 6) + 0.0 AS theta FROM th")(lambda cells: observables.sample_means(observables.bootstrap(cells, 40, 80, 80)))
-cube_query("R06_bootstrap_error", _BOOT + " SELECT observable, idx, round(stddev_samp(theta), 6) + 0.0 AS error FROM th GROUP BY ALL")(lambda cells: observables.sample_error(observables.sample_means(observables.bootstrap(cells, 40, 80, 80))))
-cube_query("R06_error_about_mean", _BOOT + ", m AS (SELECT observable, idx, sum(s) / sum(c) AS mean FROM x GROUP BY ALL) SELECT observable, idx, round(sqrt(sum((theta - mean) ** 2) / (count(*) - 1)), 6) + 0.0 AS error FROM th JOIN m USING (observable, idx) GROUP BY ALL")(lambda cells: observables.sample_error(observables.sample_means(observables.bootstrap(cells, 40, 80, 80)), observables.summary(cells)))
+def drawn(cells: DataFrame) -> DataFrame:
+    """40 samples of as many steps as there are."""
+    steps = (cells.agg(F.max("step")).first()[0] or 0) + 1
+    return observables.bootstrap(cells, 40, steps, steps)
+
+
+cube_query("R04_bootstrap", _BOOT.split(", th AS")[0] + " SELECT sample::INTEGER AS sample, draw::INTEGER AS draw, step::INTEGER AS step, observable, idx, round(s, 6) + 0.0 AS s, round(q, 6) + 0.0 AS q, c FROM plan JOIN x USING (step)")(lambda cells: drawn(cells).select("sample", "draw", "step", "observable", "idx", "s", "q", "c"))
+cube_query("R05_sample_means", _BOOT + " SELECT sample::INTEGER AS sample, observable, idx, round(theta, 6) + 0.0 AS theta FROM th")(lambda cells: observables.sample_means(drawn(cells)))
+cube_query("R06_bootstrap_error", _BOOT + " SELECT observable, idx, round(stddev_samp(theta), 6) + 0.0 AS error FROM th GROUP BY ALL")(lambda cells: observables.sample_error(observables.sample_means(drawn(cells))))
+cube_query("R06_error_about_mean", _BOOT + ", m AS (SELECT observable, idx, sum(s) / sum(c) AS mean FROM x GROUP BY ALL) SELECT observable, idx, round(sqrt(sum((theta - mean) ** 2) / (count(*) - 1)), 6) + 0.0 AS error FROM th JOIN m USING (observable, idx) GROUP BY ALL")(lambda cells: observables.sample_error(observables.sample_means(drawn(cells)), observables.summary(cells)))
 
 
 @query("S21_empty_cube", "SELECT a::INTEGER AS step, b::INTEGER AS observable, i::INTEGER AS idx, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q, 0.0::DOUBLE AS c FROM range(20) x(a), range(3) y(b), range(2) z(i)")
@@ -311,7 +344,7 @@ def _empty_cube(spark, sf_dir):
     return observables.empty_cube(spark, 20, 3, 2)
 
 
-@query("S20_uniform_moments", "WITH u AS (SELECT event_id // 10 AS step, event_id % 3 AS observable, ((event_id * 7919 + 104729) % 10007) / 10007.0::DOUBLE AS v FROM events), x AS (SELECT step, observable, sum(v) AS s, sum(v * v) AS q, count(*) AS c FROM u GROUP BY ALL) SELECT observable, 0 AS idx, round(sum(s) / sum(c), 6) + 0.0 AS mean, round(sqrt((sum(q) - sum(s) ** 2 / sum(c)) / (sum(c) - 1)), 6) + 0.0 AS sd, count(*) AS steps FROM x GROUP BY ALL")
+@query("G09_uniform_moments", "WITH u AS (SELECT event_id // 10 AS step, event_id % 3 AS observable, ((event_id * 7919 + 104729) % 10007) / 10007.0::DOUBLE AS v FROM events), x AS (SELECT step, observable, sum(v) AS s, sum(v * v) AS q, count(*) AS c FROM u GROUP BY ALL) SELECT observable, 0 AS idx, round(sum(s) / sum(c), 6) + 0.0 AS mean, round(sqrt((sum(q) - sum(s) ** 2 / sum(c)) / (sum(c) - 1)), 6) + 0.0 AS sd, count(*) AS steps FROM x GROUP BY ALL")
 def _uniform(spark, sf_dir):
     v = ((F.col("event_id") * 7919 + 104729) % 10007) / 10007.0
     return rounded(observables.summary(observables.cube(table(spark, sf_dir, "events"), F.floor(F.col("event_id") / 10), F.col("event_id") % 3, v)), 6)
@@ -325,39 +358,64 @@ def _windows(spark, sf_dir):
 
 # Series: events an hour from the first of the month, and revenue a day.
 
-HOURS = 720
-SERIES = f"(SELECT h AS i, coalesce(n, 0)::DOUBLE AS v FROM range({HOURS}) t(h) LEFT JOIN (SELECT date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) AS k, count(*) AS n FROM events GROUP BY 1) ON k = h)"
+#: From the first hour that has an event to the last one; n: how many.
+SERIES = (
+    "e AS (SELECT date_diff('hour', TIMESTAMP '1970-01-01', date_trunc('hour', ts)) AS k, count(*) AS n FROM events GROUP BY 1), g AS (SELECT min(k) AS low, max(k) - min(k) + 1 AS n FROM e), "
+    "x AS (SELECT h AS i, coalesce(e.n, 0)::DOUBLE AS v FROM (SELECT unnest(range((SELECT n FROM g))) AS h) t LEFT JOIN e ON e.k = h + (SELECT low FROM g)), ps AS (SELECT i AS p FROM x)"
+)
+N = "(SELECT n FROM g)"
 
 
-def series(spark, sf_dir):
-    hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 3600)
-    counts = table(spark, sf_dir, "events").groupBy(hour.alias("i")).agg(F.count("*").cast("double").alias("n"))
-    return spark.range(HOURS).select(F.col("id").alias("i")).join(counts, "i", "left").select("i", F.coalesce("n", F.lit(0.0)).alias("v"))
+def series(spark, sf_dir) -> tuple[DataFrame, int]:
+    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
+    counts = table(spark, sf_dir, "events").groupBy(hour.alias("k")).agg(F.count("*").cast("double").alias("n"))
+    facts = counts.agg(F.min("k").alias("low"), F.max("k").alias("high")).first()
+    low, n = (0, 0) if facts["low"] is None else (facts["low"], facts["high"] - facts["low"] + 1)
+    counts = counts.select((F.col("k") - low).alias("i"), "n")
+    return spark.range(n).select(F.col("id").alias("i")).join(counts, "i", "left").select("i", F.coalesce("n", F.lit(0.0)).alias("v")), n
 
 
 def series_query(name: str, sql: str, digits: int = 4):
     def register(f):
-        return query(name, f"WITH x AS {SERIES} {sql}")(lambda spark, sf_dir: rounded(f(series(spark, sf_dir)), digits))
+        return query(name, f"WITH {SERIES} {sql}")(lambda spark, sf_dir: rounded(f(*series(spark, sf_dir)), digits))
 
     return register
 
 
 _AC = "p AS (SELECT b.i - a.i AS t, a.v * b.v AS p FROM x a JOIN x b ON b.i BETWEEN a.i AND a.i + 48), z AS (SELECT avg(v * v) AS z FROM x)"
-series_query("F01_F02_autocorrelation", f", {_AC} SELECT t::INTEGER AS t, round(avg(p) / max(z), 6) + 0.0 AS ac, round(stddev_pop(p) / sqrt(count(*)) / max(z), 6) + 0.0 AS sd FROM p, z GROUP BY t", 6)(lambda x: signal.autocorrelation(x, 48, HOURS))
-series_query("F01_autocorrelation_periodic", f"SELECT t::INTEGER AS t, round(avg(a.v * b.v), 6) + 0.0 AS ac FROM x a CROSS JOIN range(49) g(t) JOIN x b ON b.i = (a.i + t) % {HOURS} GROUP BY t", 6)(lambda x: signal.autocorrelation(x, 48, HOURS, periodic=True, normalise=False).select("t", "ac"))
+series_query("F01_F02_autocorrelation", f", {_AC} SELECT t::INTEGER AS t, round(avg(p) / max(z), 6) + 0.0 AS ac, round(stddev_pop(p) / sqrt(count(*)) / max(z), 6) + 0.0 AS sd FROM p, z GROUP BY t", 6)(lambda x, n: signal.autocorrelation(x, 48))
+series_query("F01_autocorrelation_keys", ", d AS (SELECT i // 24 AS day, i % 24 AS i, v FROM x), z AS (SELECT day, avg(v * v) AS z FROM d GROUP BY day) SELECT a.day, (b.i - a.i)::INTEGER AS t, round(avg(a.v * b.v) / max(z), 6) + 0.0 AS ac FROM d a JOIN d b ON b.day = a.day AND b.i BETWEEN a.i AND a.i + 5 JOIN z ON z.day = a.day GROUP BY a.day, t", 6)(lambda x, n: signal.autocorrelation(days(x), 5, keys=["day"]).select("day", "t", "ac"))
+series_query("F01_autocorrelation_periodic", f"SELECT t::INTEGER AS t, round(avg(a.v * b.v), 6) + 0.0 AS ac FROM x a CROSS JOIN range(49) g(t) JOIN x b ON b.i = (a.i + t) % {N} GROUP BY t", 6)(lambda x, n: signal.autocorrelation(x, 48, n, periodic=True, normalise=False).select("t", "ac"))
 _DFT = "round(sum(v * cos(w)), 4) + 0.0 AS re, round(-sum(v * sin(w)), 4) + 0.0 AS im"
-series_query("F03_momentum", f"SELECT round(sum(v * cos(w)), 4) + 0.0 AS re, round(-sum(v * sin(w)), 4) + 0.0 AS im FROM (SELECT v, 2 * pi() * i * 2.5 / {HOURS} AS w FROM x)")(lambda x: signal.momentum(x, 2.5, HOURS))
-series_query("F04_dft", f"SELECT p::INTEGER AS p, {_DFT} FROM (SELECT p, v, 2 * pi() * ((i * p) % {HOURS}) / {HOURS} AS w FROM x, range({HOURS}) g(p)) GROUP BY p")(lambda x: signal.transform(x, HOURS))
-series_query("F04_dft_scaled", f"SELECT p::INTEGER AS p, {_DFT} FROM (SELECT p, v, 2 * pi() * ((i * p * 2) % {HOURS}) / {HOURS} AS w FROM x, range({HOURS // 2}) g(p)) GROUP BY p")(lambda x: signal.transform(x, HOURS, scale=2))
-series_query("F05_fft", f"SELECT p::INTEGER AS p, {_DFT} FROM (SELECT p, v, 2 * pi() * ((i * p) % 512) / 512 AS w FROM x, range(512) g(p) WHERE i < 512) GROUP BY p")(lambda x: signal.fft(x.where("i < 512").withColumn("k", F.lit(0)), ["k"]).drop("k"))
-series_query("F05_two_stage_fft", f"SELECT p::INTEGER AS p, {_DFT} FROM (SELECT p, v, 2 * pi() * ((i * p) % {HOURS}) / {HOURS} AS w FROM x, range({HOURS}) g(p)) GROUP BY p")(lambda x: signal.two_stage_fft(x, HOURS))
-series_query("F06_power_of_two", "SELECT i, i > 0 AND (i & (i - 1)) = 0 AS two FROM x")(lambda x: x.select("i", signal.is_power_of_two(F.col("i")).alias("two")))
-series_query("F07_inverse", f", s AS (SELECT p, sum(v * cos(w)) AS re, -sum(v * sin(w)) AS im FROM (SELECT p, v, 2 * pi() * ((i * p) % {HOURS}) / {HOURS} AS w FROM x, range({HOURS}) g(p)) GROUP BY p) SELECT round(sum(re * cos(2 * pi() * p * 5.0 / {HOURS}) - im * sin(2 * pi() * p * 5.0 / {HOURS})) / {HOURS}, 4) + 0.0 AS re FROM s")(lambda x: signal.inverse(signal.transform(x, HOURS), 5.0, HOURS).select("re"))
-series_query("C01_forward_difference", "SELECT a.i, a.v, round((b.v - a.v) / 0.5, 4) + 0.0 AS d FROM x a LEFT JOIN x b ON b.i = a.i + 1")(lambda x: calculus.forward_difference(x, 0.5))
-series_query("C02_central_difference", "SELECT a.i, a.v, round((b.v - c.v) / 1.0, 4) + 0.0 AS d FROM x a LEFT JOIN x b ON b.i = a.i + 1 LEFT JOIN x c ON c.i = a.i - 1")(lambda x: calculus.central_difference(x, 0.5))
-series_query("C03_C04_series_integral", f"SELECT 'trapezium' AS rule, round(sum(CASE WHEN i IN (0, {HOURS - 2}) THEN 0.5 ELSE 1 END * v) * 0.25, 4) + 0.0 AS integral FROM x WHERE i <= {HOURS - 2} UNION ALL SELECT 'simpson', round(sum(CASE WHEN i IN (0, {HOURS - 2}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * v) * 0.25 / 3, 4) + 0.0 FROM x WHERE i <= {HOURS - 2}")(lambda x: calculus.integrate_series(x, 0.25, HOURS - 2).select(F.lit("trapezium").alias("rule"), "integral").unionByName(calculus.integrate_series(x, 0.25, HOURS - 2, "simpson").select(F.lit("simpson").alias("rule"), "integral")))
-series_query("X10_rotate_long", f"SELECT (i - 10 + {HOURS}) % {HOURS} AS i, v FROM x")(lambda x: x.select(F.pmod(F.col("i") - 10, F.lit(HOURS)).alias("i"), "v"))
-series_query("X11_X12_blockify_long", "SELECT i // 24 AS block, i % 24 AS j, (i // 24) * 24 + i % 24 AS i, v FROM x")(lambda x: x.selectExpr("i div 24 as block", "i % 24 as j", "v").withColumn("i", F.col("block") * 24 + F.col("j")))
+_WHOLE = f"SELECT p::INTEGER AS p, {_DFT} FROM (SELECT p, v, 2 * pi() * ((i * p) % {N}) / {N} AS w FROM x, ps) GROUP BY p"
+_DAILY = f"SELECT i // 24 AS day, p::INTEGER AS p, {_DFT} FROM (SELECT i, p, v, 2 * pi() * (((i % 24) * p) % 24) / 24 AS w FROM x, range(24) h(p)) GROUP BY day, p"
+
+
+def days(x: DataFrame) -> DataFrame:
+    return arrays.blockify(x, {"i": 24}).withColumnRenamed("bi", "day")
+
+
+series_query("F03_momentum", f"SELECT round(sum(v * cos(w)), 4) + 0.0 AS re, round(-sum(v * sin(w)), 4) + 0.0 AS im FROM (SELECT v, 2 * pi() * i * 2.5 / {N} AS w FROM x)")(lambda x, n: signal.momentum(x, 2.5, n))
+series_query("F03_momentum_keys", "SELECT i // 24 AS day, round(sum(v * cos(w)), 4) + 0.0 AS re, round(-sum(v * sin(w)), 4) + 0.0 AS im FROM (SELECT i, v, 2 * pi() * (i % 24) * 1.5 / 24 AS w FROM x) GROUP BY day")(lambda x, n: signal.momentum(days(x), 1.5, 24, keys=["day"]))
+series_query("F04_dft", _WHOLE)(lambda x, n: signal.transform(x, n))
+series_query("F04_dft_keys", _DAILY)(lambda x, n: signal.transform(days(x), 24, keys=["day"]))
+series_query("F04_dft_scaled", f"SELECT p::INTEGER AS p, {_DFT} FROM (SELECT p, v, 2 * pi() * ((i * p * 2) % {N}) / {N} AS w FROM x, ps WHERE p < ceil({N} / 2.0)) GROUP BY p")(lambda x, n: signal.transform(x, n, scale=2))
+series_query("F05_fft", _WHOLE)(lambda x, n: signal.fft(x.withColumn("k", F.lit(0)), ["k"]).drop("k"))
+series_query("F05_fft_keys", _DAILY)(lambda x, n: signal.fft(days(x), ["day"]))
+series_query("F05_two_stage_fft", _WHOLE)(lambda x, n: signal.two_stage_fft(x, n))
+series_query("F05_chirp_fft", _WHOLE)(lambda x, n: signal.chirp_fft(x, n))
+series_query("F06_power_of_two", "SELECT i, i > 0 AND (i & (i - 1)) = 0 AS two FROM x")(lambda x, n: x.select("i", signal.is_power_of_two(F.col("i")).alias("two")))
+series_query("F07_inverse", f", s AS (SELECT p, sum(v * cos(w)) AS re, -sum(v * sin(w)) AS im FROM (SELECT p, v, 2 * pi() * ((i * p) % {N}) / {N} AS w FROM x, ps) GROUP BY p) SELECT round(sum(re * cos(2 * pi() * p * 5.0 / {N}) - im * sin(2 * pi() * p * 5.0 / {N})) / {N}, 4) + 0.0 AS re FROM s")(lambda x, n: signal.inverse(signal.transform(x, n), 5.0, n).select("re"))
+series_query("F07_inverse_keys", "SELECT i // 24 AS day, round(v, 4) + 0.0 AS re FROM x WHERE i % 24 = 5")(lambda x, n: signal.inverse(signal.transform(days(x), 24, keys=["day"]), 5.0, 24, keys=["day"]).select("day", "re"))
+series_query("C01_forward_difference", "SELECT a.i, a.v, round((b.v - a.v) / 0.5, 4) + 0.0 AS d FROM x a LEFT JOIN x b ON b.i = a.i + 1")(lambda x, n: calculus.forward_difference(x, 0.5))
+series_query("C02_central_difference", "SELECT a.i, a.v, round((b.v - c.v) / 1.0, 4) + 0.0 AS d FROM x a LEFT JOIN x b ON b.i = a.i + 1 LEFT JOIN x c ON c.i = a.i - 1")(lambda x, n: calculus.central_difference(x, 0.5))
+_EVEN = f"({N} - 1 - ({N} - 1) % 2)"  # intervals under Simpson's rule; the one that may be left is a trapezium
+_SIMPSON = f"CASE WHEN i > {_EVEN} THEN 0 WHEN i IN (0, {_EVEN}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 3.0::DOUBLE + CASE WHEN {_EVEN} < {N} - 1 AND i >= {_EVEN} THEN 0.5 ELSE 0 END"
+series_query("C03_C04_series_integral", f"SELECT 'trapezium' AS rule, round(sum(CASE WHEN i IN (0, {N} - 1) THEN 0.5 ELSE 1 END * v) * 0.25, 4) + 0.0 AS integral FROM x UNION ALL SELECT 'simpson', round(sum(({_SIMPSON}) * v) * 0.25, 4) + 0.0 FROM x")(lambda x, n: calculus.integrate_series(x, 0.25, n - 1).select(F.lit("trapezium").alias("rule"), "integral").unionByName(calculus.integrate_series(x, 0.25, n - 1, "simpson").select(F.lit("simpson").alias("rule"), "integral")))
+series_query("X10_rotate_long", f"SELECT (i - 10 + {N}) % {N} AS i, v FROM x")(lambda x, n: arrays.rotate(x, 10, n))
+series_query("X10_shift_long", "SELECT i - 10 AS i, v FROM x WHERE i >= 10 UNION ALL SELECT i + 7, v FROM x")(lambda x, n: arrays.shift(x, -10).unionByName(arrays.shift(x, 7)))
+series_query("X09_interval_long", "SELECT i - 100 AS i, v FROM x WHERE i BETWEEN 100 AND 200")(lambda x, n: arrays.interval(x, "i", 100, 200))
+series_query("X11_X12_blockify_long", "SELECT i // 24 AS block, i % 24 AS j, i, v FROM x")(lambda x, n: (lambda b: arrays.deblockify(b.withColumns({"block": F.col("bi"), "j": F.col("i")}), {"i": 24}))(arrays.blockify(x, {"i": 24})))
 
 
 @query("C02_derivative_of_expression", "SELECT i, round(2 * (i / 50.0::DOUBLE), 6) + 0.0 AS d FROM range(100) t(i)")
@@ -399,21 +457,39 @@ _fitted("C12_C13_fit_gaussians", "[round(2 + n_nationkey / 20.0::DOUBLE, 4), 1.0
 _fitted("C12_C14_fit_lorentzians", "[round(2 + n_nationkey / 20.0::DOUBLE, 4), 0.5::DOUBLE, 0.25::DOUBLE]", lambda k, x: (2 + k / 20) / (math.pi * 0.5 * (1 + F.pow((x - 0.25) / 0.5, 2))), fit.Lorentzians([1.0], [1.0], [0.0], (False, False, False)))
 
 
-@query("C06_U04_fit_custom_model", "SELECT n_nationkey AS k, [n_nationkey::DOUBLE, 3.0::DOUBLE] AS parameters FROM nation")
-def _custom(spark, sf_dir):
-    class Line(fit.Model):
-        def parameters(self):
-            import numpy as np
+class Line(fit.Model):
+    """A model of one's own."""
+
+    def parameters(self):
+        return np.zeros(2)
 
-            return np.zeros(2)
+    def value(self, x, p):
+        return p[0] + p[1] * x
 
-        def value(self, x, p):
-            return p[0] + p[1] * x
 
+@query("C06_U04_fit_custom_model", "SELECT n_nationkey AS k, [n_nationkey::DOUBLE, 3.0::DOUBLE] AS parameters FROM nation")
+def _custom(spark, sf_dir):
     points = _curve(lambda k, x: k + 3 * x)(spark, sf_dir)
     return fit.fit(points, ["k"], Line()).select("k", rv(F.col("parameters"), 4).alias("parameters"))
 
 
+@query("C05_fit_without_x", "SELECT n_nationkey AS k, [n_nationkey::DOUBLE, 3.0::DOUBLE] AS parameters FROM nation")
+def _without_x(spark, sf_dir):
+    """Points that only an order tells apart count as 0, 1, 2, ..."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    points = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(60)))).repartition(8)
+    points = points.select("k", (F.col("i") * 10 + 5).alias("at"), (F.col("k") + 3.0 * F.col("i")).alias("y"))
+    return fit.fit(points, ["k"], Line(), x=None, sigma=None, order="at").select("k", rv(F.col("parameters"), 4).alias("parameters"))
+
+
+@query("C09_fit_prices", "SELECT o_orderpriority AS k, [round(regr_intercept(y, x), 3) + 0.0, round(regr_slope(y, x), 3) + 0.0] AS parameters FROM (SELECT o_orderpriority, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::DOUBLE AS x, avg(o_totalprice) / 1000 AS y FROM orders GROUP BY ALL) GROUP BY ALL")
+def _fit_prices(spark, sf_dir):
+    """Measured data: a line through the mean price of each month, which has a closed form too."""
+    step = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("double")
+    points = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("k"), step.alias("x")).agg((F.avg("o_totalprice") / 1000).alias("y"))
+    return fit.fit(points, ["k"], Line(), sigma=None).select("k", rv(F.col("parameters"), 3).alias("parameters"))
+
+
 @query("C09_fit_histogram")
 def _fit_histogram(spark, sf_dir):
     h = statistics.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 40, 0, 500_000)
@@ -421,11 +497,12 @@ def _fit_histogram(spark, sf_dir):
     return fit.fit(points, ["k"], fit.Gaussians([100.0], [10.0], [12.0], (False, False, False)))
 
 
-@query("C15_remove_excited_states")
+@query("C15_remove_excited_states", "SELECT r::INTEGER AS replicate, i / 4.0::DOUBLE AS t, round(2 * exp(-0.5 * (i / 4.0::DOUBLE)) + (((i / 4.0::DOUBLE * 7919 + r * 104729)::DOUBLE // 1)::BIGINT % 101 - ((i / 4.0::DOUBLE * 7919) // 1)::BIGINT % 101) / 1e9, 3) + 0.0 AS v FROM range(40) a(i), range(8) b(r)")
 def _excited(spark, sf_dir):
     base = spark.range(40).select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("replicate"), (F.col("id") / 4.0).alias("t"))
-    noise = ((F.col("t") * 7919 + F.col("replicate") * 104729).cast("long") % 101 - 50) / 1e6
-    return fit.remove_excited_states(base.select("replicate", "t", (2 * F.exp(-0.5 * F.col("t")) + noise).alias("v")), 1, 0.5, 9.0, start=[1.0, -0.2])
+    noise = ((F.col("t") * 7919 + F.col("replicate") * 104729).cast("long") % 101 - 50) / 1e9
+    out = fit.remove_excited_states(base.select("replicate", "t", (2 * F.exp(-0.5 * F.col("t")) + noise).alias("v")), 1, 0.5, 9.0, start=[1.0, -0.2])
+    return rounded(out.select("replicate", "t", "v"), 3)
 
 
 # Text: files are written and read back.
@@ -449,7 +526,7 @@ def _counts(spark, sf_dir):
 @query("S01_S02_S03_S06_text_matrix", f"WITH m AS ({_INT_MATRIX}) SELECT row_number() OVER (PARTITION BY j ORDER BY i)::INTEGER - 1 AS i, j, v FROM ({_FULL})")
 def _text_matrix(spark, sf_dir):
     path = _scratch(spark)
-    text.write(_counts(spark, sf_dir).coalesce(1), path)
+    text.write(_counts(spark, sf_dir), path)
     return text.read_matrix(spark, path)
 
 
@@ -457,7 +534,7 @@ def _text_matrix(spark, sf_dir):
 def _text_vector(spark, sf_dir):
     path = _scratch(spark)
     v = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("i")).agg(F.count("*").cast("double").alias("v"))
-    text.write(v.coalesce(1), path, with_index=True)
+    text.write(v, path, with_index=True)
     return text.read_matrix(spark, path)
 
 
@@ -473,7 +550,8 @@ def _text_cube(spark, sf_dir):
     path = _scratch(spark)
     step = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1
     cells = observables.cube(table(spark, sf_dir, "orders"), step, F.substring("o_orderpriority", 1, 1).cast("int") - 1, F.col("o_custkey"))
-    text.export_cube(cells, path, 81, 5, [1])
+    steps, priorities = cells.agg(F.max("step") + 1, F.max("observable") + 1).first()
+    text.export_cube(cells, path, steps, priorities, [1])
     return text.import_cube(spark, path).where("c > 0")
 
 
@@ -487,10 +565,14 @@ def _parse(spark, sf_dir):
     )
 
 
-@query("S20_random_pi")
+@query("S20_random_pi", "SELECT count(*) AS n, true AS inside, true AS near_pi, true AS near_sd FROM lineitem")
 def _pi(spark, sf_dir):
+    """What any generator of uniform numbers must give: their range, and pi and the deviation within six standard errors."""
     n = table(spark, sf_dir, "lineitem").select(P.random(1.0, 1).alias("x"), P.random(1.0, 2).alias("y"))
-    return n.agg((4 * F.avg((F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1).cast("double"))).alias("pi"), F.stddev_pop("x").alias("sd"))
+    pi = 4 * F.avg((F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1).cast("double"))
+    inside = (F.min("x") >= 0) & (F.max("x") < 1) & (F.min("y") >= 0) & (F.max("y") < 1)
+    error = F.lit(6.0) / F.sqrt(F.count("*"))
+    return n.agg(F.count("*").alias("n"), inside.alias("inside"), (F.abs(pi - math.pi) < 1.65 * error).alias("near_pi"), (F.abs(F.stddev_pop("x") - 1 / math.sqrt(12)) < 0.3 * error).alias("near_sd"))
 
 
 @query("G1_G2_shell", "SELECT 10.3::DOUBLE AS a, 3.0::DOUBLE AS b")

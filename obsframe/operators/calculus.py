@@ -52,6 +52,10 @@ def integrate(spark: SparkSession, f: Callable[[Column], Column], low: float, hi
 
 
 def integrate_series(df: DataFrame, h: float, n: int, rule: str = "trapezium", keys: list[str] | None = None) -> DataFrame:
-    """integral of a series with indices 0 to n."""
-    w = simpson_weight(F.col("i"), n) if rule == "simpson" else trapezium_weight(F.col("i"), n)
-    return df.where(F.col("i").between(0, n)).groupBy(*(keys or [])).agg((F.sum(w * F.col("v")) * h).alias("integral"))
+    """integral of a series with indices 0 to n. Simpson's rule covers an even number of intervals; of an odd number, the
+    last interval is a trapezium."""
+    even = n - n % 2 if rule == "simpson" else 0
+    i = F.col("i")
+    simpson = F.when(i <= even, simpson_weight(i, even)).otherwise(0.0) if even else F.lit(0.0)
+    rest = F.when(i >= even, trapezium_weight(i - even, n - even)).otherwise(0.0) if even < n else F.lit(0.0)
+    return df.where(i.between(0, n)).groupBy(*(keys or [])).agg((F.sum((simpson + rest) * F.col("v")) * h).alias("integral"))

@@ -1,12 +1,12 @@
 """Non-linear least squares by Levenberg-Marquardt, one fit for each key's points.
 
 A model gives values and derivatives over numpy arrays; the fit runs in the task that holds the key's points. Points
-are (keys..., x, y, sigma); without x the points are numbered from 0 in the order given, a missing sigma is 1.
+are (keys..., x, y, sigma). Points without x (no column, or null) are numbered from 0 in the order of another column; a
+missing sigma is 1. With trace on, each fit keeps a line for each iteration.
 """
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-log = logging.getLogger(__name__)
 MAX_ITERATIONS, TOLERANCE = 10_000, 1e-8
 
 
@@ -169,8 +168,8 @@ class Lorentzians(Peaks):
         return np.sign(a) * base, np.abs(a) * base / s * (2 * u**2 / (1 + u**2) - 1), np.abs(a) * base * 2 * u / s / (1 + u**2)
 
 
-def least_squares(model: Model, x: np.ndarray, y: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, float, int]:
-    """Parameters, chi^2 over degrees of freedom (nan without any) and iterations."""
+def least_squares(model: Model, x: np.ndarray, y: np.ndarray, sigma: np.ndarray, trace: list[str] | None = None) -> tuple[np.ndarray, float, int]:
+    """Parameters, chi^2 over degrees of freedom (nan without any) and iterations; lines for each are added to trace."""
     p = model.parameters()
     weigh = lambda q: (model.value(x, q) - y) / sigma
     r, damping, n = weigh(p), 1e-3, 0
@@ -182,7 +181,8 @@ def least_squares(model: Model, x: np.ndarray, y: np.ndarray, sigma: np.ndarray)
         with np.errstate(all="ignore"):
             trial = weigh(p + step)
         better = np.all(np.isfinite(trial)) and trial @ trial <= r @ r
-        log.debug("iteration %d: chi^2 %g, damping %g", n, r @ r, damping)
+        if trace is not None:
+            trace.append(f"iteration {n}: chi^2 {r @ r:.9g}, damping {damping:.3g}, parameters {' '.join(f'{q:.9g}' for q in p)}")
         if better:
             p, r, damping = p + step, trial, max(damping / 10, 1e-12)
         else:
@@ -193,20 +193,34 @@ def least_squares(model: Model, x: np.ndarray, y: np.ndarray, sigma: np.ndarray)
     return p, float(r @ r / free) if free > 0 else float("nan"), n
 
 
-def fit(df: DataFrame, keys: list[str], model: Callable[[pd.DataFrame], Model] | Model, x: str | None = "x", y: str = "y", sigma: str | None = "sigma") -> DataFrame:
-    """keys, parameters, chi2 (over degrees of freedom; null without any), iterations. model may be made from the points."""
+def fit(
+    df: DataFrame, keys: list[str], model: Callable[[pd.DataFrame], Model] | Model, x: str | None = "x", y: str = "y", sigma: str | None = "sigma",
+    order: str | None = None, trace: bool = False,
+) -> DataFrame:
+    """keys, parameters, chi2 (over degrees of freedom; null without any), iterations, and on request trace (a line for
+    each iteration). model may be made from the points. order: the column in whose order points without x count as 0, 1,
+    2, ...; rows of a table have no other order, so it must be given where x is missing."""
     ship(df.sparkSession)
-    columns = [*keys, F.col(y).cast("double").alias("_y"), (F.col(x).cast("double") if x else F.lit(None).cast("double")).alias("_x"), (F.col(sigma).cast("double") if sigma else F.lit(1.0)).alias("_s")]
+    if x is None and order is None:
+        raise ValueError("points without x need a column that orders them")
+    place = F.col(order) if order else F.lit(0)
+    columns = [*keys, F.col(y).cast("double").alias("_y"), (F.col(x).cast("double") if x else F.lit(None).cast("double")).alias("_x"), (F.col(sigma).cast("double") if sigma else F.lit(1.0)).alias("_s"), place.alias("_o")]
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if order:
+            rows = rows.sort_values("_o", kind="stable")
         xs = rows["_x"].to_numpy(float)
+        if not order and np.isnan(xs).any():
+            raise ValueError("points without x need a column that orders them")
         xs = np.where(np.isnan(xs), np.arange(len(xs)), xs)
-        order = np.argsort(xs, kind="stable")
-        own = model if isinstance(model, Model) else model(pd.DataFrame({"x": xs[order], "y": rows["_y"].to_numpy(float)[order]}))
-        p, chi, n = least_squares(own, xs[order], rows["_y"].to_numpy(float)[order], rows["_s"].fillna(1.0).to_numpy(float)[order])
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "parameters": [p.tolist()], "chi2": [None if np.isnan(chi) else chi], "iterations": [n]})
-
-    schema = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys) + "parameters array<double>, chi2 double, iterations int"
+        by_x = np.argsort(xs, kind="stable")
+        own = model if isinstance(model, Model) else model(pd.DataFrame({"x": xs[by_x], "y": rows["_y"].to_numpy(float)[by_x]}))
+        lines = [] if trace else None
+        p, chi, n = least_squares(own, xs[by_x], rows["_y"].to_numpy(float)[by_x], rows["_s"].fillna(1.0).to_numpy(float)[by_x], lines)
+        out = {**{k: [v] for k, v in zip(keys, key, strict=True)}, "parameters": [p.tolist()], "chi2": [None if np.isnan(chi) else chi], "iterations": [n]}
+        return pd.DataFrame(out | ({"trace": [lines]} if trace else {}))
+
+    schema = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys) + "parameters array<double>, chi2 double, iterations int" + (", trace array<string>" if trace else "")
     return df.select(*columns).groupBy(*keys).applyInPandas(one, schema)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 WIDTH = 1 << 16
 
 
@@ -21,9 +23,10 @@ def running_sum(df: DataFrame, index: str, value: str, keys: list[str] | None =
 
 
 def number_rows(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
-    """df with each row's position (from 0) in the order: a range exchange, and an offset for each of its partitions."""
+    """df with each row's position (from 0) in the order: a range exchange, written once, and an offset for each of its
+    partitions."""
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    rows = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_id", F.monotonically_increasing_id()).persist()
+    rows = checkpoint(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "obsframe", **settings: str) -> SparkSession:
@@ -17,6 +20,24 @@ def session(master: str | None = None, app: str = "obsframe", **settings: str) -
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the folder that the cluster names for that, so that its plan ends there. Where none is named, a
+    temporary folder will do only if all runs in one process."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or _temporary("obsframe-checkpoint-"))
+    return df.checkpoint()
+
+
+def _temporary(prefix: str) -> str:
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 _shipped: set[str] = set()
 
 
@@ -25,7 +46,7 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    folder = tempfile.mkdtemp(prefix="obsframe-code-")  # the driver serves the file from here; executors fetch it
+    folder = _temporary("obsframe-code-")  # the driver serves the file from here; executors fetch it
     here = Path(__file__).resolve().parent
     path = Path(folder) / "obsframe.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

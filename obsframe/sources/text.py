@@ -109,7 +109,7 @@ def export_cube(cells: DataFrame, path: str, steps: int, observables: int, sizes
 
 def import_cube(spark: SparkSession, path: str) -> DataFrame:
     """step, observable, idx, s, q, c of an exported file. Raises if the file holds fewer cells than its sizes say."""
-    lines = numbered_lines(spark, path, (F.length("value") > 0) & ~F.col("value").startswith("#")).persist()
+    lines = numbered_lines(spark, path, (F.length("value") > 0) & ~F.col("value").startswith("#"))
     head = [int(x) for x in lines.where("line = 0").first()["value"].split()]
     steps, observables, size = head[0], head[1], 1
     for n in head[3 : 3 + head[2]]:

@@ -1,6 +1,7 @@
 """Long tables: golden values, properties, and agreement with numpy and with the packed form."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from obsframe import plans
 from obsframe.functions import packed as P
-from obsframe.operators import calculus, fit, linear, observables, order, signal, statistics
+from obsframe.catalogue import Line
+from obsframe.operators import arrays, calculus, fit, linear, observables, order, signal, statistics
 from obsframe.shell import evaluate, main, script
 from obsframe.sources import text
 from obsframe.streaming.moments import windowed_moments
@@ -130,6 +132,81 @@ def test_signal(spark):
     assert periodic[59] == pytest.approx((w * np.roll(w, -59)).mean())
 
 
+@pytest.mark.parametrize("n", [719, 1021, 2 * 523])
+def test_transform_of_lengths_without_factors(spark, n, monkeypatch):
+    """A prime length goes by way of a longer transform; no piece is as long as the series."""
+    w = np.random.default_rng(n).normal(size=n)
+    x = vector(spark, w)
+    assert np.allclose(spectrum_of(signal.two_stage_fft(x, n)), np.fft.fft(w))
+    assert np.allclose(spectrum_of(signal.chirp_fft(x, n)), np.fft.fft(w))
+    monkeypatch.setattr(signal, "ONE_TASK", 512)
+    assert np.allclose(spectrum_of(signal.spectrum(x, n)), np.fft.fft(w))
+
+
+def test_series_by_key(spark, monkeypatch):
+    monkeypatch.setattr(signal, "BLOCK", 16)  # many blocks
+    w = np.random.default_rng(1).normal(size=(3, 50)) + 5
+    df = spark.createDataFrame([(k, i, float(w[k, i])) for k in range(3) for i in range(50)], "k int, i int, v double").repartition(4)
+    for lag in (3, 20, 49, 70):
+        got = {(r["k"], r["t"]): r for r in signal.autocorrelation(df, lag, keys=["k"]).collect()}
+        assert set(got) == {(k, t) for k in range(3) for t in range(min(lag, 49) + 1)}
+        for k, t in got:
+            p = w[k, : 50 - t] * w[k, t:]
+            assert got[k, t]["ac"] == pytest.approx(p.mean() / (w[k] ** 2).mean()) and got[k, t]["sd"] == pytest.approx(p.std() / math.sqrt(50 - t) / (w[k] ** 2).mean(), abs=1e-12)
+        around = {(r["k"], r["t"]): r["ac"] for r in signal.autocorrelation(df, lag, periodic=True, normalise=False, keys=["k"]).collect()}
+        assert set(around) == {(k, t) for k in range(3) for t in range(lag + 1)}
+        assert all(a == pytest.approx((w[k] * np.roll(w[k], -t)).mean()) for (k, t), a in around.items())
+    m = {r["k"]: complex(r["re"], r["im"]) for r in signal.momentum(df, 2.0, 50, keys=["k"]).collect()}
+    assert all(m[k] == pytest.approx(np.fft.fft(w[k])[2]) for k in range(3))
+    f = signal.transform(df, 50, keys=["k"])
+    back = {r["k"]: r["re"] for r in signal.inverse(f, 4.0, 50, keys=["k"]).collect()}
+    assert all(back[k] == pytest.approx(w[k, 4]) for k in range(3))
+    holes = df.where("i <> 7").unionByName(spark.createDataFrame([(0, 7, None)], df.schema))
+    p = np.delete(w[1] * np.roll(w[1], -1), [6, 7, 49])
+    assert {r["t"]: r["ac"] for r in signal.autocorrelation(holes, 1, normalise=False, keys=["k"]).where("k = 1").collect()}[1] == pytest.approx(p.mean())
+
+
+def test_complex_algebra(spark):
+    rng = np.random.default_rng(3)
+    a, b, v = (rng.normal(size=s) + 1j * rng.normal(size=s) for s in ((4, 4), (4, 4), (4,)))
+    m = lambda x: spark.createDataFrame([(i, j, float(x[i, j].real), float(x[i, j].imag)) for i in range(4) for j in range(4)], "i int, j int, re double, im double")
+    x = spark.createDataFrame([(i, float(v[i].real), float(v[i].imag)) for i in range(4)], "i int, re double, im double")
+    full = lambda df: np.array([[{(r["i"], r["j"]): complex(r["re"], r["im"]) for r in df.collect()}.get((i, j), 0) for j in range(4)] for i in range(4)])
+    real = linear.identity(spark, 4)
+    assert np.allclose(full(linear.product(m(a), m(b))), a @ b) and np.allclose(full(linear.product(m(a), real)), a)
+    assert np.allclose(full(linear.scale(m(a), 2 - 1j)), (2 - 1j) * a) and np.allclose(full(linear.add(m(a), m(b))), a + b)
+    assert np.allclose(full(linear.add_scalar(m(a), 3, 4)), a + 3 * np.eye(4)) and np.allclose(full(linear.add(real, m(a))), a + np.eye(4))
+    assert np.allclose(full(linear.matrix_power(m(a), 5, 4)), np.linalg.matrix_power(a, 5)) and np.allclose(full(linear.matrix_power(m(a), 0, 4)), np.eye(4))
+    got = {r["i"]: complex(r["re"], r["im"]) for r in linear.product(m(a), x).collect()}
+    assert np.allclose([got[i] for i in range(4)], a @ v)
+    t = linear.trace(m(a)).first()
+    assert complex(t["re"], t["im"]) == pytest.approx(np.trace(a)) and linear.frobenius(m(a)).first()["v"] == pytest.approx(np.linalg.norm(a))
+    assert linear.norm(x).first()["v"] == pytest.approx(np.linalg.norm(v)) and linear.square_norm(x).first()["v"] == pytest.approx(np.linalg.norm(v) ** 2)
+    d = linear.determinants(m(a).withColumn("k", F.lit(1)), ["k"], 4).first()
+    assert complex(d["re"], d["im"]) == pytest.approx(np.linalg.det(a))
+
+
+def test_gram(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(300, 5))
+    df = spark.createDataFrame([(r.tolist(),) for r in a] + [(None,)], "v array<double>").repartition(5)
+    got = {(r["i"], r["j"]): r["v"] for r in linear.gram(df, "v").collect()}
+    assert np.allclose([[got[i, j] for j in range(5)] for i in range(5)], a.T @ a) and linear.gram(df.limit(0), "v").count() == 0
+
+
+def test_indices_of_long_tensors(spark):
+    x = vector(spark, range(10))
+    series = lambda df: [r["v"] for r in sorted(df.collect(), key=lambda r: r["i"])]
+    assert series(arrays.rotate(x, 3, 10)) == [*range(3, 10), 0, 1, 2] and series(arrays.rotate(x, -2, 10)) == [8, 9, *range(8)]
+    assert series(arrays.shift(x, -4)) == list(range(4, 10)) and {r["i"]: r["v"] for r in arrays.shift(x, 2).collect()} == {i + 2: i for i in range(10)}
+    assert series(arrays.interval(x, "i", 2, 5)) == [2, 3, 4, 5]
+    m = spark.createDataFrame([(i, j, float(10 * i + j)) for i in range(5) for j in range(7)], "i int, j long, v double")
+    b = arrays.blockify(m, {"i": 2, "j": 3})
+    assert {(r["bi"], r["bj"], r["i"], r["j"]) for r in b.collect()} == {(i // 2, j // 3, i % 2, j % 3) for i in range(5) for j in range(7)}
+    assert sorted(arrays.deblockify(b, {"i": 2, "j": 3}).select("i", "j", "v").collect()) == sorted(m.collect())
+    assert sorted(arrays.sub_array(m, "j", 4).collect()) == [(i, float(10 * i + 4)) for i in range(5)]
+
+
 def test_calculus(spark):
     x = vector(spark, [i * i / 4 for i in range(9)])
     d = {r["i"]: r["d"] for r in calculus.central_difference(x, 0.5).collect()}
@@ -157,12 +234,61 @@ def test_fit(spark):
     for r in fit.fit(df, ["k"], fit.SingleGaussian()).collect():
         assert r["parameters"] == pytest.approx([r["k"] + 1, -0.5], abs=1e-6) and r["chi2"] == pytest.approx(0, abs=1e-10)
     few = spark.createDataFrame([(0, 1.0), (0, 2.0)], "k int, y double")
-    assert fit.fit(few, ["k"], fit.SingleGaussian(), x=None, sigma=None).first()["chi2"] is None
+    assert fit.fit(few, ["k"], fit.SingleGaussian(), x=None, sigma=None, order="y").first()["chi2"] is None
+    with pytest.raises(ValueError):  # rows have no order of their own
+        fit.fit(few, ["k"], fit.SingleGaussian(), x=None, sigma=None)
     fixed = fit.Peaks([1.0], [2.0, 3.0], [0.0, 1.0, 2.0], (False, True, False))
     values, source = fixed.unpack(np.array([9.0, 5.0, 6.0, 7.0]))
     assert values.tolist() == [[9, 9, 9], [2, 3, 2], [5, 6, 7]] and [s.tolist() for s in source] == [[0, 0, 0], [-1, -1, -1], [1, 2, 3]]
 
 
+def test_fit_in_the_order_of_a_column(spark):
+    """Points without x count from 0 in that order, however they lie; null x likewise, beside given ones."""
+    df = spark.createDataFrame([(k, 100 - t, k + 2.0 * (100 - t), None) for k in range(2) for t in range(100)], "k int, t int, y double, x double").repartition(8)
+    for x in (None, "x"):
+        for r in fit.fit(df, ["k"], Line(), x=x, sigma=None, order="t").collect():
+            assert r["parameters"] == pytest.approx([r["k"] + 2, 2], abs=1e-6)
+
+
+def test_trace_of_a_fit(spark):
+    df = spark.createDataFrame([(0, float(x), 3 * math.exp(-0.5 * x * x)) for x in np.linspace(-2, 2, 20)], "k int, x double, y double")
+    r = fit.fit(df, ["k"], fit.SingleGaussian(), sigma=None, trace=True).first()
+    assert len(r["trace"]) == r["iterations"] and r["trace"][0].startswith("iteration 1: chi^2 ")
+    assert "trace" not in fit.fit(df, ["k"], fit.SingleGaussian(), sigma=None).columns
+
+
+def test_a_fit_is_a_minimum(spark):
+    rng = np.random.default_rng(12)
+    x = np.linspace(0, 10, 41)
+    y = 50 * np.exp(-0.5 * ((x - 4) / 1.5) ** 2) + rng.normal(size=41)
+    df = spark.createDataFrame([(0, float(a), float(b), 1.0) for a, b in zip(x, y, strict=True)], "k int, x double, y double, sigma double")
+    model = fit.Gaussians([10.0], [1.0], [5.0], (False, False, False))
+    r = fit.fit(df, ["k"], model).first()
+    p = np.array(r["parameters"])
+    chi = lambda q: ((model.value(x, q) - y) ** 2).sum()
+    assert r["chi2"] * 38 == pytest.approx(chi(p)) and p == pytest.approx([50, 1.5, 4], rel=0.05)
+    for j in range(3):
+        for h in (-1e-3, 1e-3):
+            assert chi(p + h * np.eye(3)[j]) > chi(p)
+
+
+def test_remove_excited_states(spark):
+    """Two exponentials: what is left is the fitted sum where the data lay, and replicates keep their differences."""
+    t = np.arange(30) / 3
+    noise = np.random.default_rng(2).normal(size=(6, 30)) * 1e-4
+    noise[0] = 0
+    clean = 2 * np.exp(-0.5 * t)
+    v = clean + np.exp(-3 * t) + noise  # the second term dies out before t = 4
+    rows = [(k, r, float(t[i]), float(v[r, i] * (k + 1))) for k in range(2) for r in range(6) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, replicate int, t double, v double")
+    got = {(r["k"], r["replicate"], round(r["t"], 6)): r["v"] for r in fit.remove_excited_states(df, 1, 4.0, 9.0, keys=["k"], start=[1.0, -0.3]).collect()}
+    assert len(got) == len(rows)
+    for (k, r, at), value in got.items():
+        i = int(round(at * 3))
+        assert value == pytest.approx((k + 1) * (clean[i] + noise[r, i]), abs=0.02 * (k + 1))
+        assert value - got[k, 0, at] == pytest.approx((k + 1) * noise[r, i], abs=1e-9)
+
+
 def test_text_files(spark, tmp_path):
     f = tmp_path / "m.txt"
     f.write_text("skip me\n# comment\n\n1 2  3\n4 x\n  5 6 7 8\n3x 1e2 -.5\n")
@@ -203,6 +329,21 @@ def test_streaming_moments(spark, tmp_path):
     assert sorted(spark.table("moments").collect()) == sorted(batch.collect()) and batch.count() == 8
 
 
+def test_late_rows_of_a_stream(spark, tmp_path):
+    """Rows behind the watermark are left out; those that are late but not behind it count."""
+    at = lambda *minutes: spark.createDataFrame([(m * 60, "o", 1.0) for m in minutes], "s long, o string, v double").select(F.timestamp_seconds("s").alias("ts"), "o", "v")
+    schema = at(0).schema
+    os.makedirs(tmp_path / "in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = windowed_moments(stream, "ts", F.col("o"), F.col("v"), "10 minutes", "20 minutes").writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).start()
+    for minutes in ((1, 2, 100), (5, 85), (200,), (201,)):  # at minute 100 the watermark is 80: 5 is behind it, 85 is not
+        at(*minutes).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    got = {int(r["s"]): r["c"] for r in spark.table("late").selectExpr("unix_timestamp(start) / 60 as s", "c").collect()}
+    assert got == {0: 2.0, 80: 1.0, 100: 1.0}
+
+
 def test_shell(spark, tmp_path, capsys):
     assert float(evaluate(spark, "3.3 + 7").first()[0]) == pytest.approx(10.3)
     assert evaluate(spark, "sum(v)", ["CREATE OR REPLACE TEMP VIEW t AS SELECT explode(sequence(1, 3)) AS v"], "t").first()[0] == 6
