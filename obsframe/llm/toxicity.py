@@ -90,14 +90,20 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     used = known[column]
     column, owner, codes = (np.cumsum(known) - 1)[column[used]], owner[used], codes[known]
     n_p, n = len(positive), len(codes)
+    # Sums over rows, and over columns, are sums of neighbours; each column has some entries, a row may have none.
+    filled, row_at = np.unique(owner, return_index=True)
+    order = np.argsort(column, kind="stable")
+    of_column, column_at = owner[order], np.searchsorted(column[order], np.arange(n))
     l1 = l1 / np.sqrt(n_p)
     x = np.zeros(n + 1)
     x[n] = np.log(prior / (1 - prior))
     drift, size, total = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
-        z = np.clip(x[n] + np.bincount(owner, weights=x[column], minlength=len(rows)), -30, 30)
-        _, _, g = risk(z, n_p, prior, ascent)
-        grad = np.append(np.bincount(column, weights=g[owner], minlength=n), g.sum())
+        z = np.full(len(rows), x[n])
+        if n:
+            z[filled] += np.add.reduceat(x[column], row_at)
+        _, _, g = risk(np.clip(z, -30, 30), n_p, prior, ascent)
+        grad = np.append(np.add.reduceat(g[of_column], column_at) if n else np.zeros(0), g.sum())
         drift, size = 0.9 * drift + 0.1 * grad, 0.99 * size + 0.01 * grad**2
         step = rate / np.sqrt(1 + t / 50) / (np.sqrt(size / (1 - 0.99**t)) + 1e-4)
         x = x - step * drift / (1 - 0.9**t)
