@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import bound_batches, materialize
+from .work import bound_batches, materialize, spread
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ITEM_CHARS = 1_000_000
@@ -313,7 +313,7 @@ def contamination(
     """doc_id, n_words, n_hit, spans (first and last word of each hit stretch, and 1 for whole items of fewer words than
     a window, which are listed apart), items (ids as strings, sorted)."""
     groups, sieve = _item_groups(items, item_id, item_text, item_chars, window)
-    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     if sieve is not None:
         rows = materialize(rows.mapInArrow(_sieved(sieve), _STATE), "sieved")
     for k, shared in enumerate(groups, 1):
@@ -343,7 +343,7 @@ def decontaminate(
     width = len(docs.columns)
     text_at, chars_at = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
     schema = T.StructType([*docs.schema.fields, T.StructField("_".join(["spans", *docs.columns]), _SPANS)])
-    rows = bound_batches(docs)
+    rows = spread(bound_batches(docs))
     clean = rows.mapInArrow(_sifted(sieve, text_at, False), docs.schema) if sieve is not None else None
     if sieve is not None:
         rows = materialize(rows.mapInArrow(_sifted(sieve, text_at, True), docs.schema), "sifted")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import bound_batches, held_out
+from .work import bound_batches, held_out, spread
 
 #: Bound of the training sample, in rows.
 ROWS = 12_000
@@ -156,7 +156,7 @@ def score_documents(docs: DataFrame, model: FlatTrees, id_col: str = "doc_id", t
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()], float).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(x))], ["doc_id", "score"])
 
-    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return spread(bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, score double")
 
 
 def predicted(score: Column, threshold: float = 0.3) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .work import bound_batches, drop, free_shuffles, materialize, partitions
+from .work import bound_batches, drop, free_shuffles, materialize, partitions, spread
 
 #: Rows of a chunk: of tiles, of bands of shingle counts (which are larger), and of those with their shingles.
 CHUNK, WIDE_CHUNK, SET_CHUNK = 2048, 4096, 1024
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str =
             made = [fingerprint(t, words, lanes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.int64())], ["doc_id", "fp", "n"])
 
-    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = spread(bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
     return rows.mapInArrow(run, "doc_id long, fp array<long>, n long")
 
 
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, words: int, lanes: int, similarity: float, id_co
                 fp.append(parities(shingles, 1 << int(np.ceil(np.log2(max(lanes, most / 64))))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(tile, pa.int64()), pa.array(fp, pa.list_(pa.int64()))], ["doc_id", "n", "key", "tile", "fp"])
 
-    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = spread(bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
     return rows.mapInArrow(run, "doc_id long, n long, key binary, tile long, fp array<long>")
 
 

@@ -42,7 +42,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import bound_batches, by_bytes, drop, free_shuffles, materialize, partitions
+from .work import bound_batches, by_bytes, drop, free_shuffles, materialize, partitions, spread
 
 WINDOW, ROUNDS, NEIGHBOURS = 20, 2, 3
 CHUNK_BYTES = 4_000_000
@@ -423,7 +423,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     left_text for documents that lose words but are no copies of a whole text, null for others."""
     spark = docs.sparkSession
     rows = bound_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("raw"))
-    described = materialize(rows.mapInArrow(_described(window), "id long, th long, root binary, n_words long, anchors array<long>"), "described")
+    described = materialize(spread(rows).mapInArrow(_described(window), "id long, th long, root binary, n_words long, anchors array<long>"), "described")
     firsts = materialize(described.groupBy("root").agg(F.min(F.struct("id", "th")).alias("f"), F.max("n_words").alias("n")), "roots")
     first = (F.col("id") == F.col("f.id")) & (F.col("th") == F.col("f.th"))
     # A hash of id and text stands for a document here; documents that share it only get candidates of each other.

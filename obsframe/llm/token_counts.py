@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_tokenizer, encoder
-from .work import bound_batches, by_bytes, materialize
+from .work import bound_batches, by_bytes, materialize, spread
 
 #: Lengths in a range.
 RANGE = 256
@@ -34,7 +34,7 @@ def length_histogram(df: DataFrame, text_col: str = "text", tokenizer: str | Non
                 n, c = np.unique(encoder(path).encode(texts[a:b])[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["n_tokens", "n_docs"])
 
-    each = bound_batches(df).select(F.col(text_col).alias("text")).mapInArrow(lengths, "n_tokens long, n_docs long")
+    each = spread(bound_batches(df).select(F.col(text_col).alias("text"))).mapInArrow(lengths, "n_tokens long, n_docs long")
     return each.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

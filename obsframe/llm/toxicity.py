@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import bound_batches, held_out
+from .work import bound_batches, held_out, spread
 
 #: Bounds of the two training samples, in rows.
 P_ROWS, U_ROWS = 3_000, 6_000
@@ -149,7 +149,7 @@ def score_documents(docs: DataFrame, model: LinearWords, id_col: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return spread(bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: LinearWords, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -160,7 +160,7 @@ def drop_toxic(docs: DataFrame, model: LinearWords, text_col: str = "text", thre
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(at).to_pylist()) < threshold))
 
-    return bound_batches(docs).mapInArrow(run, docs.schema)
+    return spread(bound_batches(docs)).mapInArrow(run, docs.schema)
 
 
 def predicted(score: Column, threshold: float = 0.5) -> Column:

@@ -21,6 +21,8 @@ from ..session import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_BYTES = 8 << 20
+#: Tables below this size, as Spark estimates it, are dealt anew before costly steps.
+SMALL_BYTES = 16 << 20
 _own_dir: dict[str, str] = {}
 
 
@@ -72,6 +74,12 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it is so small that it may be a single row group, which one task would have to work through."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so when the driver collects its garbage."""
     gc.collect()
