@@ -13,7 +13,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Series up to this length use the direct transform in `spectrum`; up to the second, one task's FFT.
@@ -73,11 +73,7 @@ def autocorrelation(df: DataFrame, max_lag: int, n: int | None = None, periodic:
     out = sums.select(*keys, "t", mean.alias("ac"), (F.sqrt(square / F.col("n")) / F.sqrt(F.col("n"))).alias("sd"))
     if not normalise:
         return out
-    if not keys:
-        zero = F.lit(df.agg(F.avg(F.col("v").cast("double") * F.col("v").cast("double"))).first()[0])
-    else:
-        out = out.join(df.groupBy(*keys).agg(F.avg(F.col("v").cast("double") * F.col("v").cast("double")).alias("_zero")), keys)
-        zero = F.col("_zero")
+    zero = F.max(F.when(F.col("t") == 0, F.col("ac"))).over(Window.partitionBy(*keys))  # a row a lag
     return out.select(*keys, "t", F.try_divide("ac", zero).alias("ac"), F.try_divide("sd", zero).alias("sd"))
 
 
