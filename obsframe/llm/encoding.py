@@ -24,7 +24,7 @@ _PIECES = re.compile(
 )
 _OTHER = re.compile("[^\u0000-\u024f]")
 #: Texts beyond this many characters are still encoded whole; only the cache of pieces is bounded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -64,9 +64,7 @@ class PieceEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = not added_tokens
-        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
-        #: Texts that go to the library whole.
-        self._whole = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]))
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self._model = self._tokenizer.model
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         #: How the byte-level alphabet spells each Latin character.
@@ -76,6 +74,10 @@ class PieceEncoder:
     def _reset(self) -> None:
         self._codes, self._ids, self._start = _Codes(), array("I"), array("i", [0])
 
+    def _whole(self, text: str) -> bool:
+        """Whether a text goes to the library whole."""
+        return (not text.isascii() and _OTHER.search(text) is not None) or any(t in text for t in self._added)
+
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         if self._codes.rows > CACHE_WORDS:
             self._reset()
@@ -84,7 +86,7 @@ class PieceEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self._whole.search(text):
+            if self._whole(text):
                 parts.append(np.array([codes.add(text)], np.int32))
             else:
                 pieces = _PIECES.findall(text)
@@ -92,7 +94,7 @@ class PieceEncoder:
             sizes[i] = len(parts[-1])
         tokenize, spelling, ids, start = self._model.tokenize, self._spelling, self._ids, self._start
         for piece in codes.pending:
-            if self._whole.search(piece):
+            if self._whole(piece):
                 ids.extend(self._tokenizer.encode(piece, add_special_tokens=False).ids)
             else:
                 ids.extend([t.id for t in tokenize(piece.translate(spelling))])

@@ -172,6 +172,10 @@ class TokenFileWriter:
         number = np.empty(len(kinds), np.uint32)
         number[order] = np.arange(len(kinds), dtype=np.uint32)
         pieces = (values[i : i + 256 * BLOCK] for i in range(0, len(values), 256 * BLOCK))
+        if len(kinds) and kinds[-1] < 1 << 22:  # a table by id; ids are no larger in any usual vocabulary
+            by_id = np.zeros(int(kinds[-1]) + 1, np.uint32)
+            by_id[kinds] = number
+            return kinds[order], (by_id[p] for p in pieces)
         return kinds[order], (number[np.searchsorted(kinds, p)] for p in pieces)
 
     def _put(self, values: np.ndarray) -> None:

@@ -53,6 +53,17 @@ def test_encoder_equals_library(texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_encoder_equals_library_on_white_space_and_marks():
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(default_tokenizer()), random.Random(13)
+    signs = [" ", " ", " ", "\n", "\t", "\u00a0", "\u0085", "\x1f", "a", "the", "Don't", "'s", "'", ",", "...", "12", "½", "é", "x" * 30, "<|", "|>", "_"]
+    texts = ["".join(rng.choices(signs, weights if rng.random() < 0.5 else None, k=rng.randrange(12))) for weights in ([9] * 4 + [1] * 18, [1] * 22) for _ in range(6000)]
+    ids, sizes = encoder(default_tokenizer()).encode(texts)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_operators_meet_added_tokens(spark, texts):
     """Token tables and lengths are those of the tokenizer file as it is, nothing but add_special_tokens changed."""
     from tokenizers import Tokenizer
