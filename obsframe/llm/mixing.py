@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import materialize, partitions
+from .work import materialize, partitions, stored_bytes
 
 #: A table of distributions, or of repeated ids, of so many bytes is broadcast; beyond, documents are salted.
 BROADCAST_BYTES = 16_000_000
@@ -98,7 +98,7 @@ def mix_sources(
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     key = F.md5(F.concat(F.col("name"), F.lit(":"), F.col("copy").cast("string")).cast("binary"))
     rows = rows.select("row.*", F.col("rate").alias("mix_rate"), F.col("copy").alias("mix_copy"), key.alias("mix_key"))
-    return rows.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
+    return rows.repartition(partitions(spark, stored_bytes(df)), "mix_key").sortWithinPartitions("mix_key")
 
 
 def _looked_up(rows: DataFrame, small: DataFrame, key: str, size: Column, how: str = "inner") -> DataFrame:
@@ -122,7 +122,7 @@ def _named(df: DataFrame, id_col: str, source_col: str, seed: int) -> DataFrame:
     own = F.col("id").isNotNull() & F.col("again").isNull()
     equal = rows.where(~own).groupBy("row", "source_key", "name").agg(F.count("*").alias("many"))
     pieces = equal.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / PIECE))))
-    pieces = pieces.repartition(partitions(df.sparkSession), F.xxhash64("row"), "piece")
+    pieces = pieces.repartition(partitions(df.sparkSession, stored_bytes(df)), F.xxhash64("row"), "piece")
     number = F.explode(F.sequence(F.col("piece") * PIECE, F.least(F.col("many"), (F.col("piece") + 1) * PIECE) - 1))
     numbered = pieces.select("row", "source_key", "name", number.alias("number"))
     name = F.concat("name", F.lit(":"), F.hex(F.xxhash64("row")), F.lit(":"), F.col("number").cast("string"))

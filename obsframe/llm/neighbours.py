@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .work import drop, materialize, partitions
+from .work import drop, materialize, partitions, stored_bytes
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 3, 8, 2.2, 500, 20
 #: Rows of a bucket in one shard, and rows (a table's worth of each vector) of a shard, about.
@@ -176,7 +176,7 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _searched(held: DataFrame, sent: DataFrame, shards: int, k: int, tables: int, name: str) -> DataFrame:
     """head, vec_id, score: the best k + 1 found for each query; held and sent: shard, is_query, id, v, codes."""
-    parts = partitions(held.sparkSession)
+    parts = partitions(held.sparkSession, tables * stored_bytes(held))  # a vector is held once a table
     met = held.unionByName(sent).repartition(max(parts, min(shards, 4 * parts)), "shard").sortWithinPartitions("shard", "is_query")
     found = met.mapInArrow(_best_of_shard(k + 1, tables), "query_id long, vec_id long, score double")
     first = Window.partitionBy("head").orderBy(F.desc("score"), "vec_id")

@@ -312,8 +312,8 @@ def _meet(rows: DataFrame, later: list[int], chunk: int, home_of, finder, name:
     cells = F.sum(F.size("fp").cast("long"))
     sizes = rows.groupBy("tile").agg(F.ceil(F.greatest(F.count("*") / chunk, cells / CELLS)).cast("int").alias("chunks"), cells.alias("cells"))
     held = F.greatest(F.lit(1), F.least(F.lit(GROUP), F.floor(F.col("chunks") * GROUP_CELLS / F.greatest("cells", F.lit(1))))).cast("int")
-    tiles = materialize(sizes.select("tile", "chunks", held.alias("held"), F.ceil(F.col("chunks") / held).cast("int").alias("teams")), "tiles")
-    counts = F.broadcast(tiles)
+    tiles = materialize(sizes.select("tile", "chunks", held.alias("held"), F.ceil(F.col("chunks") / held).cast("int").alias("teams"), "cells"), "tiles")
+    counts = F.broadcast(tiles.drop("cells"))
     rows = rows.join(counts, "tile").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # A tile, or a chunk of a large one, travels as one row of arrays; what is copied to the tiles it meets are such rows.
     packed = rows.groupBy("tile", "chunk", "held").agg(F.collect_list(F.struct("node", "n", "fp")).alias("rows"))
@@ -329,7 +329,10 @@ def _meet(rows: DataFrame, later: list[int], chunk: int, home_of, finder, name:
     away = away.where("not to.own or `from` > 0").select("node", "n", "fp", "from", F.col("to.tile").alias("tile"), F.col("to.own").alias("own"))
     away = away.join(counts, "tile").withColumn("team", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("from")).otherwise(F.col("teams")) - 1)))
     met = packed.withColumn("visitor", F.lit(0)).select(columns).unionByName(away.withColumn("visitor", F.lit(1)).select(columns))
-    met = met.repartition(partitions(rows.sparkSession), "tile", "team").sortWithinPartitions("tile", "team", "visitor")
+    # What all teams get, at most: each tile once for each team of its own and of those it meets.
+    sent = tiles.select(F.col("cells").alias("n"), F.explode(F.array(*map(F.lit, [0, *later]))).alias("d"), "tile").select("n", (F.col("tile") + F.col("d")).alias("tile"))
+    longs = sent.join(F.broadcast(tiles), "tile").agg(F.sum(F.col("n") * F.col("teams"))).first()[0] or 0
+    met = met.repartition(partitions(rows.sparkSession, 8 * longs), "tile", "team").sortWithinPartitions("tile", "team", "visitor")
     out = materialize(met.mapInArrow(_compare(home_of, finder), "u long, v long"), name)
     drop(tiles, packed)
     return out

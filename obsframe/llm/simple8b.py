@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_tokenizer, encoder
-from .work import bound_batches, by_bytes, materialize, new_path, partitions
+from .work import bound_batches, by_bytes, materialize, new_path, partitions, stored_bytes
 
 # Ids in a word, and bits of each, by selector; 120 ids of no bits are zeros.
 COUNTS = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -267,7 +267,7 @@ def write_tokens(df: DataFrame, uri: str, id_col: str = "doc_id", text_col: str
 
     spark = df.sparkSession
     rows = bound_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    rows = rows.repartitionByRange(partitions(spark), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    rows = rows.repartitionByRange(partitions(spark, stored_bytes(df)), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     return materialize(rows.mapInArrow(write, "shard int, part int, file string, n_docs long, n_ids long"), "manifest")
 
 
@@ -292,7 +292,8 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [k for k, _ in fields])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return files.repartition(partitions(manifest.sparkSession)).mapInArrow(read, schema)
+    n_ids = manifest.agg(F.sum("n_ids")).first()[0] or 0
+    return files.repartition(partitions(manifest.sparkSession, 2 * n_ids)).mapInArrow(read, schema)  # some two bytes an id
 
 
 def token_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 2) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import bound_batches, by_bytes, drop, free_shuffles, materialize, partitions, spread
+from .work import bound_batches, by_bytes, drop, free_shuffles, materialize, partitions, spread, stored_bytes
 
 WINDOW, ROUNDS, NEIGHBOURS = 20, 2, 3
 CHUNK_BYTES = 4_000_000
@@ -406,8 +406,9 @@ def _marks(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     spark = found.sparkSession
     packs = found.where("bucket is not null").select("chunk", "bucket", "h", "h2", "start", "doc", "ids", "ths", "counts")
     ranges = -(-found.where("bucket is null").select("chunk").distinct().count() // CHUNK_RANGE)
+    parts = partitions(spark, stored_bytes(found))
     dealt = packs.withColumn("range", F.pmod(F.xxhash64("chunk"), F.lit(max(ranges, 1))).cast("int"))
-    ranked = lambda rows, more, columns: rows.repartition(partitions(spark), "bucket", "range").sortWithinPartitions("bucket", "range").mapInArrow(_later(more), columns)
+    ranked = lambda rows, more, columns: rows.repartition(parts, "bucket", "range").sortWithinPartitions("bucket", "range").mapInArrow(_later(more), columns)
     if ranges <= 1:
         return ranked(dealt, False, _MARK_COLUMNS), []
     names = ["doc", "start", "rid", "rth", "rat"]
@@ -468,7 +469,7 @@ def _changes(rows: DataFrame, chosen: DataFrame, key, window: int, buckets: int,
     spans = ["first", "last"]
     marks = marks.select("*", F.lit(-1).alias("at"), *[F.lit(None).cast("long").alias(c) for c in ("id", "th")], *[F.lit(None).cast("array<int>").alias(c) for c in spans])
     members = found.where("bucket is null").select("chunk", "at", "id", "th", *spans, "rid", "rth", "rat", *[F.lit(None).cast("array<int>").alias(c) for c in ("doc", "start")])
-    met = members.unionByName(marks).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "at")
+    met = members.unionByName(marks).repartition(partitions(spark, stored_bytes(found)), "chunk").sortWithinPartitions("chunk", "at")
     marked = materialize(met.mapInArrow(_gather(window), _NEED_COLUMNS).dropDuplicates(["id", "th"]), "marked")  # equal rows have equal marks
     drop(found, *ranges)
     free_shuffles(spark)

@@ -23,6 +23,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_BYTES = 8 << 20
 #: Tables below this size, as Spark estimates it, are dealt anew before costly steps.
 SMALL_BYTES = 16 << 20
+#: Bytes of tables, as they are stored, that one task of an exchange gets at most, about.
+TASK_BYTES = 64 << 20
 _own_dir: dict[str, str] = {}
 
 
@@ -86,8 +88,16 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plan reads; sources of unknown size count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(s for s in sizes if s < 1 << 62)
+
+
+def partitions(spark: SparkSession, size: int = 0) -> int:
+    """Tasks for an exchange of so many bytes: the session's number, or more where that would give each too much."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // TASK_BYTES))
 
 
 def lower_ascii(c: Column) -> Column:

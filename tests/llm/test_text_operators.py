@@ -13,7 +13,7 @@ import xxhash
 pytest.importorskip("obsframe.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from obsframe.llm import components, decontaminate, mixing, simhash, simple8b, substrings, token_counts  # noqa: E402
+from obsframe.llm import components, decontaminate, mixing, simhash, simple8b, substrings, token_counts, work  # noqa: E402
 from obsframe.llm.encoding import PieceEncoder, default_tokenizer, encoder  # noqa: E402
 
 #: With extra columns whose names operators use for themselves.
@@ -521,3 +521,19 @@ def test_repeats_under_forced_collisions(spark, monkeypatch):
 
     monkeypatch.setattr(substrings, "_word_codes", few_codes)
     assert read() == want and strong[-1] is True
+
+
+def test_exchanges_follow_stored_bytes(spark, tmp_path, monkeypatch):
+    docs = make_docs(spark, [f"word{i % 7} other{i % 50} " * 20 for i in range(300)])
+    assert work.stored_bytes(docs) == 0  # no files
+    docs.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    size = sum(p.stat().st_size for p in (tmp_path / "docs").glob("*.parquet"))
+    assert work.stored_bytes(stored) == work.stored_bytes(stored.select("doc_id").where("doc_id > 5")) == size
+    least = work.partitions(spark)
+    assert work.partitions(spark, size) == least and work.partitions(spark, work.TASK_BYTES * (least + 4) + 1) == least + 5
+    rows = lambda: [sorted(map(tuple, f.collect()), key=str) for f in (simple8b.token_table(stored), mixing.mix_sources(stored), simhash.near_duplicates(stored), substrings.remove_repeats(stored))]
+    before = rows()
+    monkeypatch.setattr(work, "TASK_BYTES", 1000)
+    assert work.partitions(spark, size) > least
+    assert rows() == before
