@@ -534,6 +534,6 @@ def test_exchanges_follow_stored_bytes(spark, tmp_path, monkeypatch):
     assert work.partitions(spark, size) == least and work.partitions(spark, work.TASK_BYTES * (least + 4) + 1) == least + 5
     rows = lambda: [sorted(map(tuple, f.collect()), key=str) for f in (simple8b.token_table(stored), mixing.mix_sources(stored), simhash.near_duplicates(stored), substrings.remove_repeats(stored))]
     before = rows()
-    monkeypatch.setattr(work, "TASK_BYTES", 1000)
+    monkeypatch.setattr(work, "TASK_BYTES", 4000)
     assert work.partitions(spark, size) > least
     assert rows() == before
